@@ -294,7 +294,7 @@ def decode_ids(table: Pieces, ids: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return out[keep], offs - np.concatenate([[0], np.cumsum(full)])
 
 
-def _digests(shared):
+def _digests(shared, with_ids: bool):
     """Encode, decode, compare: a row for each text."""
     coded = _encode(shared)
 
@@ -307,10 +307,10 @@ def _digests(shared):
             crc = [zlib.crc32(wide[ends[i] : ends[i + 1]].tobytes()) for i in range(n)]
             texts = [back[back_offs[i] : back_offs[i + 1]].tobytes() for i in range(n)]
             same = [t == data[offs[i] : offs[i + 1]].tobytes().replace(META_BYTES, b" ") for i, t in enumerate(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [ids_col.cast(pa.int64()), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array(same, pa.bool_())],
-                names=["doc_id", "n_tokens", "ids_crc32", "decoded_crc32", "round_trip"],
-            )
+            out = {"doc_id": ids_col.cast(pa.int64()), "n_tokens": pa.array(np.diff(ends)), "ids_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array([zlib.crc32(t) for t in texts], pa.int64()), "round_trip": pa.array(same, pa.bool_())}
+            if with_ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -338,7 +338,7 @@ def decode(coded: DataFrame, table: Pieces) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, table: Pieces, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit), decoded_crc32 (UTF-8), round_trip."""
-    schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean"
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_digests(_shared(docs, table, text_col, head)), schema)
+def round_trip(docs: DataFrame, table: Pieces, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit), decoded_crc32 (UTF-8), round_trip; with_ids: ids too."""
+    schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_digests(_shared(docs, table, text_col, head), with_ids), schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, pieces, token_output, toxicity
+from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, pieces, substring_dedup, token_output, toxicity
 from .shared import table, written
 
 
@@ -21,6 +21,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rest = lambda c: F.crc32(c.cast("string").cast("binary")) % 3 == 1
@@ -67,7 +71,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op4_toxicity, op5_token_output, op6_chat_format, op7_line_dedup, op8_language_id, op9_near_dedup, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_substring_dedup, op4_toxicity, op5_token_output, op6_chat_format, op7_line_dedup, op8_language_id, op9_near_dedup, op10_decontaminate)}
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
