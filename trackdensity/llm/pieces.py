@@ -36,6 +36,7 @@ from .shared import written
 
 HEAD = 1 << 20
 LONGEST = 48
+UNITS_A_TASK = 20_000
 META = "▁"
 META_BYTES = META.encode()
 
@@ -47,6 +48,8 @@ class Pieces:
         self.texts, self.scores, self.first_byte = texts, scores, first_byte
         self.normal = {t: i for i, t in enumerate(texts) if i not in special}
         self.most = max(map(len, self.normal))
+        floor = min(scores[i] for i in self.normal.values()) - 1
+        self.best = {t: scores[i] - floor for t, i in self.normal.items()}  # above 0, in the order of the scores
         pairs = {(a, b) for t in self.normal for a, b in zip(t, t[1:], strict=False)}
         letters = {a for a, _ in pairs if ord(a) >= 128 or a.isalpha()} - {META}
         self.alone = np.zeros(256, bool)  # ASCII signs that stand in no longer piece
@@ -76,6 +79,18 @@ class Pieces:
     def merge(self, unit: str) -> list[int]:
         """Ids of one unit by ranked merges: highest score first, then leftmost."""
         part, scores, ids = list(unit), self.scores, self.normal
+        if len(part) <= 32:
+            best = self.best
+            pair = [best.get(a + b, 0.0) for a, b in zip(part, part[1:], strict=False)]
+            while pair and (top := max(pair)) > 0:
+                k = pair.index(top)
+                part[k : k + 2] = [part[k] + part[k + 1]]
+                del pair[k]
+                if k:
+                    pair[k - 1] = best.get(part[k - 1] + part[k], 0.0)
+                if k < len(pair):
+                    pair[k] = best.get(part[k] + part[k + 1], 0.0)
+            return [i for p in part for i in ((ids[p],) if p in ids else [self.first_byte + b for b in p.encode()])]
         nxt, prv = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
         heap: list = []
 
@@ -163,9 +178,11 @@ def _count(alone: np.ndarray, after: np.ndarray):
 def lattice(units: DataFrame, pieces: DataFrame, longest_piece: int, first_byte: int, merges: bool = True) -> DataFrame:
     """(unit, ids) of distinct units (column unit, spaces as they are)."""
     cuts = f"""inline(flatten(transform(sequence(1, length(unit)), i -> transform(sequence(i, least(i + {longest_piece - 1}, length(unit))),
-      j -> struct(i - 1 as lo, j as hi, translate(substring(unit, i, j - i + 1), ' ', '{META}') as piece)))))"""
+      j -> struct(i - 1 as lo, j as hi, substring(shown, i, j - i + 1) as piece)))))"""
     # the exchange of the distinct units serves the grouping of their edges too
-    edges = units.repartition("unit").select("unit", F.expr(cuts))
+    # (a few bytes for each unit, so the number of partitions is set by rows, not by bytes)
+    units = units.repartition(max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // UNITS_A_TASK)), "unit")
+    edges = units.select("unit", F.translate("unit", " ", META).alias("shown")).select("unit", F.expr(cuts))
     found = edges.join(F.broadcast(pieces), "piece")  # the piece table has a fixed size
     key = F.col("lo") * 1000 + F.col("hi")
     grouped = found.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct(key, F.struct("score", "id")))).alias("e"))
