@@ -65,7 +65,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.join(placed, ["memtable", "digest"])
     copies = written(rows.filter("n > 1").select("doc_id", "keep_id", "n"), "hits")
     salts = F.greatest(F.ceil(F.col("n") / SALT_ROWS), F.lit(1))
-    text = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"))
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # one shuffle of the texts, at every size, for both sides of the comparison
+    text = text.join(copies.select("doc_id").distinct().hint("merge"), "doc_id").select("doc_id", normalised(F.col("text")).alias("text"))
+    text = written(text, "texts")
     # a repeated doc_id may hold several texts: the first in text order stands for it
     stays = (
         text.join(copies.select(F.col("keep_id").alias("doc_id"), "n").distinct(), "doc_id")
