@@ -55,10 +55,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = {"n_lines", "n_removed_lines"} & set(docs.columns)
     rest = docs.drop(*taken)
     hit = written(covered_lines(docs, id_col, text_col, window), "covered")
-    # only rows with a covered line are rebuilt; the id list is small beside the texts
+    # the same join at every size: the table of covered lines grows with the corpus
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"))
-    joined = rest.withColumn("_row", key).join(hit, "_row", "left")
+    joined = rest.withColumn("_row", key).join(hit.hint("merge"), "_row", "left")
     kept = F.expr("array_join(filter(_l, (x, i) -> not array_contains(covered, i)), '\n')")
     return (
         joined.withColumn("_l", lines)
