@@ -23,7 +23,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
     drop = written(near_dedup.near_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_drop")).distinct(), "dropped")
-    return docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
+    return docs.join(drop.hint("merge"), F.col("doc_id") == F.col("_drop"), "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,21 +137,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     least = threshold_pct / 100 - MARGIN
     text = docs.select(F.col(id_col).cast("long"), text_col)
-    sets: list[DataFrame] = []
+    # full sets of all documents that share a bucket: one shuffle of the texts, at every size
+    held = text.withColumnRenamed(id_col, "id").join(members.select("id").distinct().hint("merge"), "id").select("id", text_col)
+    sets = written(held.mapInArrow(_full_sets(shingle_words), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of distinct candidates (a, b), those linked by their full sets."""
         pairs = written(pairs, "candidates")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        for known in sets:
-            ids = ids.join(known.select("id"), "id", "left_anti")
-        fresh = text.withColumnRenamed(id_col, "id").join(ids, "id").select("id", text_col).mapInArrow(_full_sets(shingle_words), "id long, shingles array<long>").dropDuplicates(["id"])
-        sets.append(written(fresh, "sets"))
-        full = sets[0]
-        for more in sets[1:]:
-            full = full.union(more)
-        full = full.select("id", "shingles")
-        j = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        j = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         return written(j.filter(100 * both >= threshold_pct * (F.size("x") + F.size("y") - both)).select("a", "b"), "confirmed")
 
@@ -172,6 +165,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a second leader in another order joins most of what the first one missed
     for seed in (1, 2):
         still = written(open_buckets(edges), "open")
+        if still.isEmpty():
+            break
         rank = F.xxhash64(F.lit(seed), F.col("id"))
         # the smallest component label isn't the leader's again: leaders come from the other components
         lead = still.join(still.groupBy("h").agg(F.min("c").alias("lo")), "h").filter("c <> lo").groupBy("h").agg(F.min_by(F.struct("id", "c"), rank).alias("m"))

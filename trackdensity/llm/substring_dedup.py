@@ -184,7 +184,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several = first.groupBy("ah").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     ask = first.join(several, "ah").select("f.doc", F.struct("ah", "m", "f.at", "f.lo", "f.hi").alias("p")).groupBy("doc").agg(F.collect_list("p").alias("places"))
     ask = written(ask, "asked")
-    segs = written(text.join(ask, "doc").select("doc", "text", "places").mapInArrow(_slices, f"ah long, m long, {PLACE}, seg binary"), "bytes")
+    segs = written(text.join(ask.hint("merge"), "doc").select("doc", "text", "places").mapInArrow(_slices, f"ah long, m long, {PLACE}, seg binary"), "bytes")
     size = segs.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + 1), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-size // SHARD_BYTES))
     cold = segs.filter(f"m <= {hot}").withColumn("shard", F.pmod(F.xxhash64("ah"), F.lit(shards)))
@@ -200,5 +200,5 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each input row."""
     spans = written(repeated_spans(docs, id_col, text_col, **kwargs), "spans")
-    joined = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(spans, "doc", "left").select("doc", "text", "spans")
+    joined = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(spans.hint("merge"), "doc", "left").select("doc", "text", "spans")
     return joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
