@@ -34,8 +34,8 @@ from . import kernel as K
 from .shared import written
 from .suffix_array import permuted_lcp, suffix_array
 
-LENGTH, GRAM = 100, 24
-HOT = 4096
+LENGTH, GRAM = 100, 40
+HOT = 16384
 SHARD_BYTES = 4 << 20
 SEPARATOR = 0xFF  # in no UTF-8 text
 PLACE = "doc long, at int, lo int, hi int"
