@@ -21,14 +21,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
 
 TABLE = 1 << 20
-MAX_ROWS = 20_000
-MAX_FEATURES = 4096
+MAX_ROWS = 8_000
+MAX_FEATURES = 1024
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 STOP = np.zeros(256, bool)
@@ -77,22 +78,24 @@ def _bags(chosen: np.ndarray):
                 own = np.isin(f, chosen)
                 f, sent = f[own], sent[own]
                 n_sent = np.bincount(sent_doc, minlength=b - a)
-                for d in range(b - a):
-                    mine = sent_doc[sent] == d
-                    _, local = np.unique(sent[mine], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(toxic[a + d])]), pa.array([int(n_sent[d])]), pa.array([f[mine].tolist()], pa.list_(pa.int64())), pa.array([local.tolist()], pa.list_(pa.int64()))], names=["toxic", "n_sent", "f", "s"])
+                order = np.lexsort((sent, sent_doc[sent]))
+                f, sent = f[order], sent[order]
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(sent_doc[sent], minlength=b - a))]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(n_sent), pa.ListArray.from_arrays(ends, pa.array(f.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(sent.astype(np.int32)))],
+                    names=["toxic", "n_sent", "f", "s"],
+                )
 
     return run
 
 
 def _climb(bags, chosen: np.ndarray, steps: int = 400, rate: float = 0.08, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights of the chosen features and bias that climb the noisy-or likelihood."""
-    n_docs = len(bags)
-    y, n_sent = bags["toxic"].to_numpy(float), bags["n_sent"].to_numpy(float)
-    f = np.searchsorted(chosen, np.concatenate([np.asarray(x, np.int64) for x in bags["f"]] + [np.zeros(0, np.int64)]))
-    size = np.array([len(x) for x in bags["f"]])
-    doc_of = np.repeat(np.arange(n_docs), size)
-    local = np.concatenate([np.asarray(x, np.int64) for x in bags["s"]] + [np.zeros(0, np.int64)])
+    n_docs = bags.num_rows
+    y, n_sent = (bags.column(c).to_numpy().astype(float) for c in ("toxic", "n_sent"))
+    f, local = (pc.list_flatten(bags.column(c)).to_numpy().astype(np.int64) for c in ("f", "s"))
+    f = np.searchsorted(chosen, f)
+    doc_of = np.repeat(np.arange(n_docs), pc.list_value_length(bags.column("f")).to_numpy())
     _, inst = np.unique(doc_of * (1 << 32) + local, return_inverse=True)
     n_inst = int(inst.max()) + 1 if len(inst) else 0
     inst_doc = np.zeros(n_inst, np.int64)
@@ -140,8 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     least = max(5, 0.01 * min(total.values()))
     best = seen.filter(F.col("n") >= least).withColumn("z", F.abs(z)).filter("z >= 3.5").orderBy(F.desc("z"), "f").limit(MAX_FEATURES).toPandas()
     chosen = np.sort(best["f"].to_numpy(np.int64))
-    bags = rows.mapInArrow(_bags(chosen), "toxic long, n_sent long, f array<long>, s array<long>").toPandas()
-    if not len(bags) or bags["toxic"].nunique() < 2:
+    bags = rows.mapInArrow(_bags(chosen), "toxic long, n_sent long, f array<int>, s array<int>").toArrow()
+    if len(set(bags.column("toxic").to_pylist())) < 2:
         return weights, -6.0
     weights[chosen], bias = _climb(bags, chosen)
     return weights, bias
