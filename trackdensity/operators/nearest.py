@@ -62,7 +62,7 @@ def with_fallback(matches: DataFrame, max_dist: float) -> DataFrame:
 
 def best_match(matches: DataFrame) -> DataFrame:
     """One epoch for each point: least distance, then least time difference, epoch, latitude, longitude."""
-    away = F.abs(F.unix_timestamp("time") - F.unix_timestamp("epoch"))
+    away = F.abs(F.unix_micros("time") - F.unix_micros("epoch"))
     rest = [c for c in matches.columns if c not in ("obs_id", "dist", "epoch", "latitude", "longitude", "tec_value")]
     best = F.min(F.struct("dist", away.alias("away"), "epoch", "latitude", "longitude", "tec_value", *rest)).alias("c")
     return matches.groupBy("obs_id").agg(best).select("obs_id", "c.dist", "c.epoch", "c.latitude", "c.longitude", "c.tec_value", *[f"c.{c}" for c in rest])
