@@ -160,7 +160,7 @@ def _count(alone: np.ndarray, after: np.ndarray):
     def run(batches):
         for batch in batches:
             data, offs = K.text_bytes(batch.column(0))
-            for a, b in K.chunks(offs, 8 << 20, 1 << 30):
+            for a, b in K.chunks(offs, 2 << 20, 1 << 30):
                 d, o = _prepared(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 s, e, _, h = _hashed(d, o, alone, after)
                 code, _ = pd.factorize(h)
@@ -250,7 +250,7 @@ class _Local:
 
     def ids(self, key: int, raw: bytes) -> list[int]:
         if (found := self.known.get(key)) is None:
-            if len(self.known) > 400_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             found = self.known[key] = self.table.merge(raw.decode("utf-8", "replace").replace(" ", META))
         return found
