@@ -7,8 +7,8 @@
    group of copies is one document from here on.
 3. Documents that share a band key are candidates. Nothing emits all pairs of a bucket:
    each bucket's members meet its leader first (smallest id, then another order).
-   Candidates whose collision-corrected b-bit estimate (counts of equal bits) is far below
-   the threshold go; the others are confirmed on their full sets.
+   Candidates whose set sizes rule a link out, or whose collision-corrected b-bit estimate
+   (counts of equal bits) is far below the threshold, go; the others are confirmed on their full sets.
 4. Buckets whose members still lie in several components compare members across
    components, the bit-count estimate being part of the join's condition, and confirm what
    is left; so no link between different texts is lost to the leaders.
@@ -129,13 +129,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = ["k1", "k2", "n_shingles"]
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
     classes = written(sig.groupBy(*key, own.alias("own")).agg(F.min("doc_id").alias("rep")), "classes")
-    one = written(sig.select("doc_id", "bits", "bands").join(classes.filter("n_shingles > 0").select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "distinct")
-    bits = one.select(F.col("doc_id").alias("id"), "bits")
+    one = written(sig.select("doc_id", "n_shingles", "bits", "bands").join(classes.filter("n_shingles > 0").select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "distinct")
+    bits = one.select(F.col("doc_id").alias("id"), "n_shingles", "bits")
     bands = one.select(F.col("doc_id").alias("id"), F.explode("bands").alias("h"))
     buckets = bands.groupBy("h").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "lead")
     members = written(bands.join(buckets, "h").select("h", "id", "lead"), "members")
 
     least = threshold_pct / 100 - MARGIN
+    # sets of which one is much smaller can't reach the threshold
+    alike = lambda x, y: f"100 * least({x}, {y}) >= {threshold_pct} * greatest({x}, {y})"
     text = docs.select(F.col(id_col).cast("long"), text_col)
     # full sets of all documents that share a bucket: one shuffle of the texts, at every size
     held = text.withColumnRenamed(id_col, "id").join(members.select("id").distinct().hint("merge"), "id").select("id", text_col)
@@ -149,8 +151,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return written(j.filter(100 * both >= threshold_pct * (F.size("x") + F.size("y") - both)).select("a", "b"), "confirmed")
 
     def with_bits(pairs: DataFrame) -> DataFrame:
-        j = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("p")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("q")), "b")
-        return j.filter(f"{estimate('p', 'q')} >= {least}").select("a", "b")
+        side = lambda k, n, b: bits.select(F.col("id").alias(k), F.col("n_shingles").alias(n), F.col("bits").alias(b))
+        j = pairs.join(side("a", "m", "p"), "a").join(side("b", "n", "q"), "b")
+        return j.filter(f"{alike('m', 'n')} and {estimate('p', 'q')} >= {least}").select("a", "b")
 
     def open_buckets(edges: DataFrame) -> DataFrame:
         """Members (h, id, c) of the buckets that still hold several components."""
@@ -176,7 +179,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     x, y = still.alias("x"), still.alias("y")
     # a pair that shares several buckets is met in the first of them only
     first_shared = "element_at(filter(zip_with(x.bands, y.bands, (a, b) -> if(a = b, a, null)), a -> a is not null), 1) = x.h"
-    across = x.join(y, F.expr(f"x.h = y.h and x.id < y.id and x.c <> y.c and {estimate('x.bits', 'y.bits')} >= {least} and {first_shared}"))
+    across = x.join(y, F.expr(f"x.h = y.h and x.id < y.id and x.c <> y.c and {alike('x.n_shingles', 'y.n_shingles')} and {estimate('x.bits', 'y.bits')} >= {least} and {first_shared}"))
     edges = written(edges.union(confirmed(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())).distinct(), "edges")
 
     comp = components(edges)
