@@ -2,13 +2,16 @@
 
 1. One pass over the whole texts: set of distinct word shingles, its size and a 128-bit
    key of the set, HASHES minima, of which BANDS bands of ROWS minima become band keys,
-   and BITS low bits of each minimum packed into longs, one bit plane after the other.
+   BITS low bits of each minimum packed into longs, one bit plane after the other, and the
+   parities of the set's hashes in PARITIES bins (an odd sketch).
 2. Documents of equal sets collapse to their smallest doc_id (partial aggregation), so a
    group of copies is one document from here on.
 3. Documents that share a band key are candidates. Nothing emits all pairs of a bucket:
    each bucket's members meet its leader first (smallest id, then another order).
    Candidates whose set sizes rule a link out, or whose collision-corrected b-bit estimate
-   (counts of equal bits) is far below the threshold, go; the others are confirmed on their full sets.
+   (counts of equal bits) is far below the threshold, go. So do those whose parities differ
+   in more bins than a link's sets can differ in elements (no link is lost: each bin that
+   differs holds an element of one set only). The others are confirmed on their full sets.
 4. Buckets whose members still lie in several components compare members across
    components, the bit-count estimate being part of the join's condition, and confirm what
    is left; so no link between different texts is lost to the leaders.
@@ -35,11 +38,12 @@ from .graph import components
 from .shared import written
 
 HASHES, ROWS, BANDS, BITS = 512, 5, 38, 2
+PARITIES = 2048
 MARGIN = 0.1
 _rng = np.random.default_rng(5)
 MUL = _rng.integers(1, 2**32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
-SIG_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bits array<long>, bands array<long>"
+SIG_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bits array<long>, odd array<long>, bands array<long>"
 
 
 def _sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,10 +69,13 @@ def _signatures(n: int):
                 full = np.flatnonzero(size)
                 k1, k2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
                 bits = np.zeros((b - a, BITS * HASHES // 64), np.uint64)
+                odd = np.zeros((b - a, PARITIES // 64), np.uint64)
                 bands = np.zeros((len(full), BANDS), np.uint64)
                 if len(full):
                     cut = at[:-1][full]
                     k1[full], k2[full] = np.add.reduceat(K.mix(sh), cut), np.add.reduceat(K.mix(sh ^ K.U(0x5851F42D4C957F2D)), cut)
+                    place = (K.mix(sh ^ K.U(0x2545F4914F6CDD1D)) % K.U(PARITIES)).astype(np.int64)
+                    np.bitwise_xor.at(odd.ravel(), np.repeat(np.arange(b - a), size) * odd.shape[1] + place // 64, K.U(1) << (place % 64).astype(np.uint64))
                     x = (sh ^ (sh >> K.U(32))).astype(np.uint32)
                     for j in range(HASHES):
                         v = x * MUL[j] + ADD[j]
@@ -86,10 +93,10 @@ def _signatures(n: int):
                         pa.array(size),
                         pa.array(k1.view(np.int64)),
                         pa.array(k2.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel().view(np.int64))),
+                        *(pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().view(np.int64))) for x in (bits, odd)),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(bands.ravel().view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bits", "bands"],
+                    names=["doc_id", "n_shingles", "k1", "k2", "bits", "odd", "bands"],
                 )
 
     return run
@@ -116,6 +123,11 @@ def estimate(x: str, y: str) -> str:
     return f"(({equal} - {2.0**-BITS}D) / {1 - 2.0**-BITS}D)"
 
 
+def differing(x: str, y: str) -> str:
+    """SQL of a lower bound of the number of elements that only one of two sets has."""
+    return "(" + " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(PARITIES // 64)) + ")"
+
+
 def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_signatures(n), SIG_SCHEMA)
 
@@ -129,15 +141,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = ["k1", "k2", "n_shingles"]
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
     classes = written(sig.groupBy(*key, own.alias("own")).agg(F.min("doc_id").alias("rep")), "classes")
-    one = written(sig.select("doc_id", "n_shingles", "bits", "bands").join(classes.filter("n_shingles > 0").select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "distinct")
-    bits = one.select(F.col("doc_id").alias("id"), "n_shingles", "bits")
+    one = written(sig.select("doc_id", "n_shingles", "bits", "odd", "bands").join(classes.filter("n_shingles > 0").select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "distinct")
+    bits = one.select(F.col("doc_id").alias("id"), "n_shingles", "bits", "odd")
     bands = one.select(F.col("doc_id").alias("id"), F.explode("bands").alias("h"))
     buckets = bands.groupBy("h").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "lead")
     members = written(bands.join(buckets, "h").select("h", "id", "lead"), "members")
 
     least = threshold_pct / 100 - MARGIN
-    # sets of which one is much smaller can't reach the threshold
-    alike = lambda x, y: f"100 * least({x}, {y}) >= {threshold_pct} * greatest({x}, {y})"
+
+    def alike(x: str, y: str) -> str:
+        """SQL: sizes, parities and estimate allow a link of the rows x and y."""
+        m, n = f"{x}.n_shingles", f"{y}.n_shingles"
+        sizes = f"100 * least({m}, {n}) >= {threshold_pct} * greatest({m}, {n})"
+        parities = f"{100 + threshold_pct} * {differing(x + '.odd', y + '.odd')} <= {100 - threshold_pct} * ({m} + {n})"
+        return f"{sizes} and {parities} and {estimate(x + '.bits', y + '.bits')} >= {least}"
+
     text = docs.select(F.col(id_col).cast("long"), text_col)
     # full sets of all documents that share a bucket: one shuffle of the texts, at every size
     held = text.withColumnRenamed(id_col, "id").join(members.select("id").distinct().hint("merge"), "id").select("id", text_col)
@@ -151,9 +169,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return written(j.filter(100 * both >= threshold_pct * (F.size("x") + F.size("y") - both)).select("a", "b"), "confirmed")
 
     def with_bits(pairs: DataFrame) -> DataFrame:
-        side = lambda k, n, b: bits.select(F.col("id").alias(k), F.col("n_shingles").alias(n), F.col("bits").alias(b))
-        j = pairs.join(side("a", "m", "p"), "a").join(side("b", "n", "q"), "b")
-        return j.filter(f"{alike('m', 'n')} and {estimate('p', 'q')} >= {least}").select("a", "b")
+        side = lambda k, row: bits.select(F.col("id").alias(k), F.struct("n_shingles", "bits", "odd").alias(row))
+        return pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").filter(alike("p", "q")).select("a", "b")
 
     def open_buckets(edges: DataFrame) -> DataFrame:
         """Members (h, id, c) of the buckets that still hold several components."""
@@ -165,21 +182,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = confirmed(with_bits(ordered(members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")))))
-    # a second leader in another order joins most of what the first one missed
-    for seed in (1, 2):
-        still = written(open_buckets(edges), "open")
-        if still.isEmpty():
-            break
-        rank = F.xxhash64(F.lit(seed), F.col("id"))
-        # the smallest component label isn't the leader's again: leaders come from the other components
-        lead = still.join(still.groupBy("h").agg(F.min("c").alias("lo")), "h").filter("c <> lo").groupBy("h").agg(F.min_by(F.struct("id", "c"), rank).alias("m"))
-        pairs = still.join(lead, "h").filter("c <> m.c").select(F.col("m.id").alias("a"), F.col("id").alias("b"))
-        edges = written(edges.union(confirmed(with_bits(ordered(pairs)))).distinct(), "edges")
+    # a second leader, of another component and in another order, joins most of what the first one missed
+    still = written(open_buckets(edges), "open")
+    lead = still.join(still.groupBy("h").agg(F.min("c").alias("lo")), "h").filter("c <> lo").groupBy("h").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id")).alias("m"))
+    pairs = still.join(lead, "h").filter("c <> m.c").select(F.col("m.id").alias("a"), F.col("id").alias("b"))
+    edges = written(edges.union(confirmed(with_bits(ordered(pairs)))).distinct(), "edges")
     still = written(open_buckets(edges).join(one.withColumnRenamed("doc_id", "id"), "id"), "open")
     x, y = still.alias("x"), still.alias("y")
     # a pair that shares several buckets is met in the first of them only
     first_shared = "element_at(filter(zip_with(x.bands, y.bands, (a, b) -> if(a = b, a, null)), a -> a is not null), 1) = x.h"
-    across = x.join(y, F.expr(f"x.h = y.h and x.id < y.id and x.c <> y.c and {alike('x.n_shingles', 'y.n_shingles')} and {estimate('x.bits', 'y.bits')} >= {least} and {first_shared}"))
+    across = x.join(y, F.expr(f"x.h = y.h and x.id < y.id and x.c <> y.c and {alike('x', 'y')} and {first_shared}"))
     edges = written(edges.union(confirmed(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())).distinct(), "edges")
 
     comp = components(edges)
