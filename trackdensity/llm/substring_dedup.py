@@ -6,7 +6,7 @@ same document and earlier start), judged on the input.
 1. Anchors: in every run of LENGTH - GRAM + 1 consecutive GRAM-byte strings, those of the
    smallest hash. Which they are depends on the bytes alone, so two equal LENGTH-byte strings hold the
    same anchor at the same offset. Anchors that occur once in the corpus can be in no repeat.
-2. An anchor's segment is what lies within reach of strings that hold it. Equal segments
+2. An anchor's segment is what the strings cover that it is the anchor of. Equal segments
    of an anchor collapse to the first (partial aggregation); of all others every string is a repeat.
 3. Anchors with several different segments: their segments' bytes are dealt by anchor over
    shards of bounded size. A shard's suffix array is built by induced sorting (classify, sort
@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 100, 40
 HOT = 16384
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17  # texts are hashed in runs of this size, which stay in a core's cache
 SEPARATOR = 0xFF  # in no UTF-8 text
 PLACE = "doc long, at int, lo int, hi int"
 
@@ -50,12 +52,12 @@ def _sliding(x: np.ndarray, w: int, fold) -> np.ndarray:
     return fold(x[: len(x) - (w - size)], x[w - size :]) if size < w else x
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, hash, prefix hashes) of the anchors of whole texts."""
+def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash, prefix hashes, least hash of the string at each start) of the anchors of whole texts."""
     n, w = len(data), length - gram + 1
     h = K.prefix_hash(data)
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), h
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), h, np.zeros(0, np.uint64)
     g = K.mix((h[gram:] - h[:-gram]) * K.powers(n + 1)[1][: n - gram + 1]) | K.U(1)
     low = _sliding(g, w, np.minimum)  # for each start of a string
     end = np.repeat(offs[1:], np.diff(offs))[: len(low)]
@@ -63,7 +65,21 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     pad = np.zeros(w - 1, np.uint64)
     high = _sliding(np.concatenate([pad, low, pad]), w, np.maximum)
     at = np.flatnonzero(high[: len(g)] == g)
-    return at, g[at], h
+    return at, g[at], h, low
+
+
+def reach(at: np.ndarray, g: np.ndarray, low: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings that each anchor is the anchor of; they are consecutive."""
+    if not len(at):
+        return at, at
+    begin = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+    end = np.append(begin[1:], len(low)) - 1
+    run = np.searchsorted(begin, np.maximum(at - w + 1, 0), "right") - 1
+    todo = np.flatnonzero(low[begin[run]] != g)
+    while len(todo):
+        run[todo] += 1
+        todo = todo[low[begin[run[todo]]] != g[todo]]
+    return np.maximum(begin[run], at - w + 1), np.minimum(end[run], at)
 
 
 def _anchor_rows(length: int, gram: int, only_hash: bool):
@@ -71,44 +87,56 @@ def _anchor_rows(length: int, gram: int, only_hash: bool):
         for batch in batches:
             data, offs = K.text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in K.chunks(offs):
+            made = []
+            for a, b in K.chunks(offs, CHUNK_BYTES):
                 d, o = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-                at, g, h = anchors(d, o, length, gram)
+                at, g, h, low = anchors(d, o, length, gram)
                 if only_hash:
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], names=["ah"])
+                    made.append(pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], names=["ah"]))
                     continue
+                lo, last = reach(at, g, low, length - gram + 1)
+                hi = last + length
                 doc = np.searchsorted(o, at, "right") - 1
-                lo, hi = np.maximum(o[doc], at + gram - length), np.minimum(o[doc + 1], at + length)
                 sh = K.span_hash(h, lo, hi) ^ K.mix((at - lo).astype(np.uint64))
                 rel = [(x - o[doc]).astype(np.int32) for x in (at, lo, hi)]
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(ids[a + doc]), *map(pa.array, rel)], names=["ah", "sh", "doc", "at", "lo", "hi"])
+                made.append(pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(ids[a + doc]), *map(pa.array, rel)], names=["ah", "sh", "doc", "at", "lo", "hi"]))
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches() if made else ()
 
     return run
 
 
+def _fields(lists: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row number of each struct in a list column, and its fields."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    return np.repeat(np.arange(len(size)), size), [flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+
+
 def _slices(batches):
     """doc, text, array of places -> a row with bytes for each place."""
     for batch in batches:
         data, offs = K.text_bytes(batch.column(1))
-        docs = batch.column(0).to_pylist()
-        for i, places in enumerate(batch.column(2).to_pylist()):
-            raw = data[offs[i] : offs[i + 1]].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p["ah"] for p in places]), pa.array([p["m"] for p in places]), pa.array([docs[i]] * len(places)), *[pa.array([p[k] for p in places], pa.int32()) for k in ("at", "lo", "hi")], pa.array([raw[p["lo"] : p["hi"]] for p in places], pa.binary())],
-                names=["ah", "m", "doc", "at", "lo", "hi", "seg"],
-            )
+        row, (ah, m, at, lo, hi) = _fields(batch.column(2), ("ah", "m", "at", "lo", "hi"))
+        docs = batch.column(0).to_numpy(zero_copy_only=False)[row]
+        ends = np.cumsum(hi - lo)
+        cuts = np.flatnonzero(np.diff(ends // SHARD_BYTES)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(row)], strict=True):  # bounded runs of places
+            size = (hi - lo)[a:b]
+            offset = np.append(0, np.cumsum(size))
+            take = np.repeat(offs[row[a:b]] + lo[a:b] - offset[:-1], size) + np.arange(offset[-1])
+            seg = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(data[take])])
+            yield pa.RecordBatch.from_arrays([pa.array(ah[a:b]), pa.array(m[a:b]), pa.array(docs[a:b]), *[pa.array(x[a:b].astype(np.int32)) for x in (at, lo, hi)], seg], names=["ah", "m", "doc", "at", "lo", "hi", "seg"])
 
 
 def _shard(length: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
-        doc, at, lo = (table.column(c).to_numpy().astype(np.int64) for c in ("doc", "at", "lo"))
+        doc, lo = (table.column(c).to_numpy().astype(np.int64) for c in ("doc", "lo"))
         segs = table.column("seg").to_pylist()
         size = np.array([len(s) for s in segs], np.int64)
         t = np.frombuffer(bytes([SEPARATOR]).join(segs), np.uint8)
         base = np.cumsum(size + 1) - size - 1
-        # strings that hold the anchor: starts from lo to at, as far as they fit
-        last = np.minimum(at - lo, size - length)
-        k = np.maximum(last + 1, 0)
+        # each string of a segment starts in it and fits
+        k = size - length + 1
         seg = np.repeat(np.arange(len(segs)), k)
         within = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
         start = np.zeros(len(t) + 1, np.int64) - 1
@@ -145,7 +173,7 @@ def _strings(length: int):
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                k = max(0, min(r["at"] - r["lo"], len(r["seg"]) - length) + 1)
+                k = len(r["seg"]) - length + 1
                 yield pa.RecordBatch.from_arrays([pa.array([r["seg"][i : i + length] for i in range(k)], pa.binary()), pa.array([r["doc"]] * k, pa.int64()), pa.array([r["lo"] + i for i in range(k)], pa.int32())], names=["s", "doc", "lo"])
 
     return run
@@ -154,21 +182,25 @@ def _strings(length: int):
 def _removed(batches):
     for batch in batches:
         data, offs = K.text_bytes(batch.column(1))
-        n = len(offs) - 1
-        gone, count, sha = np.zeros(n, np.int64), np.zeros(n, np.int64), []
-        for i, spans in enumerate(batch.column(2).to_pylist()):
-            raw = data[offs[i] : offs[i + 1]]
-            if spans:
-                delta = np.zeros(len(raw) + 1, np.int64)
-                lo, hi = (np.minimum([s[k] for s in spans], len(raw)) for k in ("lo", "hi"))
-                np.add.at(delta, lo, 1)
-                np.add.at(delta, hi, -1)
-                dead = np.cumsum(delta[:-1]) > 0
-                gone[i] = dead.sum()
-                count[i] = dead[:1].sum() + (dead[1:] & ~dead[:-1]).sum()
-                raw = raw[~dead]
-            sha.append(hashlib.sha256(raw.tobytes()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(gone), pa.array(count), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        row, (lo, hi) = _fields(batch.column(2), ("lo", "hi"))
+        gone, count, sha = [], [], []
+        for a, b in K.chunks(offs):
+            d, o = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+            i, j = np.searchsorted(row, [a, b])
+            doc = row[i:j] - a
+            size = np.diff(o)[doc]
+            delta = np.zeros(len(d) + 1, np.int32)
+            np.add.at(delta, o[doc] + np.minimum(lo[i:j], size), 1)
+            np.add.at(delta, o[doc] + np.minimum(hi[i:j], size), -1)
+            dead = np.cumsum(delta[:-1], dtype=np.int32) > 0
+            start, end, owner = K.spans(dead, o)
+            count.append(np.bincount(owner, minlength=b - a))
+            gone.append(np.bincount(owner, end - start, minlength=b - a).astype(np.int64))
+            kept = d[~dead]
+            cut = o - np.append(0, np.cumsum(gone[-1]))
+            sha += [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        none = [np.zeros(0, np.int64)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(np.concatenate(gone + none)), pa.array(np.concatenate(count + none)), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -180,7 +212,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct("doc", "at", "lo", "hi")
     first = written(found.groupBy("ah", "sh").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")), "segments")
     # each key is once on the right, so adaptive skew handling may split a segment of many copies
-    copies = found.join(first.filter("n > 1").select("ah", "sh", "f"), ["ah", "sh"]).filter(place > F.col("f")).filter(f"hi - lo >= {length}").select("doc", "lo", "hi")
+    copies = found.join(first.filter("n > 1").select("ah", "sh", "f"), ["ah", "sh"]).filter(place > F.col("f")).select("doc", "lo", "hi")
     several = first.groupBy("ah").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     ask = first.join(several, "ah").select("f.doc", F.struct("ah", "m", "f.at", "f.lo", "f.hi").alias("p")).groupBy("doc").agg(F.collect_list("p").alias("places"))
     ask = written(ask, "asked")
