@@ -26,7 +26,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = 1 << max(18, (n - 1).bit_length())
         for name, base in (("up", BASE), ("down", BASE_INV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -51,7 +51,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(offs: np.ndarray, most: int = 1 << 20, docs: int = 4000) -> Iterator[tuple[int, int]]:
+def chunks(offs: np.ndarray, most: int = 1 << 18, docs: int = 4000) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about `most` bytes; a longer text is a range of its own."""
     a, n = 0, len(offs) - 1
     while a < n:
