@@ -193,6 +193,33 @@ def test_decontaminate(spark):
     assert {r.doc_id for r in decontaminate.decontaminate(d, b).collect()} == {3, 4}
 
 
+def test_decontaminate_brute_force(spark):
+    item = [f"w{i}" for i in range(20)]
+    other = [f"v{i % 7}" if i % 2 else f"u{i}" for i in range(24)]
+    swap = lambda at: " ".join("zz" if i in at else w for i, w in enumerate(item))
+    texts = [" ".join(item), swap({3, 9, 15}), " ".join(item[:12]), " ".join(item[9:]), "q q " + " x ".join(" ".join(item[i : i + 2]) for i in range(0, 20, 2)), " y ".join(item), swap(set(range(2, 20, 3))), swap({1, 4, 7, 10, 13, 16, 19}), "pad " * 30 + swap({4, 5, 6}) + " pad" * 30]
+    texts += [" ".join(other[i:] + item[:i]) for i in range(0, 20, 3)] + ["w1 w2 w3 then w5", "", " ".join(item[::-1])] + [" ".join(item[:11])] * 9
+    rng = np.random.default_rng(3)
+    texts += [" ".join(str(rng.choice(["w", "v", "u"])) + str(rng.integers(20)) if rng.random() < 0.45 else w for w in item + other) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame([(9, " ".join(item)), (10, " ".join(other)), (11, "w4 w5 w6")], "item_id long, text string")
+
+    def align(a, b):
+        rows, best = [[0] * (len(b) + 1)], 0
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(0, rows[-1][j] + (2 if x == y else -1), rows[-1][j + 1] - 1, new[j] - 1))
+            rows.append(new)
+            best = max(best, *new)
+        return best / (2 * len(b))
+
+    for threshold in (0.5, 0.4, 0.8):
+        want = {(i, k): s for i, t in enumerate(texts) for k, x in ((9, item), (10, other), (11, ["w4", "w5", "w6"])) if (s := align(t.split(), x)) >= threshold}
+        got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(d, b, threshold=threshold).collect()}
+        assert got == want and len(want) > 10
+
+
 def test_empty_tables(spark, nothing):
     bench = spark.createDataFrame([], "item_id long, text string")
     table = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))

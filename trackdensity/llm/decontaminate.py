@@ -1,76 +1,150 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. Word n-grams of all test items; one pass over the whole texts gives every occurrence
-   (doc, position) of any of them, and with it each n-gram's document count over the corpus.
-2. Of each item the rarer half of its n-grams (at least LEAST_SEEDS, ties included) are its
-   seeds: a rank within the item, so an item that is copied often keeps seeds too.
-3. Documents join items on seeds. Hits of a pair (document, item) that lie within one
-   item's length become one passage; the passage with a margin is aligned with the item by
-   Smith-Waterman over words (match 2, mismatch -1, gap -1).
-4. score = alignment / (2 * words of the item); pairs of `threshold` or more are kept.
-
-The set of benchmark n-grams goes to the tasks only below BENCH_BYTES of text; a larger
-benchmark is worked through in slices of that size, one pass over the texts for each.
+"""Benchmark decontamination: n-gram and rare-word seeds, then Smith-Waterman alignment.
+
+1. The score of a document and an item is their best Smith-Waterman alignment over words
+   (match 2, mismatch -1, gap -1) / (2 * words of the item); pairs of `threshold` or more
+   are kept.
+2. Seeds of an item of L words are all its word n-grams, however common, and its k rarest
+   words (by occurrences in the corpus). An alignment without n consecutive matches has a
+   break after every n - 1 matches at most, so to reach the threshold it matches so many
+   words that at most k - 1 of the item's are left out: one of any k is matched. So every
+   pair that brute force finds has a seed; which words are taken is a matter of speed only.
+3. A seed's hit fixes a window of the document that holds every alignment through it that
+   reaches the threshold. Windows with too few of the item's words are ruled out, as each
+   match needs one; the others are aligned.
+
+Items go to the tasks in slices of at most about BENCH_BYTES of text, two passes over the
+texts for each: one counts the items' words, one finds and aligns.
 
 Defined cases: null text is empty; words are lower-cased A-Z; items of fewer words than the
-n-gram seed with their whole sequence; empty items and empty tables give no pairs; rows
+n-gram seed with their whole sequence only; empty items and empty tables give no pairs; rows
 that repeat a doc_id or item_id are one document or item with the best score; repeated item
 texts are reported for each item_id.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .shared import written
 
-NGRAM, LEAST_SEEDS, THRESHOLD = 3, 8, 0.5
-BENCH_BYTES = 32 << 20
-
-
-def _item_grams(n: int):
-    def run(batches):
-        for batch in batches:
-            data, offs = K.text_bytes(batch.column(1))
-            h, _, _, doc = K.words(K.LOWER[data], offs)
-            size = np.bincount(doc, minlength=len(offs) - 1)
-            sh, owner = K.shingles(h, doc, n, len(offs) - 1)
-            first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(offs) - 1))])
-            at = np.arange(len(sh)) - first[owner]
-            ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(sh.view(np.int64)), pa.array(at), pa.array(size[owner])], names=["item_id", "gram", "at", "n_words"])
-
-    return run
-
+NGRAM, THRESHOLD = 3, 0.5
+BENCH_BYTES = 8 << 20
+BITS = (1 << 22) - 1
+
+
+def _grams(h: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of k consecutive words, and the places where all k are of one text."""
+    m = max(0, len(h) - k + 1)
+    g = np.zeros(m, np.uint64)
+    for j in range(k):
+        g = K.mix(g * K.U(0x100000001B3) + h[j : j + m])
+    return g, np.flatnonzero(owner[:m] == owner[k - 1 :][:m])
+
+
+def _ragged(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i the indices first[i] .. first[i] + size[i] - 1: their i, and they."""
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + first[row]
+
+
+def least_matches(size: int, n: int, threshold: float) -> int:
+    """Fewest matched words with which an alignment without n consecutive ones reaches the threshold."""
+    reach = lambda m: 2 * m - (-(-m // (n - 1)) - 1) >= 2 * threshold * size
+    return next((m for m in range(1, size + 1) if reach(m)), size + 1) if n > 1 else size + 1
+
+
+class Bench:
+    """A slice of the items: their words, seeds by hash, and how many matches each needs."""
+
+    def __init__(self, ids: np.ndarray, text: pa.Array, n: int, threshold: float):
+        data, offs = K.text_bytes(text)
+        self.ids, self.n, self.threshold = ids, n, threshold
+        self.words, _, _, self.owner = K.words(K.LOWER[data], offs)
+        self.size = np.bincount(self.owner, minlength=len(ids))
+        self.first = np.cumsum(self.size) - self.size
+        self.at = np.arange(len(self.words)) - self.first[self.owner]
+        self.vocab, self.word = np.unique(self.words, return_inverse=True)
+        by_size = {s: least_matches(s, n, threshold) for s in set(self.size.tolist())}
+        self.unbroken = np.array([by_size[s] for s in self.size.tolist()], np.int64)
+        self.need = np.ceil(threshold * self.size - 1e-9).astype(np.int64)
+        self.margin = max(0, math.ceil(2 * (1 - threshold)))
+
+    def seed(self, count: np.ndarray) -> None:
+        """count: occurrences of each of vocab. Seeds by their number of words: sorted hashes, item, place."""
+        self.seeds = {}
+        for k in range(1, self.n + 1):
+            g, at = _grams(self.words, self.owner, k)
+            at = at[(self.size[self.owner[at]] == k) | (k == self.n)]
+            self.seeds[k] = (g[at], self.owner[at], self.at[at], np.ones(len(at), bool))
+        order = np.lexsort((self.at, count[self.word], self.owner))
+        place = np.arange(len(order)) - self.first[self.owner[order]]
+        own = self.owner[order]
+        rare = order[(place < self.size[own] - self.unbroken[own] + 1) & (self.size[own] >= self.n)]
+        more = (_grams(self.words[rare], np.zeros(len(rare)), 1)[0], self.owner[rare], self.at[rare], np.zeros(len(rare), bool))
+        self.seeds[1] = tuple(np.concatenate(x) for x in zip(self.seeds[1], more, strict=True))
+        for k, seeds in list(self.seeds.items()):
+            order = np.argsort(seeds[0], kind="stable")
+            self.seeds[k] = tuple(x[order] for x in seeds)
+            if not len(order):
+                del self.seeds[k]
+
+    def index(self, h: np.ndarray) -> np.ndarray:
+        """Each word's number in vocab, -1 for others."""
+        if not len(self.vocab):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
+        return np.where(self.vocab[at] == h, at, -1)
+
+    def windows(self, h: np.ndarray, doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item, first and last word (exclusive) of each window that may reach the threshold."""
+        rows = [np.zeros((0, 4), np.int64)]
+        for k, (hashes, item, at, whole) in self.seeds.items():
+            g, ok = _grams(h, doc, k)
+            ok = ok[self.bits[k][(g[ok] & K.U(BITS)).astype(np.int64)]]
+            a, b = np.searchsorted(hashes, g[ok], "left"), np.searchsorted(hashes, g[ok], "right")
+            r, s = _ragged(a, b - a)
+            pos = ok[r]
+            cell = (pos - first[doc[pos]] - at[s]) // self.size[item[s]]
+            # a window counts once; "whole" (0) sorts before "rare word" (1)
+            rows.append(np.column_stack([doc[pos], item[s], cell, 1 - whole[s]]))
+        found = np.unique(np.concatenate(rows), axis=0)
+        found = found[np.concatenate([[True], (found[1:, :3] != found[:-1, :3]).any(1)])[: len(found)]]
+        d, item, cell, rare = found.T
+        size = self.size[item]
+        lo = np.maximum(first[d] + (cell - self.margin) * size, first[d])
+        hi = np.minimum(first[d] + (cell + 2 + self.margin) * size, end[d])
+        number = self.index(h)
+        known = np.flatnonzero(number >= 0)
+        keys = np.append(np.sort((number[known] << 32) + known), np.iinfo(np.int64).max)
+        r, w = _ragged(self.first[item], size)
+        want = self.word[w] << 32
+        held = np.bincount(r, weights=keys[np.searchsorted(keys, want + lo[r])] < want + hi[r], minlength=len(d))
+        fine = held >= np.where(rare == 1, self.unbroken[item], self.need[item])
+        return d[fine], item[fine], lo[fine], hi[fine]
+
+
+def _texts(batches):
+    for batch in batches:
+        data, offs = K.text_bytes(batch.column(1))
+        ids = batch.column(0).cast(pa.int64())
+        for a, b in K.chunks(offs):
+            yield ids[a:b], b - a, K.words(K.LOWER[data[offs[a] : offs[b]]], offs[a : b + 1] - offs[a]), offs[a:b] - offs[a]
 
-def _hits(n: int, grams: np.ndarray, short: bool):
-    """short: also look for grams of fewer than n words (whole items that are so short)."""
-    bits = np.zeros(1 << 22, bool)
-    bits[(grams & K.U((1 << 22) - 1)).astype(np.int64)] = True
 
+def _count(bench: Bench):
     def run(batches):
-        for batch in batches:
-            data, offs = K.text_bytes(batch.column(1))
-            ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            for a, b in K.chunks(offs):
-                h, _, _, doc = K.words(K.LOWER[data[offs[a] : offs[b]]], offs[a : b + 1] - offs[a])
-                first = np.searchsorted(doc, np.arange(b - a))
-                for k in range(1, n + 1) if short else (n,):
-                    if len(h) < k:
-                        continue
-                    m = len(h) - k + 1
-                    g = np.zeros(m, np.uint64)
-                    for j in range(k):
-                        g = K.mix(g * K.U(0x100000001B3) + h[j : j + m])
-                    maybe = np.flatnonzero(bits[(g & K.U((1 << 22) - 1)).astype(np.int64)] & (doc[:m] == doc[k - 1 :]))
-                    found = maybe[np.isin(g[maybe], grams)]
-                    if len(found):
-                        d = doc[found]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[a + d]), pa.array(g[found].view(np.int64)), pa.array(found - first[d])], names=["doc_id", "gram", "pos"])
+        n = np.zeros(len(bench.vocab), np.int64)
+        for _, _, (h, _, _, _), _ in _texts(batches):
+            at = bench.index(h)
+            n += np.bincount(at[at >= 0], minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["word", "n"])
 
     return run
 
@@ -87,58 +161,49 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> float:
     return best
 
 
-def _align(batches):
-    for batch in batches:
-        data, offs = K.text_bytes(batch.column(1))
-        item_data, item_offs = K.text_bytes(batch.column(3))
-        ids, items = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        froms, tos = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-        for i in range(len(ids)):
-            h, s, e, _ = K.words(K.LOWER[data[offs[i] : offs[i + 1]]], np.array([0, offs[i + 1] - offs[i]]))
-            b, _, _, _ = K.words(K.LOWER[item_data[item_offs[i] : item_offs[i + 1]]], np.array([0, item_offs[i + 1] - item_offs[i]]))
-            rows = [(smith_waterman(b, h[max(0, lo) : hi]) / max(1, 2 * len(b)), int(s[max(0, lo)]), int(e[min(hi, len(e)) - 1])) for lo, hi in zip(froms[i], tos[i], strict=True)]
-            score, start, end = max(rows, key=lambda r: (r[0], -r[1]))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i]]), pa.array([items[i]]), pa.array([score], pa.float64()), pa.array([start]), pa.array([end])], names=["doc_id", "item_id", "score", "start_byte", "end_byte"])
+def _align(bench: Bench):
+    def run(batches):
+        bench.bits = {}
+        for k, seeds in bench.seeds.items():
+            bench.bits[k] = np.zeros(BITS + 1, bool)
+            bench.bits[k][(seeds[0] & K.U(BITS)).astype(np.int64)] = True
+        for ids, n, (h, s, e, doc), base in _texts(batches):
+            first, end = np.searchsorted(doc, np.arange(n)), np.searchsorted(doc, np.arange(n), "right")
+            best: dict = {}
+            for d, item, lo, hi in zip(*(x.tolist() for x in bench.windows(h, doc, first, end)), strict=True):
+                size = int(bench.size[item])
+                b = bench.words[bench.first[item] : bench.first[item] + size]
+                score = smith_waterman(b, h[lo:hi]) / (2 * size)
+                if score >= bench.threshold:
+                    row = (score, -int(s[lo] - base[d]), int(e[hi - 1] - base[d]))
+                    best[d, item] = max(best.get((d, item), row), row)
+            if best:
+                at, item = (np.array(x) for x in zip(*best, strict=True))
+                score, start, stop = (np.array(x) for x in zip(*best.values(), strict=True))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(bench.ids[item]), pa.array(score, pa.float64()), pa.array(-start), pa.array(stop)], names=["doc_id", "item_id", "score", "start_byte", "end_byte"])
+
+    return run
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, start_byte, end_byte (best passage) of each contaminated pair."""
     items = bench.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("item_text")).dropDuplicates()
-    grams = written(items.mapInArrow(_item_grams(ngram), "item_id long, gram long, at long, n_words long"), "grams")
+    items = written(items, "items")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, -(-size // BENCH_BYTES))
-    hits = None
+    scored = None
     for k in range(slices):
-        # at most BENCH_BYTES of items, so at most as many n-grams
-        part = grams.filter(F.pmod("gram", F.lit(slices)) == k).select("gram", (F.col("n_words") < ngram).alias("short")).distinct().toPandas()
-        found = text.mapInArrow(_hits(ngram, np.sort(part["gram"].to_numpy(np.int64).view(np.uint64)), bool(part["short"].any())), "doc_id long, gram long, pos long")
-        hits = found if hits is None else hits.union(found)
-    hits = written(hits, "hits")
-    df = hits.groupBy("gram").agg(F.countDistinct("doc_id").alias("df"))
-    known = grams.join(df, "gram").select("item_id", "gram", "df").distinct()
-    rank = F.rank().over(Window.partitionBy("item_id").orderBy("df"))
-    half = F.count(F.lit(1)).over(Window.partitionBy("item_id"))
-    total = grams.groupBy("item_id").agg(F.countDistinct("gram").alias("m"))
-    seeds = known.withColumn("r", rank).withColumn("k", half).join(total, "item_id").filter(F.col("r") <= F.greatest(F.ceil(F.col("m") / 2), F.lit(LEAST_SEEDS))).select("item_id", "gram")
-    seeds = written(seeds, "seeds")
-    placed = seeds.join(grams.select("item_id", "gram", "at", "n_words"), ["item_id", "gram"])
-    # the window that the item would fill if this seed stands in its place, with a margin for edits
-    spans = hits.join(placed, "gram").select(
-        "doc_id", "item_id", F.floor((F.col("pos") - F.col("at")) / F.greatest("n_words", F.lit(1))).alias("cell"), F.greatest("n_words", F.lit(1)).alias("n_words")
-    )
-    # cells make the number of passages of a pair depend on where hits lie, not on how many there are
-    cells = spans.distinct()
-    passages = cells.groupBy("doc_id", "item_id").agg(
-        F.sort_array(F.collect_set(F.struct(((F.col("cell") - 1) * F.col("n_words")).alias("lo"), ((F.col("cell") + 3) * F.col("n_words")).alias("hi")))).alias("w")
-    )
-    passages = written(passages.select("doc_id", "item_id", F.expr("transform(w, x -> x.lo)").alias("lo"), F.expr("transform(w, x -> x.hi)").alias("hi")), "passages")
-    involved = passages.select("doc_id").distinct()
-    joined = (
-        text.join(involved, "doc_id").join(passages, "doc_id").join(items, "item_id")
-        .select("doc_id", "text", "item_id", "item_text", "lo", "hi")
-    )
-    scored = joined.mapInArrow(_align, "doc_id long, item_id long, score double, start_byte long, end_byte long").filter(F.col("score") >= threshold)
+        # at most about BENCH_BYTES of items
+        part = items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(slices)) == k).orderBy("item_id", "item_text").toArrow().combine_chunks()
+        own = Bench(part["item_id"].to_numpy(), pa.array(part["item_text"].to_pylist(), pa.large_string()), ngram, threshold)
+        count = np.zeros(len(own.vocab), np.int64)
+        # at most one row for each word of the slice
+        for r in text.mapInArrow(_count(own), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+            count[r["word"]] = r["n"]
+        own.seed(count)
+        found = text.mapInArrow(_align(own), "doc_id long, item_id long, score double, start_byte long, end_byte long")
+        scored = found if scored is None else scored.union(found)
     best = F.max(F.struct(F.col("score"), (-F.col("start_byte")).alias("s"), "end_byte"))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.score", (-F.col("b.s")).alias("start_byte"), "b.end_byte")
 

@@ -25,8 +25,8 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n."""
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(18, (n - 1).bit_length())
+    if len(_POWERS.get("up", ())) < max(n, 1):
+        size = 1 << max(18, (max(n, 1) - 1).bit_length())
         for name, base in (("up", BASE), ("down", BASE_INV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
