@@ -173,6 +173,65 @@ def test_language(spark, docs):
     assert (page.d, page.h) == ("de", "a.b.de")
 
 
+def test_page_language_brute_force(spark):
+    said = {"en": "the and of with that ", "de": "der und die nicht auch ", "fr": "le est dans pour une "}
+    labelled = spark.createDataFrame([(t * 9, k) for k, t in said.items()] * 3, "text string, lang string")
+    langs, logp = model = language_id.train(labelled)
+    hosts = ["www.a.example.de", "shop.a.example.de", "b.other.de", "c.site.fr", "localhost", "x.co.com", None]
+    rng, cases = np.random.default_rng(5), []
+    for i in range(90):
+        lang = ("de", "fr", "en")[i % 3]
+        words = " ".join(rng.choice((said[lang] + said["en"]).split(), rng.integers(0, 6)))
+        host = hosts[(i * 5 + i // 7) % 7]
+        declared = (None, lang, "de")[i // 3 % 3]
+        tag = "<HTML>" if declared is None else f"<HTML class=x LANG='{declared.upper()}'>"
+        page = f"<!doctype html>{tag}<head><title>der die</title><style>p{{}}</style></head><body><!-- une > --><script>var t='</p>le';</script><p title=\"a > le\">{words}</p>&eacute;&amp;</body></html>"
+        cases.append((i, host and f"HTTPS://{host}:80/p?q#x", page, host, declared, words + " é&"))
+    pages = spark.createDataFrame([c[:3] for c in cases] + [(900, None, None)], "page_id long, url string, html string")
+    got = rows(language_id.identify_pages(pages, model), "id")
+    shown = spark.createDataFrame(cases, "i int, u string, h string, o string, d string, w string").select(language_id.visible_text(F.col("h")).alias("v"), "w").collect()
+    assert all(r.v.split() == r.w.replace("é&", " é&").split() for r in shown)
+
+    names, size = [*langs, "und"], len(langs) + 1
+    table = np.vstack([logp, np.full((1, language_id.TABLE), -np.log(language_id.TABLE), np.float32)]).astype(float)
+    letter = lambda b: 97 <= b < 123 or b >= 128
+
+    def evidence(text):
+        d = [32 if b in b" \t\n\v\f\r" else b for b in text.lower().encode()]
+        grams = [d[i : i + 3] for i in range(len(d) - 2) if letter(d[i + 1]) and all(b == 32 or letter(b) for b in (d[i], d[i + 2]))]
+        at = [((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) * 0x27D4EB2F % 2**32) >> 16 for a, b, c in grams]
+        return table[:, at].sum(1) * min(1, language_id.EVIDENCE / max(1, len(at))), len(at)
+
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    facts = [(h, d, *evidence(v.v)) for (_, _, _, h, d, _), v in zip(cases, shown, strict=True)] + [(None, None, *evidence(""))]
+    post = [soft(ll) for _, _, ll, _ in facts]
+    level = lambda h, k: None if h is None or "." not in h else ".".join(h.split(".")[-k:])
+    pick = lambda f: [p for (h, d, _, n), p in zip(facts, post, strict=True) if n and f(h, d)]
+    smooth = lambda c, m, up: (c + language_id.KAPPA * up) / (m + language_id.KAPPA)
+    whole = pick(lambda h, d: True)
+    every = (sum(whole) + 1) / (len(whole) + size)
+    seen = set()
+    for (i, (h, d, ll, n)), p in zip(enumerate(facts), post, strict=True):
+        prior = every
+        own = pick(lambda a, _: a is not None and a == h)  # noqa: B023
+        if own:
+            up = every
+            for k in (1, 2) if level(h, 1) else ():
+                c = pick(lambda a, _: level(a, k) == level(h, k))  # noqa: B023
+                up = smooth(sum(c), len(c), up)
+            prior = smooth(np.maximum(sum(own) - p, 0), len(own) - 1, up)
+        f = ll + np.log(prior)
+        if d:
+            c, t = sum(pick(lambda _, a: a == d)), sum(pick(lambda _, a: a is not None))  # noqa: B023
+            f = f + np.log((c + 0.5) / (t + 0.5 * 26 * 26))
+        q, r = soft(f), got[cases[i][0] if i < len(cases) else 900]
+        want = names[int(q.argmax())] if n else "und"
+        assert r.lang_id == want and abs(r.posterior - (q.max() if n else 0)) < 1e-6, (i, h, d)
+        assert r.accepted == (want != "und" and q.max() >= 0.5)
+        seen.add((want, h is None, d))
+    assert len(seen) > 6
+
+
 def test_toxicity(spark):
     bad = [(i, f"the day is fine. you scum number {'x' * (i % 5)}. end", 1) for i in range(40)]
     good = [(100 + i, f"the day is fine. you friend number {'x' * (i % 5)}. end", 0) for i in range(60)]

@@ -22,6 +22,9 @@ other columns pass through untouched.
 
 from __future__ import annotations
 
+import html
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,6 +39,8 @@ PER_LANG = 2000
 KAPPA = 20.0
 LETTER = np.zeros(256, bool)
 LETTER[[*range(97, 123), *range(128, 256)]] = True
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(head|script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+TAG = re.compile(r"""<[/!?a-zA-Z][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>|<[/!?a-zA-Z][^>]*>""")
 
 
 def _trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,10 +117,19 @@ def softmax(x: Column) -> Column:
 
 def declared_language(markup: Column) -> Column:
     """Two-letter language of the html element's lang attribute; null where there is none."""
-    found = F.when(markup.contains("<html"), F.regexp_extract(F.lower(markup), r"<html[^>]*\slang\s*=\s*[\"']?([a-z]{2})", 1))
+    found = F.when(F.lower(markup).contains("<html"), F.regexp_extract(F.lower(markup), r"<html[^>]*\slang\s*=\s*[\"']?([a-z]{2})", 1))
     return F.when(found != "", found)
 
 
+def visible_text(markup: Column) -> Column:
+    """Text of a page without its head, scripts, styles, comments and tags, character references decoded."""
+
+    def show(pages: pa.Array) -> pa.Array:
+        return pa.array((None if x is None else html.unescape(TAG.sub(" ", HIDDEN.sub(" ", x))) for x in (v.as_py() for v in pages)), pa.string())
+
+    return F.arrow_udf(show, "string")(markup)
+
+
 def host_of(url: Column) -> Column:
     found = F.regexp_extract(F.lower(url), r"https?://([^/:?#\s]+)", 1)
     return F.when(found != "", found)
@@ -168,6 +182,11 @@ def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return identify(docs, train(docs, text_col, lang_col), {"id": F.col(id_col), "t": row_hash(text)}, text, F.col(host_col), declared_language(text), **kwargs)
 
 
+def identify_pages(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **kwargs) -> DataFrame:
+    """Pages: their visible text, the host of their address, the language that their markup declares."""
+    return identify(pages, model, {"id": F.col(id_col)}, visible_text(F.col(html_col)), host_of(F.col(url_col)), declared_language(F.col(html_col)), **kwargs)
+
+
 def keep_accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """docs without the rows that language ID rejects; columns unchanged."""
     bad = identify_documents(docs, id_col, text_col, **kwargs).filter("not accepted")

@@ -63,6 +63,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "lang_id", "posterior", F.col("accepted").alias("kept"))
 
 
+def op8_page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.identify_pages(table(spark, sf_dir, "pages"), language_id.train(table(spark, sf_dir, "documents")))
+    return out.select(F.col("id").alias("page_id"), "lang_id", "posterior", F.col("accepted").alias("kept"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle_words=2).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -71,7 +76,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_substring_dedup, op4_toxicity, op5_token_output, op6_chat_format, op7_line_dedup, op8_language_id, op9_near_dedup, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_substring_dedup, op4_toxicity, op5_token_output, op6_chat_format, op7_line_dedup, op8_language_id, op8_page_language_id, op9_near_dedup, op10_decontaminate)}
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
