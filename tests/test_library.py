@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from trackdensity.functions import columns as C
-from trackdensity.operators import nearest, summaries, timeline
+from trackdensity.operators import boosting, nearest, summaries, timeline
 from trackdensity.plans import registry
 from trackdensity.sources import files, views
 
@@ -121,3 +121,13 @@ def test_streaming_hourly_mean_equals_batch(spark, tmp_path):
     got = {r.hour: r.n for r in spark.table("hours").collect()}
     want = {r.hour: r.n for r in batch.groupBy(F.date_trunc("hour", "time").alias("hour")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got and all(want[h] == n for h, n in got.items())
+
+
+def test_boosting_keeps_the_best_round(spark, tmp_path):
+    assert boosting.stopping_round([5, 4, 4.5, 4.2, 3, 9], 3) == 4 and boosting.stopping_round([5, 4, 4.5, 4.2, 3, 9], 2) == 1
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    d = spark.range(800).select((F.col("id") * 37 % 101 / 101.0).alias("a"), (F.col("id") * 53 % 97 / 97.0).alias("b"), (F.col("id") % 4 == 0).alias("v"))
+    d = boosting.assemble(d.withColumn("y", F.sin(6 * F.col("a")) + F.col("b") + F.pmod(F.xxhash64("a", "b"), F.lit(100)) / 100.0), ["a", "b"]).coalesce(1)
+    got = boosting.train_squared(d, "y", rounds=40, depth=2, min_rows=20, validation="v", patience=5)
+    errors = boosting.train_squared(d.filter("not v"), "y", rounds=40, depth=2, min_rows=20).evaluateEachIteration(d.filter("v"), "squared")
+    assert got.getNumTrees == boosting.stopping_round(errors, 5) + 1 > 12

@@ -18,9 +18,36 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
 
 
-def train_squared(df: DataFrame, label: str, rounds: int = 20, depth: int = 4, min_rows: int = 300, validation: str | None = None):
-    g = GBTRegressor(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=depth, minInstancesPerNode=min_rows, subsamplingRate=0.5, featureSubsetStrategy="0.6", stepSize=0.1, seed=7)
-    return (g.setValidationIndicatorCol(validation) if validation else g).fit(df)
+def train_squared(df: DataFrame, label: str, rounds: int = 1360, depth: int = 4, min_rows: int = 300, validation: str | None = None, patience: int = 30):
+    """Up to `rounds` trees; with validation, those up to the best round, found once `patience` rounds bring no better one.
+
+    Spark's own early stop has no patience, so rounds are fitted in growing blocks and the
+    validation error of each is read. Trees depend on the seed and the rows alone, hence a
+    longer fit begins with the trees of a shorter one; the rows are checkpointed for that.
+    """
+    fit = lambda rows, n: GBTRegressor(labelCol=label, featuresCol="features", maxIter=n, maxDepth=depth, minInstancesPerNode=min_rows, subsamplingRate=0.5, featureSubsetStrategy="0.6", stepSize=0.1, seed=7).fit(rows)
+    if not validation:
+        return fit(df, rounds)
+    rows = df.select("features", label, validation).checkpoint()
+    train, valid = rows.filter(~F.col(validation)), rows.filter(validation)
+    n = min(rounds, 2 * patience)
+    while True:
+        errors = fit(train, n).evaluateEachIteration(valid, "squared")
+        best = stopping_round(errors, patience)
+        if best + patience < n or n == rounds:
+            return fit(train, best + 1)
+        n = min(rounds, 2 * n)
+
+
+def stopping_round(errors: list[float], patience: int) -> int:
+    """Index of the best error before `patience` rounds in a row were no better."""
+    best = 0
+    for k, e in enumerate(errors):
+        if e < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best
 
 
 @dataclass

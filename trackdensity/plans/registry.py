@@ -399,13 +399,13 @@ def _features(spark, sf):
 @query()
 def gbt_train_score(spark, sf):
     f = _features(spark, sf)
-    model = boosting.train_squared(f, "y", rounds=5, min_rows=20, validation="is_valid")
+    model = boosting.train_squared(f, "y", validation="is_valid")
     return model.transform(f.filter("is_valid")).select("obs_id", "y", "prediction", (c("ref") * F.exp("prediction")).alias("rho_pred"))
 
 
 @query()
 def feature_importance(spark, sf):
-    model = boosting.train_squared(_features(spark, sf), "y", rounds=5, min_rows=20)
+    model = boosting.train_squared(_features(spark, sf), "y", validation="is_valid")
     return spark.createDataFrame(sorted(((n, float(v)) for n, v in zip(FEATURES, model.featureImportances.toArray(), strict=True)), key=lambda x: -x[1]), "feature string, gain double")
 
 
