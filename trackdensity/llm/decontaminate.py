@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import written
+from .shared import free, written
 
 NGRAM, THRESHOLD = 3, 0.5
 BENCH_BYTES = 8 << 20
@@ -47,12 +47,6 @@ def _grams(h: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return g, np.flatnonzero(owner[:m] == owner[k - 1 :][:m])
 
 
-def _ragged(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each i the indices first[i] .. first[i] + size[i] - 1: their i, and they."""
-    row = np.repeat(np.arange(len(size)), size)
-    return row, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + first[row]
-
-
 def least_matches(size: int, n: int, threshold: float) -> int:
     """Fewest matched words with which an alignment without n consecutive ones reaches the threshold."""
     reach = lambda m: 2 * m - (-(-m // (n - 1)) - 1) >= 2 * threshold * size
@@ -108,7 +102,7 @@ class Bench:
             g, ok = _grams(h, doc, k)
             ok = ok[self.bits[k][(g[ok] & K.U(BITS)).astype(np.int64)]]
             a, b = np.searchsorted(hashes, g[ok], "left"), np.searchsorted(hashes, g[ok], "right")
-            r, s = _ragged(a, b - a)
+            r, s = K.ragged(a, b - a)
             pos = ok[r]
             cell = (pos - first[doc[pos]] - at[s]) // self.size[item[s]]
             # a window counts once; "whole" (0) sorts before "rare word" (1)
@@ -122,7 +116,7 @@ class Bench:
         number = self.index(h)
         known = np.flatnonzero(number >= 0)
         keys = np.append(np.sort((number[known] << 32) + known), np.iinfo(np.int64).max)
-        r, w = _ragged(self.first[item], size)
+        r, w = K.ragged(self.first[item], size)
         want = self.word[w] << 32
         held = np.bincount(r, weights=keys[np.searchsorted(keys, want + lo[r])] < want + hi[r], minlength=len(d))
         fine = held >= np.where(rare == 1, self.unbroken[item], self.need[item])
@@ -210,5 +204,6 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """docs without the rows whose id is contaminated; columns unchanged."""
-    bad = written(contaminated(docs, bench, id_col, text_col, **kwargs).select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    (bad,) = free(docs, "bad")
+    found = written(contaminated(docs, bench, id_col, text_col, **kwargs).select(F.col("doc_id").alias(bad)).distinct(), "leaks")
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col(bad)), "left_anti")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import written
+from .shared import free, written
 
 TABLE = 1 << 16
 EVIDENCE = 100
@@ -189,6 +189,7 @@ def identify_pages(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col
 
 def keep_accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """docs without the rows that language ID rejects; columns unchanged."""
+    i, t = free(docs, "i", "t")
     bad = identify_documents(docs, id_col, text_col, **kwargs).filter("not accepted")
-    bad = written(bad.select(F.col("id").alias("_i"), F.col("t").alias("_t")).distinct(), "rejected")
-    return docs.join(bad, (F.col(id_col).eqNullSafe(F.col("_i"))) & (row_hash(F.col(text_col)) == F.col("_t")), "left_anti")
+    bad = written(bad.select(F.col("id").alias(i), F.col("t").alias(t)).distinct(), "rejected")
+    return docs.join(bad, (F.col(id_col).eqNullSafe(F.col(i))) & (row_hash(F.col(text_col)) == F.col(t)), "left_anti")

@@ -6,9 +6,9 @@ clean: 1 - prod(1 - p). Features are hashes of lower-cased words and of their fi
 five bytes.
 
 Training reads a bounded sample: about `max_rows` labelled rows, half of each label where
-there are so many, chosen by a hash of doc_id. Features whose document counts differ most
-between the labels (at most MAX_FEATURES, by Spark's grouped counts) enter; the noisy-or likelihood is
-then climbed on what the sample holds of those. Scoring covers every row and whole texts and
+there are so many, chosen by a hash of doc_id. Every feature of LEAST_DOCS documents whose counts
+differ between the labels by LEAST_Z standard errors (by Spark's grouped counts) enters; the
+noisy-or likelihood is then climbed on what the sample holds of those. Scoring covers every row and whole texts and
 reports the sentence that offends most.
 
 Defined cases: null or empty text has one empty sentence and scores the bias; no labelled
@@ -29,7 +29,7 @@ from . import kernel as K
 
 TABLE = 1 << 20
 MAX_ROWS = 8_000
-MAX_FEATURES = 1024
+LEAST_DOCS, LEAST_Z = 5, 3.0
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 STOP = np.zeros(256, bool)
@@ -48,8 +48,7 @@ def _features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     sent = np.cumsum(first) - 1
     sent_doc, sent_start = doc[first], s[first]
-    h = K.prefix_hash(low)
-    feats = [K.span_hash(h, s, e)] + [K.mix(K.span_hash(h, s, np.minimum(s + k, e)) + K.U(k)) for k in (4, 5)]
+    feats = [K.span_hash(low, s, e)] + [K.mix(K.span_hash(low, s, np.minimum(s + k, e)) + K.U(k)) for k in (4, 5)]
     f = np.concatenate([x & K.U(TABLE - 1) for x in feats]).astype(np.int64)
     pair = np.unique((np.tile(sent, 3).astype(np.int64) << 20) | f)
     bare = np.setdiff1d(np.arange(n_docs), sent_doc)  # texts without words: one empty sentence each
@@ -140,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = {y: min(n, max_rows / 2) for y, n in counts.items()}
     rate = total[1] / (total[0] + total[1])
     z = (F.col("n1") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    least = max(5, 0.01 * min(total.values()))
-    best = seen.filter(F.col("n") >= least).withColumn("z", F.abs(z)).filter("z >= 3.5").orderBy(F.desc("z"), "f").limit(MAX_FEATURES).toPandas()
+    # rows of the sample are bounded, and so are their features
+    best = seen.filter(F.col("n") >= LEAST_DOCS).filter(F.abs(z) >= LEAST_Z).select("f").toPandas()
     chosen = np.sort(best["f"].to_numpy(np.int64))
     bags = rows.mapInArrow(_bags(chosen), "toxic long, n_sent long, f array<int>, s array<int>").toArrow()
     if len(set(bags.column("toxic").to_pylist())) < 2:
