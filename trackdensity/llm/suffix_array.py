@@ -1,4 +1,13 @@
-"""Suffix array of a byte string by induced sorting, in whole-bucket numpy steps."""
+"""Suffix array and permuted common prefixes of a byte string, by induced sorting.
+
+Suffixes are classified as larger or smaller than the next one. Leftmost-smaller substrings
+are sorted by inducing from their first symbols, named in that order (neighbours compared
+symbol by symbol), and the string of names is sorted by recursion; its order induces that of
+all suffixes. Work is linear in the string but for stable sorts of bucket keys.
+
+Induction walks buckets in order. Neighbouring buckets that don't push into each other are
+taken in one numpy step, so names in the hundred thousands take some thousand steps.
+"""
 
 from __future__ import annotations
 
@@ -6,134 +15,176 @@ import numpy as np
 
 from . import kernel as K
 
+NONE = np.zeros(0, np.int64)
+
 
 def types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one (S); the end counts as smallest."""
     n = len(t)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(t[1:].astype(np.int16) - t[:-1].astype(np.int16))
+    step[:-1] = np.sign(t[1:].astype(np.int64) - t[:-1].astype(np.int64))
     step[-1] = -1
     at = np.where(step != 0, np.arange(n), n)
     nearest = np.minimum.accumulate(at[::-1])[::-1]
     return step[nearest] > 0
 
 
-def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """All suffixes in the order that the given order of leftmost-smaller ones induces."""
-    n = len(t)
-    present = np.flatnonzero(np.bincount(t, minlength=256))
-    seeds: dict[int, list] = {int(c): [] for c in present}
-    kinds = t[lms]
-    order = np.argsort(kinds, kind="stable")
-    for c, part in zip(*_split(kinds[order], lms[order]), strict=True):
-        seeds[c].append(part)
-
-    def push(found: np.ndarray, to: dict[int, list], want: bool) -> None:
+def _groups(lo: np.ndarray, hi: np.ndarray, symbols: int) -> np.ndarray:
+    """Ends of the longest runs of symbols that hold no pair lo < hi, from the left."""
+    first = np.full(symbols + 1, symbols, np.int64)  # smallest hi of the pairs from each lo on
+    np.minimum.at(first, lo, hi)
+    first = np.minimum.accumulate(first[::-1])[::-1].tolist()
+    ends, a = [], 0
+    while a < symbols:
+        a = max(first[a], a + 1)
+        ends.append(a)
+    return np.array(ends)
+
+
+def _pass(t: np.ndarray, mine: np.ndarray, seeds: np.ndarray, symbols: int, start: int | None) -> np.ndarray:
+    """One induction from the left: the suffixes marked `mine`, in order, each placed when the one after it is met.
+
+    seeds: the other suffixes that induce, in order; in a bucket they come after those of `mine`.
+    start: a suffix of `mine` that comes before all (the last one), if any.
+    """
+    own = np.flatnonzero(mine)
+    head = np.append(0, np.cumsum(np.bincount(t[own], minlength=symbols)))
+    fill = head[:-1].copy()
+    out = np.full(len(own), -1, np.int64)
+    seed_head = np.append(0, np.cumsum(np.bincount(t[seeds], minlength=symbols)))
+    before = own[own < len(t) - 1]
+    lo, hi = t[before + 1], t[before]
+    ends = _groups(lo[lo < hi], hi[lo < hi], symbols)
+    runs = np.append(0, np.cumsum(np.bincount(lo[lo == hi], minlength=symbols)))
+    count = np.arange(len(own) + 1)
+    head_at, seed_at, runs_at = (x[np.append(0, ends)].tolist() for x in (head, seed_head, runs))
+
+    def place(j: np.ndarray) -> None:
+        """Puts j, in order, at the ends of their buckets."""
+        k = t[j]
+        if len(j) > 1:
+            order = k.argsort(kind="stable")
+            k, j = k[order], j[order]
+            new = np.empty(len(k), bool)
+            new[0] = True
+            np.not_equal(k[1:], k[:-1], out=new[1:])
+            cut = new.nonzero()[0]
+            at = fill[k] + (count[: len(k)] - cut[new.cumsum() - 1])
+        else:
+            at = fill[k]
+        out[at] = j
+        fill[k] = at + 1  # of equal k the last one, which is the largest, stays
+
+    def preceding(found: np.ndarray) -> np.ndarray:
         j = found[found > 0] - 1
-        j = j[small[j] == want]
+        return j[mine[j]]
+
+    if start is not None:
+        place(np.array([start]))
+    a = 0
+    for g, b in enumerate(ends.tolist()):
+        x, y = head_at[g], head_at[g + 1]
+        if runs_at[g] < runs_at[g + 1]:  # runs of a symbol push into their own bucket, wave by wave
+            wave = out[x:y]
+            wave = wave[wave >= 0]
+            while len(wave):
+                j = preceding(wave)
+                wave = j[t[j] < b]
+                if len(wave):
+                    place(wave)
+        p, q = seed_at[g], seed_at[g + 1]
+        if x == y:
+            found = seeds[p:q]
+        elif p == q:
+            found = out[x:y]
+        else:
+            found = np.concatenate([out[x:y], seeds[p:q]])
+            if b - a > 1:
+                found = found[t[found].argsort(kind="stable")]
+        j = preceding(found)
+        if runs_at[g] < runs_at[g + 1]:
+            j = j[t[j] >= b]
         if len(j):
-            k = t[j]
-            by = np.argsort(k, kind="stable")
-            for c, part in zip(*_split(k[by], j[by]), strict=True):
-                to[c].append(part)
-
-    large: dict[int, list] = {int(c): [] for c in present}
-    push(np.array([n]), large, False)
-    done = {}
-    for c in map(int, present):
-        at = 0
-        while at < len(large[c]):  # pushes into the bucket itself come as later waves
-            wave = large[c][at:]
-            at = len(large[c])
-            push(np.concatenate(wave), large, False)
-        for part in seeds[c]:
-            push(part, large, False)
-        done[c] = np.concatenate([*large[c], np.zeros(0, np.int64)])
-    # the smaller ones from the right end; buckets fill backwards
-    less: dict[int, list] = {int(c): [] for c in present}
-    for c in map(int, present[::-1]):
-        at = 0
-        while at < len(less[c]):
-            wave = less[c][at:]
-            at = len(less[c])
-            push(np.concatenate(wave), less, True)
-        push(done[c][::-1], less, True)
-    out = []
-    for c in map(int, present):
-        out += [done[c], np.concatenate([*less[c], np.zeros(0, np.int64)])[::-1]]
-    return np.concatenate(out)
-
-
-def _split(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    if not len(keys):
-        return [], []
-    cut = np.flatnonzero(np.diff(keys)) + 1
-    return keys[np.concatenate([[0], cut])].tolist(), np.split(values, cut)
-
-
-def suffix_array(t: np.ndarray, reach: int | None = None) -> np.ndarray:
-    """Order of all suffixes of t; with `reach`, suffixes equal in so many bytes may stand in any order."""
+            place(j)
+        a = b
+    return out
+
+
+def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
+    """All suffixes in the order that the given order of leftmost-smaller ones induces."""
+    lms = lms[np.argsort(t[lms], kind="stable")]
+    large = _pass(t, ~small, lms, symbols, len(t) - 1)
+    # the smaller ones from the right: the same walk with symbols and orders turned round
+    turned = symbols - 1 - t
+    less = _pass(turned, small, large[::-1], symbols, None)[::-1]
+    both = np.concatenate([large, less])
+    return both[np.argsort(t[both], kind="stable")]
+
+
+def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Names (from 0) of the leftmost-smaller substrings in text order; equal ones share a name."""
+    end = np.append(lms[1:] + 1, len(t))
+    place = np.zeros(len(t), np.int64)
+    place[lms] = np.arange(len(lms))
+    seq = place[ordered]
+    size = (end - lms)[seq]
+    new = np.ones(len(seq), np.int64)
+    new[0] = 0
+    # the last one runs into the end of the text and equals no other
+    like = np.flatnonzero((size[1:] == size[:-1]) & (seq[1:] != len(lms) - 1) & (seq[:-1] != len(lms) - 1)) + 1
+    new[like] = ~K.same_bytes(t, ordered[like], t, ordered[like - 1], size[like])
+    names = np.zeros(len(lms), np.int64)
+    names[seq] = np.cumsum(new)
+    return names
+
+
+def suffix_array(t: np.ndarray, symbols: int = 256) -> np.ndarray:
+    """Order of all suffixes of t, whose entries are below `symbols`."""
     n = len(t)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return NONE
+    t = t.astype(np.int64)
     small = types(t)
     is_lms = small.copy()
     is_lms[1:] &= ~small[:-1]
     is_lms[0] = False
     lms = np.flatnonzero(is_lms)
     if len(lms) > 1:
-        first = _induce(t, small, lms)
+        first = _induce(t, small, lms, symbols)
         ordered = first[is_lms[first]]
-        end = np.append(lms[1:] + 1, n)
-        h = K.span_hash(K.prefix_hash(t), lms, end)
-        h[-1] ^= K.U(1)  # the last one runs into the end
-        place = np.zeros(n, np.int64)
-        place[lms] = np.arange(len(lms))
-        seq = place[ordered]
-        new = np.ones(len(seq), np.int64)
-        new[1:] = h[seq[1:]] != h[seq[:-1]]
-        name = np.zeros(len(lms), np.int64)
-        name[seq] = np.cumsum(new)
-        lms = lms[_sort_names(name, lms, n if reach is None else reach)]
-    return _induce(t, small, lms)
-
-
-def _sort_names(name: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
-    """Order of the suffixes of the reduced string, by doubling, as far as `reach` bytes."""
-    m, step = len(name), 1
-    while True:
-        if name.max() == m:
-            break
-        nxt = np.zeros(m, np.int64)
-        nxt[: m - step] = name[step:] if step < m else 0
-        key = name * (m + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.ones(m, np.int64)
-        new[1:] = k[1:] != k[:-1]
-        name = np.zeros(m, np.int64)
-        name[order] = np.cumsum(new)
-        step *= 2
-        if step >= m or (at[step:] - at[:-step]).min() >= reach:
-            break
-    return np.argsort(name, kind="stable")
-
-
-def permuted_lcp(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix in `order`, its common prefix with the one before, up to `most` bytes."""
-    h = K.prefix_hash(t)
-    lcp = np.zeros(len(order), np.int64)
-    if len(order) < 2:
+        names = _names(t, lms, ordered)
+        count = int(names.max()) + 1
+        lms = ordered if count == len(lms) else lms[suffix_array(names, count)]
+    return _induce(t, small, lms, symbols)
+
+
+def permuted_lcp(t: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each place of the text, the common prefix of its suffix with the one before it in order.
+
+    Only irreducible ones (whose preceding bytes differ) are compared byte by byte; each other
+    one is one less than that of the place before it.
+    """
+    n = len(t)
+    lcp = np.zeros(n, np.int64)
+    if n < 2:
         return lcp
-    i, j, got = order[1:], order[:-1], np.zeros(len(order) - 1, np.int64)
-    step = 1 << (most.bit_length() - 1)
-    while step:
-        size = np.minimum(got + step, most)
-        fits = (np.maximum(i, j) + size <= len(t)) & (size > got)
-        a, b = np.where(fits, i, 0), np.where(fits, j, 0)
-        s = np.where(fits, size, 0)
-        same = fits & (K.span_hash(h, a, a + s) == K.span_hash(h, b, b + s))
-        got = np.where(same, size, got)
-        step //= 2
-    lcp[1:] = got
-    return lcp
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    at = np.arange(n)
+    known = (before < 0) | (at == 0) | (before == 0)
+    inner = np.flatnonzero(~known)
+    known[inner] = t[inner - 1] != t[before[inner] - 1]
+    i = np.flatnonzero(known & (before >= 0))
+    j, eight, live = before[i], K.windows(t), np.arange(len(i))
+    got = np.zeros(len(i), np.int64)
+    while len(live):
+        a, b = i[live] + got[live], j[live] + got[live]
+        inside = np.maximum(a, b) < n
+        live, a, b = live[inside], a[inside], b[inside]
+        x = eight[a] ^ eight[b]
+        low = (x & (~x + K.U(1))).astype(np.float64)  # the lowest bit that differs
+        got[live] += np.where(x == 0, 8, np.log2(np.maximum(low, 1)).astype(np.int64) // 8)
+        live = live[x == 0]
+    lcp[i] = np.minimum(got, n - np.maximum(i, j))
+    last = np.maximum.accumulate(np.where(known, at, 0))
+    return lcp[last] - (at - last)
