@@ -2,10 +2,12 @@
 
 1. Encode whole texts with the tokenizers library; each distinct unit (a run of letters, a
    digit, a run of other signs; or a whole word where these rules could differ from the
-   tokenizer's own) is encoded once for each worker. END closes each document.
+   tokenizer's own, as in words that may hold a special token) is encoded once for each
+   worker and known by its bytes. END closes each document.
 2. Range-partition by doc_id. Each partition is a shard; its ids are cut into records of
    whole documents of about RECORD ids. In each record Re-Pair repeatedly replaces frequent
-   pairs by nonterminals (never across END).
+   pairs by nonterminals (never across END), those within an eighth of the most frequent
+   one's count in one round, until no pair occurs LEAST times or ids run out.
 3. A record holds doc_ids, each document's offset in the compressed sequence and in ids,
    the rules, each rule's expansion length, and the sequence: any document decodes alone.
 
@@ -31,8 +33,8 @@ from .shared import shared_dir, written
 END = 2
 FIRST_RULE = 49_408  # ids below are the vocabulary's; those up to 65,535 are free for nonterminals
 RECORD = 1 << 20
-ROUNDS, RULES_A_ROUND, FREQUENT, LEAST = 6, 96, 512, 24
-SHARD_ROWS = 4096
+LEAST = 24  # a rule takes 12 bytes and saves 2 at each place
+SHARD_ROWS, BLOCK = 4096, 1024
 UNITS_KEPT = 1_000_000
 RECORD_SCHEMA = "shard long, n_docs long, doc_ids binary, seq_offs binary, id_offs binary, rules binary, lengths binary, seq binary"
 
@@ -49,40 +51,36 @@ class Units:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.at: dict[bytes, int] = {}
         self.offs, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint16)
 
-    def find(self, hashes: np.ndarray, text_of) -> np.ndarray:
-        """Number of each unit; text_of(i) gives (bytes, whole word?) of the i-th."""
+    def find(self, units: list[bytes], whole: list[bool]) -> np.ndarray:
+        """Number of each unit (lower-cased bytes, or the bytes of a whole word)."""
         if len(self.at) > UNITS_KEPT:
             self.clear()
-        keys = hashes.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.at]
-        if new:
-            model, char = self.tok.model, self.char
-            found = []
-            for i in new:
-                raw, whole = text_of(i)
-                if whole:
+        found = []
+        for raw, word in zip(units, whole, strict=True):
+            if raw not in self.at:
+                if word:
                     found.append(self.tok.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids)
                 else:
-                    found.append([t.id for t in model.tokenize("".join([char[b] for b in raw]))])
-                self.at[keys[i]] = len(self.at)
+                    found.append([t.id for t in self.tok.model.tokenize("".join([self.char[b] for b in raw]))])
+                self.at[raw] = len(self.at)
+        if found:
             size = np.fromiter(map(len, found), np.int64, len(found))
             self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(size)])
             self.ids = np.concatenate([self.ids, np.fromiter((x for y in found for x in y), np.uint16)])
-        return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        return np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
 
 
 def _units(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """start, end, text number and whole-word mark of each unit, and the lower-cased bytes."""
+    """start, end, text number and whole-word mark of each unit, and the bytes, lower-cased but for whole words."""
     low = K.LOWER[raw]
     n = len(low)
     lead = low == 0xC3
@@ -92,7 +90,8 @@ def _units(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     low = np.where(tail & (low <= 0x9E) & ~sign, low + np.uint8(0x20), low)
     letter = LETTER[low] | lead | (tail & ~sign)
     odd = ((low >= 0x80) & ~lead & ~tail) | sign | (low == 0x27) | (low < 9) | ((low > 13) & (low < 32)) | (low == 127)
-    ws, we, wdoc = K.spans(K.WORD[low], offs)
+    odd[:-1] |= (low[:-1] == ord("<")) & (low[1:] == ord("|"))  # may begin a special token
+    ws, we, _ = K.spans(K.WORD[low], offs)
     bad = np.concatenate([[0], np.cumsum(odd)])
     whole = bad[we] > bad[ws]
     # within plain words, letters run on, digits stand alone, other signs run on
@@ -101,7 +100,9 @@ def _units(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         inside = np.zeros(n + 1, np.int32)
         np.add.at(inside, ws[whole], 1)
         np.add.at(inside, we[whole], -1)
-        kind[np.cumsum(inside[:-1]) > 0] = 4
+        word = np.cumsum(inside[:-1]) > 0
+        kind[word] = 4
+        low = np.where(word, raw, low)
     begin = kind > 0
     begin[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
     edge = np.zeros(n + 1, bool)
@@ -125,18 +126,11 @@ def encode_texts(path: str, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarr
     units = _made.setdefault(path, None) or _made.__setitem__(path, Units(path)) or _made[path]
     n_docs = len(offs) - 1
     s, e, doc, whole, low = _units(raw, offs)
-    if len(s):
-        import pandas as pd
-
-        h = np.where(whole, K.span_hash(K.prefix_hash(raw), s, e) ^ K.U(1), K.span_hash(K.prefix_hash(low), s, e))
-        code, distinct = pd.factorize(h)
-        first = np.full(len(distinct), len(h))
-        np.minimum.at(first, code, np.arange(len(h)))
-        pick = lambda i: ((raw if whole[first[i]] else low)[s[first[i]] : e[first[i]]].tobytes(), bool(whole[first[i]]))
-        which = units.find(distinct, pick)
-        ids, size = _take(units.offs, units.ids, which[code])
-    else:
-        ids, size = np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    code, first, _ = K.distinct(low, s, e)
+    bounds = zip(s[first].tolist(), e[first].tolist(), strict=True)
+    text = low.tobytes()
+    which = units.find([text[a:b] for a, b in bounds], whole[first].tolist())
+    ids, size = _take(units.offs, units.ids, which[code])
     per_doc = np.bincount(doc, weights=size, minlength=n_docs).astype(np.int64)
     out = np.full(len(ids) + n_docs, END, np.uint16)
     out[np.arange(len(ids)) + np.repeat(np.arange(n_docs), per_doc)] = ids
@@ -155,58 +149,73 @@ def _encode(path: str):
     return run
 
 
-def re_pair(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def re_pair(seq: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(compressed sequence, rules [k, 2]) of ids below FIRST_RULE; END joins no pair."""
-    seq, rules = seq.astype(np.uint16), np.zeros((0, 2), np.uint16)
-    for _ in range(ROUNDS):
-        count = np.bincount(seq, minlength=1 << 16)
-        count[END] = 0
-        top = np.argpartition(count, -FREQUENT)[-FREQUENT:]
-        top = top[count[top] > 0]
-        dense = np.full(1 << 16, FREQUENT, np.int32)
-        dense[top] = np.arange(len(top))
-        d = dense[seq]
-        pair = d[:-1] * (FREQUENT + 1) + d[1:]
-        freq = np.bincount(pair, minlength=(FREQUENT + 1) ** 2)
-        freq.reshape(FREQUENT + 1, -1)[-1] = 0
-        freq.reshape(FREQUENT + 1, -1)[:, -1] = 0
-        best = np.argpartition(freq, -4 * RULES_A_ROUND)[-4 * RULES_A_ROUND :]
-        best = best[freq[best] >= LEAST]
+    seq, rules = seq.astype(np.uint16), []
+    while len(seq) > 1 and FIRST_RULE + len(rules) < 1 << 16:
+        often = np.bincount(seq, minlength=1 << 16) >= least  # a frequent pair has frequent symbols
+        often[END] = False
+        known = often[seq]
+        at = np.flatnonzero(known[:-1] & known[1:])
+        pair = seq[at].astype(np.uint32) << 16 | seq[at + 1]
+        twin = np.flatnonzero(seq[at] == seq[at + 1])
+        if len(twin):  # of a run of equal ids every second place counts, from the left
+            place = at[twin]
+            first = np.flatnonzero(np.append(True, np.diff(place) > 1))
+            begin = np.repeat(place[first], np.diff(np.append(first, len(place))))
+            fine = np.ones(len(at), bool)
+            fine[twin[(place - begin) % 2 == 1]] = False
+            at, pair = at[fine], pair[fine]
+        keys = np.sort(pair)
+        cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        freq, keys = np.diff(np.append(cut, len(keys))), keys[cut]
+        if not len(freq) or freq.max() < least:
+            break
+        top = np.flatnonzero(freq >= max(least, freq.max() // 8))
         lefts, rights, made = set(), set(), []
-        for p in best[np.lexsort((best, -freq[best]))].tolist():
-            a, b = divmod(p, FREQUENT + 1)
+        for p in keys[top[np.lexsort((keys[top], -freq[top]))]].tolist():
+            a, b = p >> 16, p & 0xFFFF
             # no symbol ends one pair and begins another, so occurrences cannot overlap
-            if a != b and a not in rights and b not in lefts and len(made) < RULES_A_ROUND:
+            if a not in rights and b not in lefts and FIRST_RULE + len(rules) + len(made) < 1 << 16:
                 lefts.add(a)
                 rights.add(b)
                 made.append(p)
-        if not made or FIRST_RULE + len(rules) + len(made) > 1 << 16:
-            break
-        name = np.zeros((FREQUENT + 1) ** 2, np.uint16)
-        name[made] = FIRST_RULE + len(rules) + np.arange(len(made))
-        rules = np.vstack([rules, np.array([[top[p // (FREQUENT + 1)], top[p % (FREQUENT + 1)]] for p in made], np.uint16)])
-        new = name[pair] if len(pair) else np.zeros(0, np.uint16)
-        hit = np.flatnonzero(new)
+        chosen = np.array(made, np.uint32)
+        order = np.argsort(chosen)
+        left, right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        left[chosen >> 16], right[chosen & 0xFFFF] = True, True
+        near = np.flatnonzero(left[seq[at]] & right[seq[at + 1]])
+        k = order[np.minimum(np.searchsorted(chosen[order], pair[near]), len(order) - 1)]
+        own = chosen[k] == pair[near]
+        hit = at[near[own]]
         seq = seq.copy()
-        seq[hit] = new[hit]
-        seq = np.delete(seq, hit + 1)
-    return seq, rules
+        seq[hit] = (FIRST_RULE + len(rules) + k[own]).astype(np.uint16)
+        rules += made
+        keep = np.ones(len(seq), bool)
+        keep[hit + 1] = False
+        seq = seq[keep]
+    table = np.array(rules, np.uint32)
+    return seq, np.column_stack([table >> 16, table & 0xFFFF]).astype(np.uint16)
 
 
-def expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths of all rules' expansions, the expansions one after the other)."""
-    out: list[np.ndarray] = []
-    for a, b in rules.astype(np.int64):
-        out.append(np.concatenate([out[x - FIRST_RULE] if x >= FIRST_RULE else np.array([x], np.uint16) for x in (a, b)]))
-    return np.array([len(x) for x in out], np.int64), np.concatenate([*out, np.zeros(0, np.uint16)])
+def lengths(rules: np.ndarray) -> np.ndarray:
+    """Number of ids that each rule stands for."""
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append(sum(out[x - FIRST_RULE] if x >= FIRST_RULE else 1 for x in (a, b)))
+    return np.array(out, np.int64)
 
 
 def expand(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids that a (part of a) compressed sequence stands for."""
-    length, flat = expansions(rules)
-    base = np.arange(FIRST_RULE, dtype=np.uint16)
-    offs = np.concatenate([np.arange(FIRST_RULE), FIRST_RULE + np.concatenate([[0], np.cumsum(length)])]).astype(np.int64)
-    return _take(offs, np.concatenate([base, flat]), seq.astype(np.int64))[0]
+    """The ids that a (part of a) compressed sequence stands for; only the rules in it are read."""
+    while (deep := seq >= FIRST_RULE).any():
+        size = deep.astype(np.int64) + 1
+        at = np.cumsum(size) - size
+        out = np.repeat(seq, size)
+        pair = rules[seq[deep] - FIRST_RULE]
+        out[at[deep]], out[at[deep] + 1] = pair[:, 0], pair[:, 1]
+        seq = out
+    return seq
 
 
 def _pack(batches):
@@ -219,7 +228,7 @@ def _pack(batches):
         last = np.cumsum([int((np.frombuffer(p, np.uint16) == END).sum()) for p in parts]) - 1
         ends = np.flatnonzero(seq == END)[last] + 1
         id_offs = np.concatenate([[0], np.cumsum([len(p) // 2 for p in parts])])
-        fields = [np.array(ids, np.int64), np.concatenate([[0], ends]), id_offs, rules.ravel(), expansions(rules)[0], seq]
+        fields = [np.array(ids, np.int64), np.concatenate([[0], ends]), id_offs, rules.ravel(), lengths(rules), seq]
         return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(ids)]), *[pa.array([x.tobytes()], pa.binary()) for x in fields]], names=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
 
     ids, parts, size = [], [], 0
@@ -267,7 +276,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
 def read_tokens(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files."""
     rows = written(spark.read.schema(RECORD_SCHEMA).parquet(path).mapInArrow(_unpack, "shard long, doc_id long, n_tokens long, ids_crc32 long"), "unpacked")
-    # one row for each shard: the only window over all
-    before = rows.groupBy("shard").agg(F.sum("n_tokens").alias("m")).select("shard", (F.sum("m").over(Window.orderBy("shard")) - F.col("m")).alias("before"))
+    # offsets of shards in blocks of BLOCK: the only window over all has one row for each block
+    sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("m")).withColumn("block", F.floor(F.col("shard") / BLOCK))
+    blocks = sums.groupBy("block").agg(F.sum("m").alias("b")).select("block", (F.sum("b").over(Window.orderBy("block")) - F.col("b")).alias("ahead"))
+    inside = F.sum("m").over(Window.partitionBy("block").orderBy("shard")) - F.col("m")
+    before = sums.withColumn("inside", inside).join(blocks, "block").select("shard", (F.col("ahead") + F.col("inside")).alias("before"))
     own = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     return rows.join(before, "shard").select("doc_id", (F.col("before") + own - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
