@@ -10,9 +10,10 @@
    ranked merges, for which the best sum of scores is not what its library gives; there the
    fold over the same lattice applies the best-ranked edge that spans two neighbouring
    segments until none is left, which gives the library's ids exactly.
-3. The units' ids (at most HEAD rows, so of bounded size) go to the tasks, which replace
-   each unit of each whole text by its ids. Units beyond the table (rare or long ones) go
-   through the same merges in the task, over the piece table; none is dropped.
+3. The units and their ids (at most HEAD rows of LONGEST characters, so of bounded size) go
+   to the tasks, which replace each unit of each whole text by its ids; units are looked up by
+   hash and compared byte by byte. Units beyond the table (rare or long ones) go through the
+   same merges in the task, over the piece table: both ways give the same ids, none is dropped.
 4. Decoding puts the pieces' bytes one after the other and drops the first space.
 
 Defined cases: null or empty text has no ids and decodes to empty; U+2581 in a text counts
@@ -36,6 +37,7 @@ from .shared import written
 
 HEAD = 1 << 20
 LONGEST = 48
+STEPS = 100_000
 UNITS_A_TASK = 20_000
 META = "▁"
 META_BYTES = META.encode()
@@ -148,27 +150,23 @@ def _units(data: np.ndarray, offs: np.ndarray, alone: np.ndarray, after: np.ndar
     return s, np.searchsorted(offs, s, "right") - 1
 
 
-def _hashed(data: np.ndarray, offs: np.ndarray, alone: np.ndarray, after: np.ndarray):
+def _spans(data: np.ndarray, offs: np.ndarray, alone: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of each unit."""
     s, doc = _units(data, offs, alone, after)
-    e = np.append(s[1:], len(data))
-    return s, e, doc, K.span_hash(K.prefix_hash(data), s, e)
+    return s, np.append(s[1:], len(data))[: len(s)], doc
 
 
 def _count(alone: np.ndarray, after: np.ndarray):
-    import pandas as pd
-
     def run(batches):
         for batch in batches:
             data, offs = K.text_bytes(batch.column(0))
             for a, b in K.chunks(offs, 2 << 20, 1 << 30):
                 d, o = _prepared(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                s, e, _, h = _hashed(d, o, alone, after)
-                code, _ = pd.factorize(h)
-                n = np.bincount(code) if len(code) else np.zeros(0, np.int64)
-                first = np.full(len(n), len(h))
-                np.minimum.at(first, code, np.arange(len(h)))
+                s, e, _ = _spans(d, o, alone, after)
+                code, first, _ = K.distinct(d, s, e)
+                n = np.bincount(code, minlength=len(first))
                 size = e[first] - s[first]
-                at = np.repeat(s[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                at = K.ragged(s[first], size)[1]
                 unit = pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(d[at]))])
                 yield pa.RecordBatch.from_arrays([unit, pa.array(n)], names=["unit", "n"])
 
@@ -203,43 +201,45 @@ def lattice(units: DataFrame, pieces: DataFrame, longest_piece: int, first_byte:
     return grouped.withColumn("cuts", F.expr(fold)).select("unit", F.expr(spell).alias("ids"))
 
 
-def _keyed(batches):
-    """unit -> hash of its bytes, ids as bytes."""
-    for batch in batches:
-        data, offs = K.text_bytes(batch.column(0))
-        h = K.span_hash(K.prefix_hash(data), offs[:-1], offs[1:]) if len(data) else np.zeros(0, np.uint64)
-        ids = [np.array(x, np.uint32).tobytes() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids, pa.binary())], names=["h", "ids"])
-
-
-def unit_table(docs: DataFrame, table: Pieces, text_col: str = "text", head: int = HEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes, offsets, ids) of the frequent units, by the lattice. At most `head` units."""
+class Known:
+    """Units and their ids, found by hash and compared by bytes."""
+
+    def __init__(self, units: pa.Array, ids: pa.ListArray):
+        data, offs = K.text_bytes(units)
+        h = K.span_hash(data, offs[:-1], offs[1:])
+        order = np.argsort(h, kind="stable")
+        ends = ids.offsets.to_numpy().astype(np.int64)
+        flat = ids.values.to_numpy(zero_copy_only=False).astype(np.uint32)
+        self.h, self.data = h[order], data
+        self.start, self.size = offs[:-1][order], np.diff(offs)[order]
+        self.ids_start, self.n_ids, self.ids = ends[:-1][order], np.diff(ends)[order], flat
+
+    def find(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each span's unit, and whether there is one (of units of one hash, the first alone is found)."""
+        if not len(self.h):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        there = (self.h[at] == h) & (self.size[at] == size)
+        i = np.flatnonzero(there)
+        there[i] = K.same_bytes(data, start[i], self.data, self.start[at[i]], size[i])
+        return at, there
+
+
+def unit_table(docs: DataFrame, table: Pieces, text_col: str = "text", head: int = HEAD) -> Known:
+    """The frequent units and their ids, by the lattice. At most `head` units."""
     spark = docs.sparkSession
     counted = docs.select(text_col).mapInArrow(_count(table.alone, table.after), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     counted = written(counted.filter(F.length("unit") <= LONGEST), "units")
-    # rows: distinct counts, so of the order of the square root of all words
-    steps = counted.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(100_000).collect()
-    least, total = 1, 0
-    for r in steps:
-        total += r["k"]
-        if total > head:
-            least = r["n"] + 1
-            break
-    chosen = counted.filter(F.col("n") >= least).select("unit")
-    found = lattice(chosen, table.frame(spark), table.most, table.first_byte).mapInArrow(_keyed, "h long, ids binary").toArrow()
-    h = found.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    raw = found.column("ids").combine_chunks()
-    raw = raw if isinstance(raw, pa.Array) else pa.concat_arrays(raw.chunks)
-    data, offs = K.text_bytes(raw) if len(raw) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    return _ordered(h, order, data, offs)
-
-
-def _ordered(h, order, data, offs):
-    ids, offs = np.ascontiguousarray(data).view(np.uint32), offs // 4
-    size = (offs[1:] - offs[:-1])[order]
-    at = np.repeat(offs[:-1][order] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return h[order], np.concatenate([[0], np.cumsum(size)]), ids[at]
+    # the smallest count so that at most `head` units reach it, from the largest counts down
+    # (at most STEPS of them are read, so beyond those the table holds fewer units)
+    steps = counted.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(STEPS).collect()
+    total = np.cumsum([r["k"] for r in steps])
+    fits = int(np.searchsorted(total, head, "right"))
+    least = 1 if fits == len(steps) < STEPS else steps[fits - 1]["n"] if fits else None
+    chosen = counted.filter(F.lit(False) if least is None else F.col("n") >= least).select("unit")
+    found = lattice(chosen, table.frame(spark), table.most, table.first_byte).toArrow()
+    whole = lambda name, kind: pa.concat_arrays([pa.array([], kind), *(x.cast(kind) for x in found.column(name).chunks)])
+    return Known(whole("unit", pa.large_string()), whole("ids", pa.list_(pa.int32())))
 
 
 class _Local:
@@ -248,40 +248,35 @@ class _Local:
     def __init__(self, table: Pieces):
         self.table, self.known = table, {}
 
-    def ids(self, key: int, raw: bytes) -> list[int]:
-        if (found := self.known.get(key)) is None:
+    def ids(self, raw: bytes) -> list[int]:
+        if (found := self.known.get(raw)) is None:
             if len(self.known) > 150_000:
                 self.known.clear()
-            found = self.known[key] = self.table.merge(raw.decode("utf-8", "replace").replace(" ", META))
+            found = self.known[raw] = self.table.merge(raw.decode("utf-8", "replace").replace(" ", META))
         return found
 
 
 def _encode(shared):
-    import pandas as pd
-
     def run(batches):
-        (h, offs0, ids0), table = shared.value
+        known, table = shared.value
         local = _Local(table)
         for batch in batches:
             data, offs = K.text_bytes(batch.column(1))
             for a, b in K.chunks(offs):
                 d, o = _prepared(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                s, e, doc, key = _hashed(d, o, table.alone, table.after)
-                code, distinct = pd.factorize(key)
-                at = np.minimum(np.searchsorted(h, distinct), max(0, len(h) - 1))
-                known = h[at] == distinct if len(h) else np.zeros(len(distinct), bool)
-                first = np.full(len(distinct), len(key))
-                np.minimum.at(first, code, np.arange(len(key)))
-                rest = np.flatnonzero(~known)
-                more = [local.ids(int(distinct[i]), d[s[first[i]] : e[first[i]]].tobytes()) for i in rest]
-                flat = np.concatenate([ids0, np.fromiter((x for y in more for x in y), np.uint32)])
-                size_of = np.zeros(len(distinct), np.int64)
-                from_of = np.zeros(len(distinct), np.int64)
-                size_of[known], from_of[known] = (offs0[1:] - offs0[:-1])[at[known]] if len(h) else 0, offs0[at[known]] if len(h) else 0
-                size_of[rest] = [len(x) for x in more]
-                from_of[rest] = len(ids0) + np.cumsum(size_of[rest]) - size_of[rest]
-                size, start = size_of[code], from_of[code]
-                ids = flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                s, e, doc = _spans(d, o, table.alone, table.after)
+                code, first, h = K.distinct(d, s, e)
+                at, there = known.find(d, s[first], (e - s)[first], h)
+                rest = np.flatnonzero(~there)
+                more = [local.ids(d[s[i] : e[i]].tobytes()) for i in first[rest]]
+                size_of = np.zeros(len(first), np.int64)
+                size_of[there], size_of[rest] = known.n_ids[at[there]], [len(x) for x in more]
+                flat = np.concatenate([known.ids[K.ragged(known.ids_start[at[there]], size_of[there])[1]], np.fromiter((x for y in more for x in y), np.uint32)])
+                order = np.append(np.flatnonzero(there), rest)
+                from_of = np.zeros(len(first), np.int64)
+                from_of[order] = np.cumsum(size_of[order]) - size_of[order]
+                size = size_of[code]
+                ids = flat[K.ragged(from_of[code], size)[1]]
                 count = np.bincount(doc, weights=size, minlength=b - a).astype(np.int64)
                 ends = np.concatenate([[0], np.cumsum(count)])
                 yield batch.column(0).slice(a, b - a), ids, ends, (data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
