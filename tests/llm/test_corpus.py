@@ -8,11 +8,12 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from trackdensity.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, pieces, substring_dedup, token_output, toxicity
-from trackdensity.llm.suffix_array import suffix_array
+from trackdensity.llm import chat_format, decontaminate, exact_dedup, kernel, language_id, line_dedup, near_dedup, pieces, substring_dedup, token_output, toxicity
+from trackdensity.llm.suffix_array import permuted_lcp, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, h long"
+CLASHES = "keep_id h _row covered n_lines n_removed_lines doc row at l nth id t i n bad _bad _i _t text_sha256 digest maybe k1 sub spans kept any score".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 def base():
@@ -23,13 +24,16 @@ def base():
     out = [text(6) for _ in range(12)]
     out[4], out[5] = out[1], out[1].replace("the", "thee", 1)
     out[6] = out[2][:150] + " " + text(2) + out[3][50:220] + out[3][50:220]
+    # words whose letters follow the parity of their place's binary ones: the classic breaker of polynomial hashes
+    odd = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    out += [odd, odd.translate(str.maketrans("ab", "ba")), f"{odd} {odd.translate(str.maketrans('ab', 'ba'))}", "hello <|endoftext|> x", "a<|startoftext|>b <| <|ENDOFTEXT|>"]
     out += ["", None, "One", "  two  \t words ", "a" * 500, "\n\n\n\n\n\n", "é️ ﬁ 字 don't <|endoftext|> x" * 9, text(400)]
     return out
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, None if i == 3 else "en", "src", 1, "clash", 5) for i, t in enumerate(base())]
+    rows = [(i, t, None if i == 3 else "en", "src", 1, *["clash"] * len(CLASHES)) for i, t in enumerate(base())]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -61,11 +65,82 @@ def test_exact_repeated_rows(docs):
     assert len(out) == 2 * docs.count() and {r.group_size for r in out if r.doc_id == 0} == {2}
 
 
+def repeated(spark):
+    """Rows without or with repeated doc_ids, of equal and of different texts."""
+    a, b = ("\n".join(" ".join(f"{x}{i}w{k}" for k in range(9)) for i in range(4)) for x in "ab")
+    rows = [(None, a), (7, a), (7, a), (7, b), (8, b), (None, None), (9, ""), (9, ""), (9, None), (10, a[:50])]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+
+
+def test_exact_null_and_repeated_ids(spark):
+    given, d = repeated(spark)
+    for chars, fan in ((64, 64), (1, 2)):
+        got = exact_dedup.exact_dedup(d, digest_chars=chars, memtable_rows=4, fan=fan).collect()
+        lowest = lambda ids: None if None in ids else min(ids)
+        want = []
+        for i, t in given:
+            plain = re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+            same = [j for j, u in given if re.sub(r"[\x20\x09-\x0D]+", " ", u or "") == plain]
+            want.append((i, lowest(same), len(same), i == lowest(same), hashlib.sha256(plain.encode()).hexdigest()))
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_exact_lookup(spark, docs, texts):
+    index = exact_dedup.compact(exact_dedup.flush_runs(docs.select("doc_id", exact_dedup.digest_of(F.col("text"), 2)[1].alias("digest")), 4), 2)
+    new = spark.createDataFrame([(100, texts[4]), (101, "not there"), (102, texts[0].replace(" ", "  "))], "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup.lookup(index, new, docs, digest_chars=2).collect() if r.doc_id != 101} <= {(100, 1), (102, 0)}
+    full = exact_dedup.compact(exact_dedup.flush_runs(docs.select("doc_id", exact_dedup.digest_of(F.col("text"))[1].alias("digest"))))
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup.lookup(full, new, docs).collect()} == {(100, 1), (102, 0)}
+
+
+def test_lines_null_and_repeated_ids(spark):
+    given, d = repeated(spark)
+    got = line_dedup.line_dedup(d)
+    assert sorted(str((r.doc_id, r.n_lines, r.n_removed_lines)) for r in got.collect()) == sorted(
+        str(x) for x in [(None, 4, 0), (7, 4, 4), (7, 4, 4), (7, 4, 0), (8, 4, 4), (None, 1, 0), (9, 1, 0), (9, 1, 0), (9, 1, 0), (10, 2, 0)]
+    )
+
+
+def test_lines_long_copy(spark):
+    text = "\n".join(f"{i} {i * i}" for i in range(60_000))
+    d = spark.createDataFrame([(1, text), (2, "head\n" + text + "\ntail")], "doc_id long, text string")
+    assert rows(line_dedup.line_dedup(d))[2].text == "head\ntail"
+
+
+def test_near_null_and_repeated_ids(spark):
+    given, d = repeated(spark)
+    got = sorted(str((r.doc_id, r.component_id, r.kept)) for r in near_dedup.near_dedup(d, shingle_words=2).collect())
+    # the text of id 7 that comes first by its hash stays if its group begins there
+    assert len(got) == len(given) and got.count("(None, None, True)") == 2 and "(8, 7, False)" in got and "(10, 10, True)" in got
+    kept = near_dedup.keep_documents(d, shingle_words=2)
+    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["10", "7", "7", "9", "9", "None", "None"]
+
+
+def test_substrings_null_and_repeated_ids(spark):
+    given, d = repeated(spark)
+    got = substring_dedup.substring_dedup(d).collect()
+    size = len(given[0][1].encode())
+    removed = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in got)
+    assert len(got) == len(given)
+    assert removed == sorted([("None", size, 0), ("7", size, size), ("7", size, size), ("7", size, 0), ("8", size, size), ("None", 0, 0), ("9", 0, 0), ("9", 0, 0), ("9", 0, 0), ("10", 50, 0)])
+
+
+def test_spans_are_told_apart_by_bytes(monkeypatch):
+    data = np.frombuffer(b"one two one three two one longer than eight longer than eighT", np.uint8)
+    s, e, _ = kernel.spans(kernel.WORD[data], np.array([0, len(data)]))
+    words = data.tobytes().split()
+    for broken in (False, True):
+        if broken:
+            monkeypatch.setattr(kernel, "span_hash", lambda d, a, b: np.zeros(len(a), np.uint64))
+        code, first, _ = kernel.distinct(data, s, e)
+        assert [words[first[c]] for c in code] == words and len(first) == len(set(words))
+    assert kernel.same_bytes(data, s[[0, 0]], data, s[[2, 1]], np.array([3, 3])).tolist() == [True, False]
+
 def test_lines(spark, docs):
     d = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\nb\nc\nd\ny"), (3, "b\nc"), (4, None), (5, "q\nq\nq\nq\nq\nz")], "doc_id long, text string")
     got = rows(line_dedup.line_dedup(d))
     assert [got[i].text for i in (1, 2, 3, 4, 5)] == ["a\nb\nc\nd", "x\ny", "b\nc", None, "q\nz"]
-    assert got[2].n_removed_lines == 3 and set(line_dedup.line_dedup(docs).columns) >= set(docs.columns)
+    assert got[2].n_removed_lines == 3 and line_dedup.line_dedup(docs).columns == [*docs.columns, "n_lines_", "n_removed_lines_"]
 
 
 def shingle_sets(texts, n):
@@ -91,10 +166,14 @@ def test_near(docs, texts, n):
 
 def test_suffix_array():
     rng = np.random.default_rng(1)
-    for n, a in ((1, 3), (2, 2), (200, 2), (3000, 4), (500, 1)):
-        t = rng.integers(97, 97 + a, n).astype(np.uint8)
+    for n, a in ((1, 3), (2, 2), (200, 2), (3000, 4), (500, 1), (700, 150)):
+        t = rng.integers(90, 90 + a, n).astype(np.uint8)
         b = t.tobytes()
-        assert suffix_array(t).tolist() == sorted(range(n), key=lambda i: b[i:])
+        order = suffix_array(t).tolist()
+        assert order == sorted(range(n), key=lambda i: b[i:])
+        common = lambda i, j: next((k for k in range(n) if max(i, j) + k >= n or t[i + k] != t[j + k]), n)  # noqa: B023, E731
+        lcp = permuted_lcp(t, np.array(order))
+        assert all(lcp[i] == common(i, j) for i, j in itertools.pairwise(order[::-1]))
 
 
 @pytest.mark.parametrize("hot", [substring_dedup.HOT, 1])
@@ -126,6 +205,23 @@ def test_pieces(docs, texts):
     assert {i: r.text for i, r in back.items()} == texts
 
 
+def test_viterbi_fold_is_the_best_path(spark):
+    rng, score = np.random.default_rng(9), {}
+    for n in (1, 2, 3):
+        for p in map("".join, itertools.product("abc", repeat=n)):
+            if n == 1 or rng.random() < 0.6:
+                score[p] = -float(rng.integers(1, 1000)) * n / 3
+    ids = {p: i for i, p in enumerate(score)}
+    table = spark.createDataFrame([(p, ids[p], s) for p, s in score.items()], "piece string, id int, score double")
+    units = {"".join(rng.choice(list("abc"), rng.integers(1, 9))) for _ in range(60)}
+    got = {r.unit: r.ids for r in pieces.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), table, 3, 100, merges=False).collect()}
+    cuts = lambda u: [[]] if not u else [[u[:k], *rest] for k in (1, 2, 3) if u[:k] in score and len(u) >= k for rest in cuts(u[k:])]
+    name = {i: p for p, i in ids.items()}
+    for u in units:
+        assert "".join(name[i] for i in got[u]) == u
+        assert abs(sum(score[name[i]] for i in got[u]) - max(sum(score[p] for p in way) for way in cuts(u))) < 1e-9
+
+
 def test_viterbi_fold(spark):
     units = spark.createDataFrame([("abc",), ("ab",)], "unit string")
     table = spark.createDataFrame([("a", 1, -1.0), ("b", 2, -1.0), ("c", 3, -1.0), ("ab", 4, -1.5), ("bc", 5, -0.2)], "piece string, id int, score double")
@@ -137,7 +233,6 @@ def test_tokens(spark, docs, texts):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     folder = token_output.write_tokens(docs, path)
     got, start = rows(token_output.read_tokens(spark, folder)), 0
     for i in sorted(texts):
@@ -153,6 +248,12 @@ def test_re_pair_round_trip():
     ids = np.random.default_rng(0).choice([5, 6, 7, 2, 900], 4000).astype(np.uint16)
     seq, rules = token_output.re_pair(ids)
     assert len(rules) and len(seq) < len(ids) and (token_output.expand(seq, rules) == ids).all()
+    # it ends only when no pair is frequent
+    pairs = [(a, b) for a, b in itertools.pairwise(seq.tolist()) if 2 not in (a, b) and a != b]
+    assert max(pairs.count(p) for p in set(pairs)) < token_output.LEAST
+    assert (token_output.lengths(rules) == [len(token_output.expand(np.array([token_output.FIRST_RULE + k], np.uint16), rules)) for k in range(len(rules))]).all()
+    run = np.array([5] * 33 + [2] + [5] * 34, np.uint16)
+    assert (token_output.expand(*token_output.re_pair(run, 2)) == run).all()
 
 
 def test_chat(spark):
@@ -164,10 +265,19 @@ def test_chat(spark):
     assert [(t.role, t.text) for t in b.turns] == [("user", "a</turn>\\l<<image 1/>"), ("assistant", "ok \\b"), ("", "")] and b.loss_text == "ok \\b"
 
 
+def test_chat_ties_repeats_and_no_rows(spark):
+    d = spark.createDataFrame([(1, 5, "user", x) for x in ("<", "A", "A", None, "\\")] + [(None, 1, None, "x")], "conv_id long, turn long, role string, text string")
+    f = chat_format.format_chat(d.select("conv_id", "turn", "role", chat_format.text_part(F.col("text")).alias("parts")))
+    got = {r.conv_id: [t.text for t in r.turns] for r in chat_format.read_chat(f).collect()}
+    assert got == {1: ["", "<", "A", "A", "\\"], None: ["x"]}
+    none = d.limit(0).select("conv_id", "turn", "role", chat_format.text_part(F.col("text")).alias("parts"))
+    assert chat_format.read_chat(chat_format.format_chat(none)).count() == 0
+
+
 def test_language(spark, docs):
-    more = spark.createDataFrame([(100 + i, "der und die nicht " * 9, "de", "b.de", 1, "", 0) for i in range(4)] + [(200, "123 456", None, None, 1, "", 0)], SCHEMA)
-    got = rows(language_id.identify_documents(docs.union(more)), "id")
-    assert got[100].lang_id == "de" and got[0].lang_id == "en" and not got[200].accepted and not got[12].accepted
+    more = spark.createDataFrame([(100 + i, "der und die nicht " * 9, "de", "b.de") for i in range(4)] + [(200, "123 456", None, None), (201, "", None, None)], "doc_id long, text string, lang string, source string")
+    got = rows(language_id.identify_documents(docs.select(more.columns).union(more)), "id")
+    assert got[100].lang_id == "de" and got[0].lang_id == "en" and not got[200].accepted and not got[201].accepted
     assert language_id.keep_accepted(docs).columns == docs.columns
     page = spark.createDataFrame([("x", '<html lang="de">', "http://a.b.de/x")], "t string, html string, url string").select(language_id.declared_language(F.col("html")).alias("d"), language_id.host_of(F.col("url")).alias("h")).first()
     assert (page.d, page.h) == ("de", "a.b.de")
@@ -235,12 +345,27 @@ def test_page_language_brute_force(spark):
 def test_toxicity(spark):
     bad = [(i, f"the day is fine. you scum number {'x' * (i % 5)}. end", 1) for i in range(40)]
     good = [(100 + i, f"the day is fine. you friend number {'x' * (i % 5)}. end", 0) for i in range(60)]
-    d = spark.createDataFrame([(i, t) for i, t, _ in bad + good] + [(500, None), (501, "")], "doc_id long, text string")
+    d = spark.createDataFrame([(i, t) for i, t, _ in bad + good] + [(500, None), (501, ""), (502, "Scum. a fine day\nyou SCUM! friend you scum number")], "doc_id long, text string")
     model = toxicity.train(d, spark.createDataFrame([(i, y) for i, _, y in bad + good], "doc_id long, toxic int"))
     got = rows(toxicity.score(d, model))
     assert min(got[i].score for i in range(40)) > 0.7 > max(got[100 + i].score for i in range(60)) and got[500].score == got[501].score < 0.5
     assert got[0].worst_start_byte == 17
 
+    # noisy-or over sentences, in plain Python
+    def weight(word):
+        whole, low = word.lower().encode(), []
+        for part, k in ((whole, 0), (whole[:4], 4), (whole[:5], 5)):
+            h = kernel.span_hash(np.frombuffer(part, np.uint8), np.array([0]), np.array([len(part)]))
+            low.append(int((kernel.mix(h + kernel.U(k)) if k else h)[0]) % toxicity.TABLE)
+        return low
+
+    for i, t in [(r.doc_id, r.text) for r in d.collect()]:
+        clean = 1.0
+        for sentence in [s for s in re.split(r"[.!?\n\r]", t or "") if re.search("[a-z0-9]", s, re.I)] or [""]:
+            found = {f for w in re.findall("[a-z0-9]+", sentence, re.I) for f in weight(w)}
+            clean *= 1 - 1 / (1 + np.exp(-(sum(float(model[0][f]) for f in found) + model[1])))
+        assert abs(got[i].score - (1 - clean)) < 1e-6
+
 
 def test_decontaminate(spark):
     item = " ".join(f"w{i}" for i in range(40))

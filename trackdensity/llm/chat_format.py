@@ -10,8 +10,9 @@ The template: ``<turn role="R">\\nTEXT\\n</turn>\\n``. In texts and roles ``\\``
 inside, and replacing ``\\l`` and ``\\q`` before ``\\b`` restores them.
 
 Defined cases: null text, role or part is empty; turns of equal number go in order of role,
-then text; a conversation of no rows doesn't exist; unknown part types are treated as
-documents of zero pages; an empty table gives an empty result.
+then of their parts (by type, then unescaped text); rows that repeat are turns of their own; a
+null conv_id is a conversation; unknown part types are treated as documents of zero pages; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), *[F.lit(None).cast(k).alias(n) for n, k in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]))
 
 
-def visit(parts: Column) -> tuple[Column, Column]:
-    """(text with placeholders, attachments) of an array of parts, in one fold over it."""
+def visit(parts: Column) -> Column:
+    """Struct of text (with placeholders) and found (attachments) of an array of parts, in one fold over it."""
 
     def tokens(p: Column) -> Column:
         image = F.ceil(F.coalesce(p["width"], F.lit(0)) / PATCH) * F.ceil(F.coalesce(p["height"], F.lit(0)) / PATCH)
@@ -56,8 +57,7 @@ def visit(parts: Column) -> tuple[Column, Column]:
         )
 
     start = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<ordinal:int,type:string,ref:string,tokens:bigint>>").alias("found"))
-    done = F.aggregate(F.coalesce(parts, F.array().cast(f"array<{PART}>")), start, step)
-    return done["text"], done["found"]
+    return F.aggregate(F.coalesce(parts, F.array().cast(f"array<{PART}>")), start, step)
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
@@ -66,19 +66,20 @@ def format_chat(turns: DataFrame) -> DataFrame:
     loss_spans are [start, end) code points of assistant texts in `formatted`. Attachments
     are in order of turns; their ordinals count from 1 within each turn.
     """
-    body, found = visit(F.col("parts"))
     role = F.coalesce(F.col("role"), F.lit(""))
-    rows = turns.select("conv_id", "turn", role.alias("role"), body.alias("body"), found.alias("found"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body", "found"))).alias("t"))
+    rows = turns.select("conv_id", F.struct("turn", role.alias("role"), "parts").alias("t"))
+    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    convs = convs.withColumn("t", F.transform("t", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), visit(x["parts"]).alias("v"))))
+    convs = convs.withColumn("t", F.transform("t", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["v"]["text"].alias("body"), x["v"]["found"].alias("found"))))
 
     def turn_text(x: Column) -> Column:
         return F.concat(F.lit('<turn role="'), F.replace(escape(x["role"]), F.lit('"'), F.lit("\\q")), F.lit('">\n'), x["body"], F.lit("\n</turn>\n"))
 
     texts = F.transform("t", turn_text)
-    convs = convs.withColumn("_x", texts).withColumn("formatted", F.array_join("_x", ""))
+    convs = convs.withColumn("x", texts).withColumn("formatted", F.array_join("x", ""))
 
     def span(acc: Column, i: Column) -> Column:
-        x, whole = F.element_at("t", i + 1), F.element_at("_x", i + 1)
+        x, whole = F.element_at("t", i + 1), F.element_at("x", i + 1)
         end = acc["at"] + F.length(whole) - F.length(F.lit("\n</turn>\n"))
         one = F.struct((end - F.length(x["body"])).alias("start"), end.alias("end"))
         return F.struct((acc["at"] + F.length(whole)).alias("at"), F.when(x["role"] == "assistant", F.concat(acc["s"], F.array(one))).otherwise(acc["s"]).alias("s"))

@@ -1,4 +1,4 @@
-"""Written intermediate tables in the folder that the cluster shares."""
+"""Written intermediate tables in the folder that the cluster shares, and column names of our own."""
 
 from __future__ import annotations
 
@@ -6,27 +6,57 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new temporary folder."""
+    """The folder in spark.checkpoint.dir; where that is unset (local sessions only), a new temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder of this application within the shared one."""
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again.
 
     Cuts the lineage in a way that survives lost executors, and gives the planner the
     table's true size, so that a later join broadcasts it only below the session's limit.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables; call it once their results are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened by underscores until df has no column of them (column names ignore case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def repeats(docs: DataFrame, id_col: str) -> bool:
+    """Whether some id stands in several rows."""
+    return docs.groupBy(F.col(id_col).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
