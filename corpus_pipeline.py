@@ -17,13 +17,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later copies of three-line passages; n_chars follows the text."""
     out = line_dedup.line_dedup(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = F.col(out.columns[-1]) > 0
+    n_chars = F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.select(*[(n_chars.alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
-    drop = written(near_dedup.near_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_drop")).distinct(), "dropped")
-    return docs.join(drop.hint("merge"), F.col("doc_id") == F.col("_drop"), "left_anti")
+    return near_dedup.keep_documents(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
