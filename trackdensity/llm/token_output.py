@@ -6,8 +6,8 @@
    worker and known by its bytes. END closes each document.
 2. Range-partition by doc_id. Each partition is a shard; its ids are cut into records of
    whole documents of about RECORD ids. In each record Re-Pair repeatedly replaces frequent
-   pairs by nonterminals (never across END), those within an eighth of the most frequent
-   one's count in one round, until no pair occurs LEAST times or ids run out.
+   pairs by nonterminals (never across END), the most frequent first and all whose symbols
+   don't meet in one round, until no pair occurs LEAST times or ids run out.
 3. A record holds doc_ids, each document's offset in the compressed sequence and in ids,
    the rules, each rule's expansion length, and the sequence: any document decodes alone.
 
@@ -33,6 +33,7 @@ from .shared import shared_dir, written
 END = 2
 FIRST_RULE = 49_408  # ids below are the vocabulary's; those up to 65,535 are free for nonterminals
 RECORD = 1 << 20
+CHUNK_BYTES = 1 << 20
 LEAST = 24  # a rule takes 12 bytes and saves 2 at each place
 SHARD_ROWS, BLOCK = 4096, 1024
 UNITS_KEPT = 1_000_000
@@ -64,19 +65,22 @@ class Units:
         """Number of each unit (lower-cased bytes, or the bytes of a whole word)."""
         if len(self.at) > UNITS_KEPT:
             self.clear()
-        found = []
-        for raw, word in zip(units, whole, strict=True):
-            if raw not in self.at:
-                if word:
+        at = self.at
+        which = [at.get(u, -1) for u in units]
+        new = [i for i, k in enumerate(which) if k < 0]
+        if new:
+            found = []
+            for i in new:
+                raw = units[i]
+                if whole[i]:
                     found.append(self.tok.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids)
                 else:
                     found.append([t.id for t in self.tok.model.tokenize("".join([self.char[b] for b in raw]))])
-                self.at[raw] = len(self.at)
-        if found:
+                which[i] = at[raw] = len(at)
             size = np.fromiter(map(len, found), np.int64, len(found))
             self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(size)])
             self.ids = np.concatenate([self.ids, np.fromiter((x for y in found for x in y), np.uint16)])
-        return np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
+        return np.array(which, np.int64)
 
 
 def _units(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +145,7 @@ def _encode(path: str):
     def run(batches):
         for batch in batches:
             data, offs = K.text_bytes(batch.column(1))
-            for a, b in K.chunks(offs):
+            for a, b in K.chunks(offs, CHUNK_BYTES):
                 ids, at = encode_texts(path, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 binary = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * 2).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), binary], names=["doc_id", "ids"])
@@ -155,39 +159,36 @@ def re_pair(seq: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray
     while len(seq) > 1 and FIRST_RULE + len(rules) < 1 << 16:
         often = np.bincount(seq, minlength=1 << 16) >= least  # a frequent pair has frequent symbols
         often[END] = False
-        known = often[seq]
-        at = np.flatnonzero(known[:-1] & known[1:])
-        pair = seq[at].astype(np.uint32) << 16 | seq[at + 1]
-        twin = np.flatnonzero(seq[at] == seq[at + 1])
+        known, a, b = often[seq], seq[:-1], seq[1:]
+        fine = known[:-1] & known[1:]
+        twin = np.flatnonzero(fine & (a == b))
         if len(twin):  # of a run of equal ids every second place counts, from the left
-            place = at[twin]
-            first = np.flatnonzero(np.append(True, np.diff(place) > 1))
-            begin = np.repeat(place[first], np.diff(np.append(first, len(place))))
-            fine = np.ones(len(at), bool)
-            fine[twin[(place - begin) % 2 == 1]] = False
-            at, pair = at[fine], pair[fine]
-        keys = np.sort(pair)
+            first = np.flatnonzero(np.append(True, np.diff(twin) > 1))
+            begin = np.repeat(twin[first], np.diff(np.append(first, len(twin))))
+            fine[twin[(twin - begin) % 2 == 1]] = False
+        pair = a.astype(np.uint32) << 16 | b
+        keys = np.sort(pair[fine])
         cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         freq, keys = np.diff(np.append(cut, len(keys))), keys[cut]
         if not len(freq) or freq.max() < least:
             break
-        top = np.flatnonzero(freq >= max(least, freq.max() // 8))
+        top = np.flatnonzero(freq >= least)
         lefts, rights, made = set(), set(), []
         for p in keys[top[np.lexsort((keys[top], -freq[top]))]].tolist():
-            a, b = p >> 16, p & 0xFFFF
+            x, y = p >> 16, p & 0xFFFF
             # no symbol ends one pair and begins another, so occurrences cannot overlap
-            if a not in rights and b not in lefts and FIRST_RULE + len(rules) + len(made) < 1 << 16:
-                lefts.add(a)
-                rights.add(b)
+            if x not in rights and y not in lefts and FIRST_RULE + len(rules) + len(made) < 1 << 16:
+                lefts.add(x)
+                rights.add(y)
                 made.append(p)
         chosen = np.array(made, np.uint32)
         order = np.argsort(chosen)
         left, right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
         left[chosen >> 16], right[chosen & 0xFFFF] = True, True
-        near = np.flatnonzero(left[seq[at]] & right[seq[at + 1]])
+        near = np.flatnonzero(fine & left[a] & right[b])
         k = order[np.minimum(np.searchsorted(chosen[order], pair[near]), len(order) - 1)]
         own = chosen[k] == pair[near]
-        hit = at[near[own]]
+        hit = near[own]
         seq = seq.copy()
         seq[hit] = (FIRST_RULE + len(rules) + k[own]).astype(np.uint16)
         rules += made
@@ -244,13 +245,20 @@ def _pack(batches):
         yield record(ids, parts)
 
 
+def expand_all(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """The same for a whole sequence: every rule is expanded once."""
+    flat = np.concatenate([np.arange(FIRST_RULE, dtype=np.uint16), expand((FIRST_RULE + np.arange(len(rules))).astype(np.uint16), rules)])
+    offs = np.concatenate([np.arange(FIRST_RULE), FIRST_RULE + np.append(0, np.cumsum(lengths(rules)))]).astype(np.int64)
+    return _take(offs, flat, seq.astype(np.int64))[0]
+
+
 def decode_record(rec: dict, only: int | None = None) -> np.ndarray:
     """All ids of a record, or those of its document number `only`, from that part of the sequence alone."""
     seq, rules = np.frombuffer(rec["seq"], np.uint16), np.frombuffer(rec["rules"], np.uint16).reshape(-1, 2)
     if only is not None:
         at = np.frombuffer(rec["seq_offs"], np.int64)
-        seq = seq[at[only] : at[only + 1]]
-    return expand(seq, rules)
+        return expand(seq[at[only] : at[only + 1]], rules)
+    return expand_all(seq, rules)
 
 
 def _unpack(batches):
