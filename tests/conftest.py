@@ -12,6 +12,6 @@ os.environ["PYTHONPATH"] = ROOT + ":" + os.environ.get("PYTHONPATH", "")
 def spark():
     from trackdensity.session import session
 
-    s = session("local[4]", 4)
+    s = session(os.environ.get("TEST_MASTER", "local[4]"), 4)
     s.sparkContext.setLogLevel("ERROR")
     return s

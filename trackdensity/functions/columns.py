@@ -44,7 +44,64 @@ def cyclic(v: Column, period: float) -> tuple[Column, Column]:
 
 
 def log_ratio(obs: Column, ref: Column) -> Column:
-    return F.ln(F.try_divide(obs, ref))
+    """ln(obs / ref); null where either is not positive."""
+    return F.when((obs > 0) & (ref > 0), F.ln(F.try_divide(obs, ref)))
+
+
+def finite(*values: Column) -> Column:
+    """Whether all values are numbers (not null, NaN or infinite)."""
+    ok = F.lit(True)
+    for v in values:
+        ok = ok & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return F.coalesce(ok, F.lit(False))
+
+
+def positive(*values: Column) -> Column:
+    """Whether all values are finite and above 0."""
+    ok = finite(*values)
+    for v in values:
+        ok = ok & (v > 0)
+    return F.coalesce(ok, F.lit(False))
+
+
+def target_density(kind: str, y: Column, ref: Column, legacy: bool = False) -> Column:
+    """Density of a prediction: log_residual is relative to ref, log_density and density are not.
+
+    legacy treats density like log_residual.
+    """
+    if kind == "log_residual" or (kind == "density" and legacy):
+        return ref * F.exp(y)
+    if kind == "log_density":
+        return F.exp(y)
+    if kind == "density":
+        return y
+    raise ValueError(f"unknown target kind {kind!r}")
+
+
+def interactions(lat: Column, lst_sin: Column, lst_cos: Column, ap_now: Column, ap_before: Column) -> dict[str, Column]:
+    return {"lst_lat_sin": lst_sin * lat, "lst_lat_cos": lst_cos * lat, "ap_change": ap_now - ap_before}
+
+
+def instant_features(t: Column, lon: Column, lat: Column, doy_period: float = 365, whole_hour: bool = True) -> dict[str, Column]:
+    """Cyclic features of the grid variant: whole UTC hour and a year of 365 days unless told otherwise."""
+    lst = F.pmod((F.hour(t).cast("double") if whole_hour else utc_hours(t)) + lon / 15, F.lit(24.0))
+    (a, b), (d, e) = cyclic(lst, 24), cyclic(F.dayofyear(t), doy_period)
+    return {"lst_sin": a, "lst_cos": b, "doy_sin": d, "doy_cos": e, "lon_sin": F.sin(F.radians(lon)), "lon_cos": F.cos(F.radians(lon)), "lst_lat_sin": a * lat, "lst_lat_cos": b * lat}
+
+
+def ap_vector(values: Column | list[Column]) -> Column:
+    """Seven Ap values: those given, or one of them seven times."""
+    return F.array(*[v.cast("double") for v in values]) if isinstance(values, list) else F.array_repeat(values.cast("double"), 7)
+
+
+def geomagnetic_mode(aps: Column) -> Column:
+    """-1 for a vector of seven values, else 1."""
+    return F.when(F.size(aps) == 7, -1).otherwise(1)
+
+
+def altitude_scaled(rho: Column, source: Column, target: Column, least: float = 1e-30) -> Column:
+    """Density carried from the altitude of density `source` to that of density `target`."""
+    return rho * (target / F.when(source.isNotNull(), F.greatest(source, F.lit(least))))
 
 
 def number(x: Column) -> Column:

@@ -6,15 +6,17 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Loss = Callable[[Column], tuple[Column, Column]]
 
 
-def assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    """Rows with all features present, in fixed order, as the column `features`."""
+def assemble(df: DataFrame, features: list[str], expected: list[str] | None = None) -> DataFrame:
+    """Rows with all features present, in fixed order, as the column `features`; another order than expected is an error."""
+    if expected is not None and list(features) != list(expected):
+        raise ValueError(f"features in another order than {expected}")
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
 
 
@@ -67,6 +69,19 @@ class Stages:
     def first(self, n: int) -> Stages:
         return Stages(self.base, self.trees[:n], self.rates[:n])
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Trees under path/tree-N and, last, a manifest of the rates, so a folder with a manifest is whole."""
+        for k, t in enumerate(self.trees):
+            t.write().overwrite().save(f"{path}/tree-{k}")
+        rows = [(-1, float(self.base)), *enumerate(map(float, self.rates))]
+        spark.createDataFrame(rows, "stage int, rate double").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Stages:
+        rates = dict(map(tuple, spark.read.parquet(f"{path}/manifest").collect()))  # a row for each stage
+        base = rates.pop(-1)
+        return cls(base, [DecisionTreeRegressionModel.load(f"{path}/tree-{k}") for k in sorted(rates)], [rates[k] for k in sorted(rates)])
+
 
 def newton_boost(train: DataFrame, valid: DataFrame, label: str, loss: Loss, rate: Callable[[int], float], rounds: int, depth: int = 4, min_rows: int = 50, start: Stages | None = None, patience: int = 30) -> tuple[Stages, list[tuple[int, float, float]]]:
     """(best stages, curve of (round, train rmse, valid rmse)). Continues from `start` if given."""

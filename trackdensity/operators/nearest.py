@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .names import free
 
 SIX_HOURS = 21600
 
@@ -76,14 +77,17 @@ def collocate(points: DataFrame, grid: DataFrame, values: list[str], step: float
 
 
 def interpolate(points: DataFrame, maps: DataFrame, lat0: float, dlat: float, lon0: float, dlon: float) -> DataFrame:
-    """Bilinear value at (lat, lon); null if a corner of non-zero weight is missing or null. maps: i, j, tec_value."""
-    y, x = (F.col("lat") - lat0) / dlat, (F.col("lon") - lon0) / dlon
-    u, v = y - F.floor(y), x - F.floor(x)
-
-    def corner(a: int, b: int) -> Column:
-        return F.struct((F.floor(y) + a).cast("int").alias("i"), (F.floor(x) + b).cast("int").alias("j"), ((u if a else 1 - u) * (v if b else 1 - v)).alias("w"))
+    """Points with the bilinear `value` at (lat, lon); null if a corner of non-zero weight is missing or null.
 
-    rows = points.withColumn("c", F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)]))).select(*points.columns, "c.i", "c.j", "c.w").filter("w > 0")
-    met = rows.join(maps.select("i", "j", "tec_value"), ["i", "j"], "left")
-    whole = F.count(F.lit(1)) == F.count("tec_value")
-    return met.groupBy(*points.columns).agg(F.when(whole, F.sum(F.col("w") * F.col("tec_value"))).alias("value"))
+    maps: i, j, tec_value. Each map cell is known with its three neighbours, so a point needs one lookup.
+    """
+    i, j, u, v, corner = free(points, "i", "j", "u", "v", "corner")
+    y, x = (F.col("lat") - lat0) / dlat, (F.col("lon") - lon0) / dlon
+    places = [(a, b) for a in (0, 1) for b in (0, 1)]
+    spread = F.explode(F.array(*[F.struct((F.col("i") - a).alias("i"), (F.col("j") - b).alias("j"), F.lit(2 * a + b).alias("k"), F.col("tec_value").alias("x")) for a, b in places]))
+    cells = maps.select(spread.alias("c")).groupBy(F.col("c.i").alias(i), F.col("c.j").alias(j)).agg(F.array(*[F.max(F.when(F.col("c.k") == k, F.col("c.x"))) for k in range(4)]).alias(corner))
+    rows = points.withColumns({i: F.floor(y).cast("int"), j: F.floor(x).cast("int"), u: y - F.floor(y), v: x - F.floor(x)})
+    weight = lambda a, b: (F.col(u) if a else 1 - F.col(u)) * (F.col(v) if b else 1 - F.col(v))
+    parts = [F.when(weight(a, b) == 0, 0.0).otherwise(weight(a, b) * F.col(corner)[2 * a + b]) for a, b in places]
+    total = parts[0] + parts[1] + parts[2] + parts[3]
+    return rows.join(cells, [i, j], "left").select(*points.columns, total.alias("value"))

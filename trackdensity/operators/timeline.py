@@ -9,41 +9,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import free
+
+
+def _met(rows: DataFrame, buckets: DataFrame, bucket: str) -> DataFrame:
+    """rows with the columns of the bucket table; a null bucket is one like any other."""
+    return rows.join(buckets.withColumnRenamed(bucket, f"{bucket}_key"), rows[bucket].eqNullSafe(F.col(f"{bucket}_key"))).drop(f"{bucket}_key")
+
 
 def row_number(df: DataFrame, bucket: Column, order: list[str], name: str = "rn") -> DataFrame:
-    """0-based position in (bucket, order)."""
-    rows = df.withColumn("_b", bucket)
-    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_off"))
-    local = rows.withColumn("_l", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
-    return local.join(before, "_b").withColumn(name, F.col("_off") + F.col("_l") - 1).drop("_b", "_l", "_off")
+    """0-based position in (bucket, order); a null bucket comes first."""
+    b, n, off, local = free(df, "bucket", "size", "offset", "local")
+    rows = df.withColumn(b, bucket)
+    sizes = rows.groupBy(b).agg(F.count(F.lit(1)).alias(n))
+    before = sizes.select(b, (F.sum(n).over(Window.orderBy(b)) - F.col(n)).alias(off))
+    rows = rows.withColumn(local, F.row_number().over(Window.partitionBy(b).orderBy(*order)))
+    return _met(rows, before, b).withColumn(name, F.col(off) + F.col(local) - 1).drop(b, local, off)
+
 
+def row_lag(df: DataFrame, value: str, k: int, name: str, block: int | None = None) -> DataFrame:
+    """value k rows earlier; null for the first k.
 
-def row_lag(df: DataFrame, value: str, k: int, name: str) -> DataFrame:
-    """value k rows earlier, by an equi-join on rn; null for the first k."""
-    return df.join(df.select((F.col("rn") + k).alias("rn"), F.col(value).alias(name)), "rn", "left")
+    Blocks of `block` rows (k at least) take along those of the block before, so one shuffle does.
+    """
+    blk, own = free(df, "block", "own")
+    size = max(block or k, k)
+    home = F.floor(F.col("rn") / size)
+    twice = df.withColumn(blk, F.explode(F.array(home, home + 1))).withColumn(own, F.col(blk) == home)
+    w = Window.partitionBy(blk).orderBy("rn")
+    return twice.withColumn(name, F.lag(value, k).over(w)).filter(own).drop(blk, own)
 
 
 def rolling_mean(df: DataFrame, value: Column, window: int, name: str) -> DataFrame:
     """Mean over the trailing `window` rows (fewer at the start), by blocks with a halo."""
+    blk, v = free(df, "block", "v")
     own = F.floor(F.col("rn") / window)
-    twice = df.withColumn("_v", value).withColumn("_blk", F.explode(F.array(own, own + 1)))
-    w = Window.partitionBy("_blk").orderBy("rn").rowsBetween(-(window - 1), 0)
-    return twice.withColumn(name, F.avg("_v").over(w)).filter(F.col("_blk") == own).drop("_blk", "_v")
+    twice = df.withColumn(v, value).withColumn(blk, F.explode(F.array(own, own + 1)))
+    w = Window.partitionBy(blk).orderBy("rn").rowsBetween(-(window - 1), 0)
+    return twice.withColumn(name, F.avg(v).over(w)).filter(F.col(blk) == own).drop(blk, v)
 
 
 def fill(df: DataFrame, bucket: Column, order: list[str], columns: list[str], back: bool = True) -> DataFrame:
-    """Forward fill of all columns in the global order, then (back) the first value for what precedes it."""
-    rows = df.withColumn("_b", bucket)
-    w = Window.partitionBy("_b").orderBy(*order)
-    lasts = rows.groupBy("_b").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_last_{c}") for c in columns])
-    every = Window.orderBy("_b")
-    carry = lasts.select("_b", *[F.last(f"_last_{c}", True).over(every.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_carry_{c}") for c in columns])
-    out = rows.join(F.broadcast(carry), "_b")  # one row for each bucket
+    """Forward fill of all columns in the global order, then (back) the first value for what precedes it.
+
+    A null bucket comes first.
+    """
+    b, *names = free(df, "bucket", *[f"{k}_{c}" for c in columns for k in ("last", "carry", "head")])
+    last, carry, head = ({c: names[3 * i + k] for i, c in enumerate(columns)} for k in range(3))
+    rows = df.withColumn(b, bucket)
+    w = Window.partitionBy(b).orderBy(*order)
+    lasts = rows.groupBy(b).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(last[c]) for c in columns])
+    every = Window.orderBy(b)
+    carried = lasts.select(b, *[F.last(last[c], True).over(every.rowsBetween(Window.unboundedPreceding, -1)).alias(carry[c]) for c in columns])
+    out = _met(rows, F.broadcast(carried), b)  # one row for each bucket
     if back:
-        head = df.agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_head_{c}") for c in columns])
-        out = out.crossJoin(F.broadcast(head))
-    pick = lambda c: F.coalesce(F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"_carry_{c}"), *([F.col(f"_head_{c}")] if back else []))
+        first = rows.agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(b, *order))).alias(head[c]) for c in columns])
+        out = out.crossJoin(F.broadcast(first))
+    pick = lambda c: F.coalesce(F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col(carry[c]), *([F.col(head[c])] if back else []))
     return out.select(*[c for c in df.columns if c not in columns], *[pick(c).alias(c) for c in columns])
 
 
@@ -57,16 +79,20 @@ def densify(df: DataFrame, time: str, step: str) -> DataFrame:
 
 
 def segments(df: DataFrame, bucket: Column, order: list[str], lon: str = "lon", jump: float = 180.0) -> DataFrame:
-    """segment: counts breaks where lon jumps by more than `jump` against the row before in the global order."""
-    rows = df.withColumn("_b", bucket)
-    ends = rows.groupBy("_b").agg(F.max_by(lon, F.struct(*order)).alias("_end"))
-    prev = ends.select("_b", F.lag("_end").over(Window.orderBy("_b")).alias("_prev"))
-    w = Window.partitionBy("_b").orderBy(*order)
-    rows = rows.join(F.broadcast(prev), "_b").withColumn("_brk", (F.abs(F.col(lon) - F.coalesce(F.lag(lon).over(w), "_prev")) > jump).cast("int"))
-    rows = rows.withColumn("_brk", F.coalesce("_brk", F.lit(0)))
-    sums = rows.groupBy("_b").agg(F.sum("_brk").alias("_n"))
-    off = sums.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_off"))
-    return rows.join(F.broadcast(off), "_b").withColumn("segment", F.col("_off") + F.sum("_brk").over(w)).drop("_b", "_prev", "_brk", "_off")
+    """segment: counts breaks where lon jumps by more than `jump` against the row before in the global order.
+
+    A null bucket comes first.
+    """
+    b, end, prev, brk, n, off = free(df, "bucket", "end", "prev", "break", "n", "offset")
+    rows = df.withColumn(b, bucket)
+    ends = rows.groupBy(b).agg(F.max_by(lon, F.struct(*order)).alias(end))
+    before = ends.select(b, F.lag(end).over(Window.orderBy(b)).alias(prev))
+    w = Window.partitionBy(b).orderBy(*order)
+    jumps = F.abs(F.col(lon) - F.coalesce(F.lag(lon).over(w), prev)) > jump
+    rows = _met(rows, F.broadcast(before), b).withColumn(brk, F.coalesce(jumps.cast("int"), F.lit(0)))
+    sums = rows.groupBy(b).agg(F.sum(brk).alias(n))
+    offsets = sums.select(b, (F.sum(n).over(Window.orderBy(b)) - F.col(n)).alias(off))
+    return _met(rows, F.broadcast(offsets), b).withColumn("segment", F.col(off) + F.sum(brk).over(w)).drop(b, prev, brk, off)
 
 
 def ap_history(index_3h: DataFrame) -> DataFrame:
@@ -90,3 +116,18 @@ def centred_mean(daily: DataFrame, day: str, value: str, half: int, name: str) -
     blk = F.explode(F.array_distinct(F.array(F.floor(n / span) - 1, F.floor(n / span), F.floor(n / span) + 1)))
     w = Window.partitionBy("_blk").orderBy(day).rowsBetween(-half, half)
     return dense.withColumn("_blk", blk).withColumn(name, F.avg(value).over(w)).filter(F.col("_blk") == F.floor(n / span)).drop("_blk")
+
+
+def time_lag(df: DataFrame, time: str, value: str, hours: list[int]) -> DataFrame:
+    """{value}_lag{h}: the value h hours earlier on a dense hourly series, by one shuffle; null where there is none."""
+    (shift,) = free(df, "shift")
+    moved = df.select(F.explode(F.array(*[F.lit(h) for h in hours])).alias(shift), (F.col(time) + F.make_interval(hours=F.col(shift))).alias(time), value)
+    lags = moved.groupBy(time).agg(*[F.max(F.when(F.col(shift) == h, F.col(value))).alias(f"{value}_lag{h}") for h in hours])
+    return df.join(lags, time, "left")
+
+
+def last_days(df: DataFrame, days: int, time: str = "time") -> DataFrame:
+    """Rows of the last `days` days before the latest time, that one included."""
+    (latest,) = free(df, "latest")
+    end = df.agg(F.max(time).alias(latest))
+    return df.crossJoin(F.broadcast(end)).filter(F.col(time) >= F.col(latest) - F.make_interval(days=F.lit(days))).drop(latest)

@@ -42,7 +42,7 @@ def _matches(spark, sf):
 
 
 @query(MATCH_SQL + """, j as (select t.lat, t.rho_obs, 1e-12::double*exp(-(t.alt_km-450)/60) ref, b.tec_value from track t left join best b on t.obs_id=b.obs_id and b.b=1)
-select (-90+(greatest(ceil((lat+90)/10),1)-0.5)*10)::double band, count(*) n, count(tec_value) matched, round(sqrt(avg(pow(ln(ref/rho_obs),2))),6) rmse_log, round(avg(ref-rho_obs)*1e12,6) bias_e12 from j group by 1""")
+select (-90+(greatest(ceil((lat+90)/10),1)-0.5)*10)::double band, count(*) n, count(tec_value) matched, round(sqrt(avg(pow(case when rho_obs>0 then ln(ref/rho_obs) end,2))),6) rmse_log, round(avg(ref-rho_obs)*1e12,6) bias_e12 from j group by 1""")
 def flagship_match_error(spark, sf):
     t = views.track(spark, sf)
     best = nearest.best_match(_matches(spark, sf)).select("obs_id", "tec_value")
@@ -74,9 +74,9 @@ def solar_time_features(spark, sf):
     return views.track(spark, sf).select("obs_id", r6(lst).alias("lst"), r6(a).alias("lst_sin"), r6(b).alias("lst_cos"), r6(d).alias("doy_sin"), r6(e).alias("doy_cos"), r6(F.sin(F.radians("lon"))).alias("lon_sin"), r6(F.cos(F.radians("lon"))).alias("lon_cos"))
 
 
-@query(P + "select obs_id, round(ln(obs/ref),6) log_ratio, round(ref*exp(ln(pred/ref))*1e12,6) back_e12, round(pred/obs,6) ratio, round((pred-obs)/obs,6) rel from density_pairs")
+@query(P + "select obs_id, round(case when obs>0 then ln(obs/ref) end,6) log_ratio, round(ref*exp(ln(pred/ref))*1e12,6) back_e12, round(pred/nullif(obs,0),6) ratio, round((pred-obs)/nullif(obs,0),6) rel from density_pairs")
 def log_ratio(spark, sf):
-    return views.density_pairs(spark, sf).select("obs_id", r6(C.log_ratio(c("obs"), c("ref"))).alias("log_ratio"), r6(c("ref") * F.exp(C.log_ratio(c("pred"), c("ref"))) * 1e12).alias("back_e12"), r6(c("pred") / c("obs")).alias("ratio"), r6((c("pred") - c("obs")) / c("obs")).alias("rel"))
+    return views.density_pairs(spark, sf).select("obs_id", r6(C.log_ratio(c("obs"), c("ref"))).alias("log_ratio"), r6(c("ref") * F.exp(C.log_ratio(c("pred"), c("ref"))) * 1e12).alias("back_e12"), r6(F.try_divide("pred", "obs")).alias("ratio"), r6(F.try_divide(c("pred") - c("obs"), c("obs"))).alias("rel"))
 
 
 @query(MATCH_SQL + "select obs_id, epoch::timestamp epoch, dist, latitude::double latitude, longitude::double longitude, tec_value from best where b=1")
@@ -114,19 +114,19 @@ def split_summary(spark, sf):
     return views.track(spark, sf).agg(F.count(F.lit(1)).alias("n"), q("alt_km", 0.05).alias("a05"), q("alt_km", 0.95).alias("a95"), q("lat", 0.05).alias("l05"), q("lat", 0.95).alias("l95"), F.min("alt_km").alias("lo"), F.max("alt_km").alias("hi"))
 
 
-@query(P + """select count(*) "count", round(avg(pred-obs)*1e12,6) bias, round(avg(abs(pred-obs))*1e12,6) mae, round(sqrt(avg(pow(pred-obs,2)))*1e12,6) rmse, round(avg(abs(pred-obs)/obs),6) mape,
-round(1-sum(pow(pred-obs,2))/(sum(obs*obs)-sum(obs)*sum(obs)/count(*)),6) r2, round(corr(obs,pred),6) corr, round(avg(pow(ln(pred)-ln(obs),2)),6) mse_log from density_pairs""")
+@query(P + """select count(*) "count", round(avg(pred-obs)*1e12,6) bias, round(avg(abs(pred-obs))*1e12,6) mae, round(sqrt(avg(pow(pred-obs,2)))*1e12,6) rmse, round(avg(case when obs>0 then abs(pred-obs)/obs end),6) mape,
+round(1-sum(pow(pred-obs,2))/(var_pop(obs)*count(*)),6) r2, round(corr(obs,pred),6) corr, round(avg(case when obs>0 and pred>0 then pow(ln(pred)-ln(obs),2) end),6) mse_log from density_pairs where obs is not null""")
 def metrics_validation(spark, sf):
     m = summaries.metrics(views.density_pairs(spark, sf), c("obs"), c("pred"))
     return m.select("count", *[r6(c(x) * 1e12).alias(x) for x in ("bias", "mae", "rmse")], *[r6(c(x)).alias(x) for x in ("mape", "r2", "corr", "mse_log")])
 
 
-@query(P + "select round(avg(e),6) top5 from (select abs(ln(pred)-ln(obs)) e, row_number() over (order by abs(ln(pred)-ln(obs)) desc) k, count(*) over () n from density_pairs) where k <= greatest(1, ceil(0.05*n))")
+@query(P + "select round(avg(e),6) top5 from (select abs(ln(pred)-ln(obs)) e, row_number() over (order by abs(ln(pred)-ln(obs)) desc) k, count(*) over () n from density_pairs where obs>0 and pred>0) where k <= greatest(1, ceil(0.05*n))")
 def top5pct(spark, sf):
     return summaries.top_share(views.density_pairs(spark, sf), F.abs(F.ln("pred") - F.ln("obs"))).select(r6(c("top5")).alias("top5"))
 
 
-@query(P + "select round(quantile_cont(abs(pred-obs),0.95)*1e12,6) p95, round(exp(quantile_cont(abs(ln(pred)-ln(obs)),0.95)),6) factor from density_pairs")
+@query(P + "select round(quantile_cont(abs(pred-obs),0.95)*1e12,6) p95, round(exp(quantile_cont(case when obs>0 and pred>0 then abs(ln(pred)-ln(obs)) end,0.95)),6) factor from density_pairs")
 def metrics_density_p95(spark, sf):
     return views.density_pairs(spark, sf).agg(r6(F.percentile(F.abs(c("pred") - c("obs")), F.lit(0.95)) * 1e12).alias("p95"), r6(F.exp(F.percentile(F.abs(F.ln("pred") - F.ln("obs")), F.lit(0.95)))).alias("factor"))
 
@@ -141,18 +141,24 @@ def hist_shared_edges(spark, sf):
     return summaries.histogram(views.density_pairs(spark, sf), c("alt_km"), 20, F.when(c("obs") > 2e-12, "above").otherwise("below"))
 
 
-@query(P + ", l as (select min(obs) a, max(obs) b, min(pred) d, max(pred) e from density_pairs) select least(99, floor((obs-a)/(b-a)*100))::bigint bx, least(99, floor((pred-d)/(e-d)*100))::bigint \"by\", count(*) n from density_pairs, l group by 1, 2")
+@query(P + ", p1 as (select obs, pred from density_pairs where obs>0 and pred>0), l as (select min(obs) a, max(obs) b, min(pred) d, max(pred) e from p1) select least(999, floor((obs-a)/(b-a)*1000))::bigint bx, least(999, floor((pred-d)/(e-d)*1000))::bigint \"by\", count(*) n from p1, l group by 1, 2")
 def hist2d(spark, sf):
-    d = views.density_pairs(spark, sf)
-    lim = d.agg(F.min("obs").alias("a"), F.max("obs").alias("b"), F.min("pred").alias("d"), F.max("pred").alias("e"))
-    b = lambda v, lo, hi: F.least(F.lit(99), F.floor((c(v) - c(lo)) / (c(hi) - c(lo)) * 100))
-    return d.crossJoin(F.broadcast(lim)).groupBy(b("obs", "a", "b").alias("bx"), b("pred", "d", "e").alias("by")).agg(F.count(F.lit(1)).alias("n"))
+    return summaries.histogram2d(views.density_pairs(spark, sf), c("obs"), c("pred"), 1000)
 
 
-@query(P + """, q as (select lon/10 x, lat/10 y from density_pairs), z as (select *, pow(x-floor(x+0.5),2)+3*pow(y-floor(y+0.5),2) < pow(x-floor(x)-0.5,2)+3*pow(y-floor(y)-0.5,2) near from q)
-select case when near then 0 else 1 end lattice, case when near then floor(x+0.5) else floor(x) end::bigint a, case when near then floor(y+0.5) else floor(y) end::bigint b, count(*) n from z group by 1,2,3""")
-def hexbin(spark, sf):
-    return summaries.hexbin(views.density_pairs(spark, sf), c("lon"), c("lat"), 10, 10)
+def _hexbin(gridsize: int):
+    ny = int(gridsize / 3**0.5)
+
+    def run(spark, sf):
+        return summaries.hexbin_grid(views.density_pairs(spark, sf), c("lon"), c("lat"), gridsize)
+
+    run.__name__ = "hexbin" if gridsize == 40 else f"hexbin_{gridsize}"
+    return query(P + f""", l as (select min(lon) x0, max(lon) x1, min(lat) y0, max(lat) y1 from density_pairs), q as (select (lon-x0)/(x1-x0)*{gridsize} x, (lat-y0)/(y1-y0)*{ny} y from density_pairs, l), z as (select *, pow(x-floor(x+0.5),2)+3*pow(y-floor(y+0.5),2) < pow(x-floor(x)-0.5,2)+3*pow(y-floor(y)-0.5,2) near from q)
+select case when near then 0 else 1 end lattice, case when near then floor(x+0.5) else floor(x) end::bigint a, case when near then floor(y+0.5) else floor(y) end::bigint b, count(*) n from z group by 1,2,3""")(run)
+
+
+_hexbin(40)
+_hexbin(440)
 
 
 @query(P + "select floor((lat+90)/5)::bigint bi, floor((lon+180)/5)::bigint bj, round(avg(pred)*1e12,6) mean, count(*) n from density_pairs group by 1,2")
@@ -181,18 +187,17 @@ def index_fill(spark, sf):
     return timeline.fill(d, F.trunc("day", "month"), ["day"], ["f107"]).select("day", F.round("f107", 9).alias("f107"))
 
 
-@query(D + ", k as (select unnest(generate_series(min(day), max(day), interval 1 day))::date as day from index_daily), j as (select k.day, f107 from k left join index_daily using (day)) select day, round(avg(f107) over (order by day rows between 40 preceding and 40 following) + 1.2345e-10::double,6) f107a from j")
+@query(D + ", k as (select unnest(generate_series(min(day), max(day), interval 1 day))::date as day from index_daily), j0 as (select k.day, round(f107*1e6::double)::bigint m from k left join index_daily using (day)) select day, ((sum(m) over w) // (count(m) over w))::double / 1e6::double f107a from j0 window w as (order by day rows between 40 preceding and 40 following)")
 def flux_81d(spark, sf):
-    # the offset keeps means that end in a 5 from being rounded by the order of summation
-    return timeline.centred_mean(views.index_daily(spark, sf), "day", "f107", 40, "f107a").select("day", r6(c("f107a") + 1.2345e-10).alias("f107a"))
+    # whole millionths, so that the order of summation does not matter
+    daily = views.index_daily(spark, sf).withColumn("f107", F.round(c("f107") * 1e6).cast("long"))
+    return timeline.centred_mean(daily, "day", "f107", 40, "f107a").select("day", (F.floor("f107a").cast("double") / 1e6).alias("f107a"))
 
 
 @query(H + ", k as (select unnest(generate_series(min(time), max(time), interval 1 hour)) as time from index_hourly), j as (select k.time, ap from k left join index_hourly using (time)), f as (select time, coalesce(last_value(ap ignore nulls) over (order by time rows between unbounded preceding and current row), 0) ap from j), g as (select time, ap, lag(ap,3) over (order by time) l3, lag(ap,24) over (order by time) l24 from f) select time::timestamp as time, round(ap,6) ap, round(l3,6) ap_lag3, round(l24,6) ap_lag24 from g")
 def hourly_lag(spark, sf):
     d = timeline.fill(timeline.densify(views.index_hourly(spark, sf), "time", "1 hour"), F.to_date("time"), ["time"], ["ap"])
-    out = d
-    for h in (3, 24):
-        out = out.join(d.select((c("time") + F.expr(f"interval {h} hours")).alias("time"), c("ap").alias(f"ap_lag{h}")), "time", "left")
+    out = timeline.time_lag(d, "time", "ap", [3, 24])
     return out.select(c("time").cast("timestamp_ntz").alias("time"), *[r6(c(x)).alias(x) for x in ("ap", "ap_lag3", "ap_lag24")])
 
 
@@ -245,10 +250,10 @@ _lagged(500)
 _lagged(17280)
 
 
-@query(S + "select rn, round(avg(abs(value-25)) over (order by rn rows between 999 preceding and current row),6) mae from s")
+@query(S + "select rn, round(avg(abs(value-25)) over (order by rn rows between 49999 preceding and current row),6) mae from s")
 def rolling_mae(spark, sf):
     s = _series(spark, sf).select("rn", "value")
-    return timeline.rolling_mean(s, F.abs(c("value") - 25), 1000, "mae").select(c("rn").cast("long").alias("rn"), r6(c("mae")).alias("mae"))
+    return timeline.rolling_mean(s, F.abs(c("value") - 25), 50_000, "mae").select(c("rn").cast("long").alias("rn"), r6(c("mae")).alias("mae"))
 
 
 @query(S + "select rn, value from s where rn % 20 = 0")
@@ -287,14 +292,10 @@ def map_interpolate(spark, sf):
     return nearest.interpolate(views.track(spark, sf).select("obs_id", "lat", "lon"), maps, -87.5, 25.0, -180.0, 45.0).select("obs_id", r6(c("value")).alias("value"))
 
 
-@query(T + "select obs_id, round(rho_obs*(exp(-(400-450)/60.0::double)/greatest(exp(-(alt_km-450)/60),1e-18))*1e12,6) scaled_e12 from track")
+@query(T + "select obs_id, round(rho_obs*(exp(-(400-450)/60.0::double)/greatest(1e-12::double*exp(-(alt_km-450)/60),1e-30::double)*1e-12::double)*1e12,6) scaled_e12 from track")
 def altitude_transfer(spark, sf):
     src, tgt = C.reference_density(c("alt_km")), C.reference_density(F.lit(400.0))
-    return views.track(spark, sf).select("obs_id", r6(c("rho_obs") * (tgt / F.when(src.isNotNull(), F.greatest(src, F.lit(1e-30)))) * 1e12).alias("scaled_e12"))
-
-
-def _split_sql(ranges):
-    return "case " + " ".join(f"when rn >= {a} and rn < {b} then '{n}'" for n, a, b in ranges) + " end"
+    return views.track(spark, sf).select("obs_id", r6(C.altitude_scaled(c("rho_obs"), src, tgt) * 1e12).alias("scaled_e12"))
 
 
 @query(S + """, n as (select count(*) n, least(greatest((0.6*count(*))::bigint,1),count(*)-2) b1 from s), m as (select *, least(greatest(floor(0.8::double*n)::bigint, b1+1), n-1) b2 from n) select case when rn<b1 then 'train' when rn<b2 then 'next' else 'last' end role, count(*) n, min(rn) a, max(rn) b from s, m group by 1""")
@@ -303,20 +304,26 @@ def split_single(spark, sf):
     return s.withColumn("role", summaries.roles(summaries.single_split(s.count(), 0.6, 0.2), c("rn"))).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.min("rn").cast("long").alias("a"), F.max("rn").cast("long").alias("b"))
 
 
-@query(S + ", x as (select rn, case when rn >= (rn//9700)*9700 + 0 and rn//9700 < 6 then case when rn%9700 < 5000 then 'train' when rn%9700 >= 6100 and rn%9700 < 7350 then 'next' when rn%9700 >= 8450 then 'last' end end role from s) select role, count(*) n, min(rn) a, max(rn) b from x group by 1")
+# sizes of a cycle's blocks (a, b, e) with gaps g, whole cycles q of period p, and the blocks of what is left (ra, rb, re)
+@query(S + """, n0 as (select count(*) n from s), n1 as (select n, round_even(1100*n/60000.0::double, 0)::bigint g, greatest(1, round_even((2.0::double/3)*n/8, 0))::bigint a, greatest(1, round_even((1.0::double/6)*n/8, 0))::bigint b from n0),
+n2 as (select *, b e, a+b+b+2*g p from n1), n3 as (select *, least(8, n//p) q from n2), n4 as (select *, n-q*p r, greatest(1, a*(n-q*p)//p) ra, greatest(1, b*(n-q*p)//p) rb from n3),
+n5 as (select *, least(greatest(1, e*r//p), r-2*g-ra-rb) re from n4), x as (select rn, rn < q*p whole, case when rn < q*p then rn%p else rn-q*p end k, n5.* from s, n5),
+y as (select rn, case when whole and k < a then 'train' when whole and k >= a+g and k < a+g+b then 'next' when whole and k >= a+2*g+b then 'last'
+  when not whole and q < 8 and re > 0 and k < ra then 'train' when not whole and q < 8 and re > 0 and k >= ra+g and k < ra+g+rb then 'next' when not whole and q < 8 and re > 0 and k >= ra+2*g+rb and k < ra+2*g+rb+re then 'last' end role from x)
+select role, count(*) n, min(rn) a, max(rn) b from y group by 1""")
 def split_cyclic(spark, sf):
     # the gaps are fixed for the size of the 60,000-row series and follow it in proportion elsewhere
     s = _series(spark, sf).select("rn")
     n = s.count()
     gap = round(1100 * n / 60000)
-    return s.withColumn("role", summaries.roles(summaries.cyclic_split(n, 8, (2 / 3, 1 / 6, 1 / 6), (gap, gap)), c("rn"))).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.min("rn").cast("long").alias("a"), F.max("rn").cast("long").alias("b"))
+    role = summaries.cyclic_role(c("rn"), n, 8, (2 / 3, 1 / 6, 1 / 6), (gap, gap))
+    return s.groupBy(role.alias("role")).agg(F.count(F.lit(1)).alias("n"), F.min("rn").cast("long").alias("a"), F.max("rn").cast("long").alias("b"))
 
 
 @query(S + ", n as (select count(*) // 6 k from s) select case when least(rn//k,5) in (0,1,2,5) then 'train' else 'val' end role, count(*) n from s, n group by 1")
 def split_blocks6(spark, sf):
     s = _series(spark, sf).select("rn")
-    blk = F.least(F.floor(c("rn") / (s.count() // 6)), F.lit(5))
-    return s.groupBy(F.when(blk.isin(0, 1, 2, 5), "train").otherwise("val").alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    return s.groupBy(summaries.block_role(c("rn"), s.count()).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(T + ", l as (select min(alt_km) a, max(alt_km) b, min(lat) d, max(lat) e from track where time < timestamp '2024-01-20') select obs_id, round(2*(alt_km-a)/(b-a)-1,6) alt_km, round(2*(lat-d)/(e-d)-1,6) lat from track, l")
@@ -332,9 +339,9 @@ def minmax_inverse(spark, sf):
     return summaries.unscale(summaries.scale(t, p, ["alt_km", "lat"]), p, ["alt_km", "lat"]).select("obs_id", r6(c("alt_km")).alias("alt_km"), r6(c("lat")).alias("lat"))
 
 
-@query(P + ", r as (select obs_id, ln(pred/obs) r from density_pairs), s as (select *, 1+pow(r/0.5,2) s from r) select obs_id, round(r+case when abs(r)>1 then 0.3*sign(r) else 0 end,6) g1, round(r/sqrt(s),6) g2, round(1/(s*sqrt(s)),6) h2, round(1/(s*sqrt(s))+case when abs(r)>1 then 0.3 else 0 end,6) h3 from s")
+@query(P + ", r as (select obs_id, case when obs>0 then ln(pred/obs) end r from density_pairs), s as (select *, 1+pow(r/0.5,2) s from r) select obs_id, round(r+case when abs(r)>1 then 0.3*sign(r) else 0 end,6) g1, round(r/sqrt(s),6) g2, round(1/(s*sqrt(s)),6) h2, round(1/(s*sqrt(s))+case when abs(r)>1 then 0.3 else 0 end,6) h3 from s")
 def loss_gradients(spark, sf):
-    r = F.ln(c("pred") / c("obs"))
+    r = C.log_ratio(c("pred"), c("obs"))
     g2, h2 = C.pseudo_huber(r, 0.5)
     return views.density_pairs(spark, sf).select("obs_id", r6(C.mse_extreme(r, 0.3, 1.0)[0]).alias("g1"), r6(g2).alias("g2"), r6(h2).alias("h2"), r6(C.pseudo_huber_extreme(r, 0.5, 0.3, 1.0)[1]).alias("h3"))
 
@@ -356,15 +363,15 @@ def fold_plan(spark, sf):
 
 
 @query(FOLDS_SQL + """, x as (select f.s-6 fold, p.obs, p.ref from f join d on o>=s and o<s+3 join (select *, 1e-12::double*exp(-(alt_km-450)/60) ref, rho_obs obs from track) p on p.time::date=d.day)
-select fold::bigint fold, count(*) n, round(sqrt(avg(pow(ref-obs,2)))*1e12,6) rmse, round(avg(abs(ref-obs))*1e12,6) mae, round(avg(abs(ref-obs)/obs)*100,6) mape_pct, round(avg(ref-obs)*1e12,6) bias from x group by 1""")
+select fold::bigint fold, count(*) n, round(sqrt(avg(pow(ref-obs,2)))*1e12,6) rmse, round(avg(abs(ref-obs))*1e12,6) mae, round(avg(abs(ref-obs)/nullif(abs(obs),0))*100,6) mape_pct, round(avg(ref-obs)*1e12,6) bias from x where obs is not null group by 1""")
 def backtest_baseline_summary(spark, sf):
     p = views.density_pairs(spark, sf).withColumn("day", F.to_date("time"))
     plan = summaries.fold_plan(p.select("day").distinct(), 3).filter("role = 'forecast'")
-    e = c("ref") - c("obs")
-    return p.join(plan, "day").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), r6(F.sqrt(F.avg(e * e)) * 1e12).alias("rmse"), r6(F.avg(F.abs(e)) * 1e12).alias("mae"), r6(F.avg(F.abs(e) / c("obs")) * 100).alias("mape_pct"), r6(F.avg(e) * 1e12).alias("bias"))
+    m = summaries.forecast_metrics(p.join(plan, "day"), c("obs"), c("ref"), ["fold"])
+    return m.select("fold", "n", *[r6(c(x) * 1e12).alias(x) for x in ("rmse", "mae")], r6(c("mape_pct")).alias("mape_pct"), r6(c("bias") * 1e12).alias("bias"))
 
 
-@query("""select page_id, case when starts_with(lower(ltrim(substr(html,1,64))),'<!') or starts_with(lower(ltrim(substr(html,1,64))),'<html') then 'html' when strlen(html)<2000 then 'tiny' else 'other' end kind, strlen(html)::bigint n from (select page_id, html from pages union all select -1-doc_id, coalesce(text,'') from documents)""")
+@query("""select page_id, case when starts_with(lower(ltrim(substr(html,1,64))),'<!') or starts_with(lower(ltrim(substr(html,1,64))),'<html') then 'html' when strlen(html)<2000 then 'tiny' when starts_with(html, '     1.0') then 'plain' else 'other' end kind, strlen(html)::bigint n from (select page_id, html from pages union all select -1-doc_id, coalesce(text,'') from documents)""")
 def payload_kind(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select((-1 - c("doc_id")).alias("page_id"), F.coalesce("text", F.lit("")).alias("html"))
@@ -393,24 +400,35 @@ FEATURES = ["lat", "alt_km", "lst_sin", "lst_cos", "lon_sin", "lon_cos", "ap"]
 def _features(spark, sf):
     a, b = C.cyclic(C.local_solar_time(c("time"), c("lon")), 24)
     d = views.density_pairs(spark, sf).withColumns({"lst_sin": a, "lst_cos": b, "lon_sin": F.sin(F.radians("lon")), "lon_cos": F.cos(F.radians("lon")), "ap": c("ap").cast("double"), "y": C.log_ratio(c("obs"), c("ref"))})
-    return boosting.assemble(d.dropna(subset=[*FEATURES, "y"]), FEATURES).withColumn("is_valid", c("time") >= F.lit("2024-01-24").cast("timestamp"))
+    return boosting.assemble(d.dropna(subset=[*FEATURES, "y"]), FEATURES, FEATURES).withColumn("is_valid", c("time") >= F.lit("2024-01-24").cast("timestamp"))
+
+
+_fitted: dict[tuple[str, str], object] = {}
+
+
+def _model(spark, sf):
+    """The boosted model of a folder's rows, fitted once for an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        _fitted[key] = boosting.train_squared(_features(spark, sf), "y", validation="is_valid")
+    return _fitted[key]
 
 
 @query()
 def gbt_train_score(spark, sf):
-    f = _features(spark, sf)
-    model = boosting.train_squared(f, "y", validation="is_valid")
-    return model.transform(f.filter("is_valid")).select("obs_id", "y", "prediction", (c("ref") * F.exp("prediction")).alias("rho_pred"))
+    out = _model(spark, sf).transform(_features(spark, sf).filter("is_valid"))
+    return out.select("obs_id", "y", "prediction", C.target_density("log_residual", c("prediction"), c("ref")).alias("rho_pred"))
 
 
 @query()
 def feature_importance(spark, sf):
-    model = boosting.train_squared(_features(spark, sf), "y", validation="is_valid")
-    return spark.createDataFrame(sorted(((n, float(v)) for n, v in zip(FEATURES, model.featureImportances.toArray(), strict=True)), key=lambda x: -x[1]), "feature string, gain double")
+    """The features by gain, 15 at most."""
+    gains = sorted(zip(FEATURES, _model(spark, sf).featureImportances.toArray(), strict=True), key=lambda x: -x[1])[:15]
+    return spark.createDataFrame([(n, float(v)) for n, v in gains], "feature string, gain double")
 
 
 @query()
 def newton_boost_curve(spark, sf):
     f = _features(spark, sf)
-    _, curve = boosting.newton_boost(f.filter("not is_valid"), f.filter("is_valid"), "y", lambda r: C.pseudo_huber(r, 1.0), lambda k: 0.3, 3)
+    _, curve = boosting.newton_boost(f.filter("not is_valid"), f.filter("is_valid"), "y", lambda r: C.pseudo_huber(r, 1.0), lambda k: 0.3, 1360)
     return spark.createDataFrame(curve, "round int, train_rmse double, valid_rmse double")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRACK_LINE = r"^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}"
+MAP_NAME = r"^[a-z]{4}\d{3}0\.\d{2}i(\.Z|\.gz)?$"
 # fixed values: column order of the two text layouts
 NINE = ["date", "clock", "time_sys", "alt_m", "lon_deg", "lat", "lst_h", "arglat_deg", "rho_obs"]
 TWELVE = [*NINE, "rho_mean", "flag_dens", "flag_dens_mean"]
@@ -40,15 +40,21 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
+def layout_of(mission: str) -> str:
+    """Layout of a mission's track files."""
+    return "12col" if mission.strip().upper() == "GRACE" else "9col"
+
+
 def parse_track_lines(lines: DataFrame, layout: str = "12col", nominal_only: bool = True) -> DataFrame:
-    """Typed rows of text lines (column value); comments and malformed lines go."""
+    """Typed rows of text lines (column value) that begin with a date and a time of day; others and what follows a # go."""
     names = TWELVE if layout == "12col" else NINE
     body = F.split(F.trim(F.split("value", "#")[0]), r"\s+")
-    rows = lines.filter(F.col("value").rlike(TRACK_LINE)).select(body.alias("f")).filter(F.size("f") >= len(names))
+    rows = lines.select(body.alias("f")).filter(F.size("f") >= len(names))
     num = lambda n: F.expr(f"try_cast(f[{names.index(n)}] as double)")
     cols = {n: num(n) for n in names[3:] if n not in ("alt_m", "lon_deg")}
+    stamp = F.try_to_timestamp(F.concat(F.col("f")[0], F.lit(" "), F.substring(F.col("f")[1], 1, 8)), F.lit("yyyy-MM-dd HH:mm:ss"))
     out = rows.select(
-        F.expr("try_to_timestamp(concat(f[0], ' ', substring(f[1], 1, 8)))").alias("time"), F.expr("f[2]").alias("time_sys"), (num("alt_m") / 1000).alias("alt_km"),
+        stamp.alias("time"), F.expr("f[2]").alias("time_sys"), (num("alt_m") / 1000).alias("alt_km"),
         (F.pmod(num("lon_deg") + 180, F.lit(360.0)) - 180).alias("lon"), *[c.alias(n) for n, c in cols.items()],
     ).filter("time is not null")
     return out.filter("flag_dens = 0") if layout == "12col" and nominal_only else out
@@ -75,81 +81,124 @@ def read_track_archives(spark: SparkSession, glob: str, years: tuple[int, int],
                     yield pd.DataFrame({"path": [path], "value": [""], "error": [f"{type(e).__name__}: {e}"]})
 
     part = lambda k: F.regexp_extract("path", r"([A-Z0-9]+)_([A-Z]+)_[A-Z]+_(\d{4})_(\d{2})_v02\.zip$", k)
-    files = spark.read.format("binaryFile").load(glob).select("path", "content").filter((part(2) == "DNS") & part(3).cast("string").between(str(years[0]), str(years[1])))
+    files = spark.read.format("binaryFile").load(glob).select("path", "content").filter((part(2) == "DNS") & F.coalesce(part(3).try_cast("int").between(*years), F.lit(False)))
     found = files.mapInPandas(lines, "path string, value string, error string")
     return found.withColumns({"mission": part(1), "year": F.expr("try_cast(" + "regexp_extract(path, '_(\\\\d{4})_', 1) as int)"), "month": F.expr("try_cast(regexp_extract(path, '_(\\\\d{2})_v02', 1) as int)")})
 
 
 def parse_map(text: str) -> list[tuple]:
-    """(epoch, lat, lon, value) for the full mesh of each map of one file; ValueError for a bad file."""
-    head: dict[str, list[float]] = {}
-    rows: list[tuple] = []
-    lines = text.splitlines()
-    exponent, k = -1, 0
-    while k < len(lines) and "START OF TEC MAP" not in lines[k]:
-        label = lines[k][60:].strip()
-        if label.startswith(("LAT1", "LON1")):
-            head[label[:3]] = [float(x) for x in lines[k][:60].split()]
+    """(epoch, lat, lon, value) for every cell of the header's mesh in each map of one file; ValueError for a bad file.
+
+    Cells without a value, and those marked 9999 or -1, are None. Rows may span any part of a
+    latitude. A file without EXPONENT has whole units.
+    """
+    head: dict[str, tuple[float, float, float]] = {}
+    exponent, epoch, cells, out = 0, None, None, []
+    values, want, at = "", 0, (0, 0)
+
+    def steps(first: float, last: float, step: float) -> int:
+        return int(round((last - first) / step)) + 1
+
+    def store() -> None:
+        for k in range(want):
+            v = int(values[5 * k : 5 * k + 5])
+            cells[at[0], at[1] + k] = None if v in (9999, -1) else v * 10.0**exponent
+
+    for line in text.splitlines():
+        label = line[60:].strip()
+        if want:
+            if label.startswith(("LAT/LON1", "END OF")):
+                raise ValueError("short row")
+            values += line[:80].rstrip()
+            if len(values) >= 5 * want:
+                store()
+                values, want = "", 0
+        elif label.startswith(("LAT1", "LON1")):
+            head[label[:3]] = tuple(float(x) for x in line[:60].split()[:3])
         elif label == "EXPONENT":
-            exponent = int(lines[k][:6])
-        k += 1
-    if set(head) != {"LAT", "LON"}:
-        raise ValueError("no grid in the header")
-    axis = lambda a, b, d: [a + d * i for i in range(int(round((b - a) / d)) + 1)]
-    lats, lons = axis(*head["LAT"]), axis(*head["LON"])
-    epoch, done = None, True
-    while k < len(lines):
-        label = lines[k][60:].strip()
-        if label == "START OF TEC MAP":
-            epoch, done = None, False
+            exponent = int(line[:6])
+        elif label == "START OF TEC MAP":
+            if set(head) != {"LAT", "LON"}:
+                raise ValueError("no grid in the header")
+            if cells is not None:
+                raise ValueError("a map does not end")
+            cells, epoch = {}, None
         elif label == "EPOCH OF CURRENT MAP":
-            y, mo, d, h, mi, s = (int(float(x)) for x in lines[k][:60].split())
-            epoch = pd.Timestamp(y, mo, d, h % 24, mi, s) + pd.Timedelta(days=h // 24)
+            y, mo, d, h, mi, s = (int(float(x)) for x in line[:60].split())
+            epoch = pd.Timestamp(y, mo, d) + pd.Timedelta(hours=h, minutes=mi, seconds=s)
+        elif label == "LAT/LON1/LON2/DLON/H" and cells is not None:
+            lat, first, last, step = (float(x) for x in re.findall(r"-?\d+\.\d", line[:60])[:4])  # numbers may touch
+            (lat0, lat1, dlat), (lon0, _, dlon) = head["LAT"], head["LON"]
+            at, want = (int(round((lat - lat0) / dlat)), int(round((first - lon0) / dlon))), steps(first, last, step)
+            if not 0 <= at[0] < steps(lat0, lat1, dlat) or at[1] < 0 or at[1] + want > steps(*head["LON"]):
+                raise ValueError("a row outside the grid")
         elif label == "END OF TEC MAP":
-            done = True
-        elif label == "LAT/LON1/LON2/DLON/H":
-            lat = float(re.match(r"\s*(-?\d+\.\d)", lines[k]).group(1))  # the next number may touch it
-            values: list[str] = []
-            while len(values) < len(lons):
-                k += 1
-                if k >= len(lines) or lines[k][60:].strip().isupper():
-                    raise ValueError("short row")
-                values += [lines[k][i : i + 5] for i in range(0, len(lines[k].rstrip()), 5)]
-            for lon, v in zip(lons, values, strict=False):
-                rows.append((epoch, lat, lon, None if v.strip() in ("9999", "-1") else int(v) * 10.0**exponent))
-        elif label == "END OF FILE":
-            break
-        k += 1
-    if not done:
+            if epoch is None:
+                raise ValueError("a map without an epoch")
+            (lat0, _, dlat), (lon0, _, dlon) = head["LAT"], head["LON"]
+            out += [(epoch, lat0 + i * dlat, lon0 + j * dlon, cells.get((i, j))) for i in range(steps(*head["LAT"])) for j in range(steps(*head["LON"]))]
+            cells = None
+    if set(head) != {"LAT", "LON"}:
+        raise ValueError("no grid in the header")
+    if cells is not None:
         raise ValueError("a map does not end")
-    if not set(r[1] for r in rows) <= set(lats):
-        raise ValueError("a latitude outside the grid")
-    return rows
+    return out
+
 
+def read_grid_maps(spark: SparkSession, glob: str, years: tuple[int, int] | None = None, center: str | None = None, name: str | None = None) -> DataFrame:
+    """(epoch, center, latitude, longitude, tec_value, path, error): bad files come as one row with `error`.
 
-def read_grid_maps(spark: SparkSession, glob: str, years: tuple[int, int] | None = None) -> DataFrame:
-    """(epoch, latitude, longitude, tec_value, path, error): bad files come as one row with `error`."""
+    center: given, or the first four letters of the file's name. name: a pattern (such as MAP_NAME) of the names to read.
+    """
 
     def run(batches):
         for pdf in batches:
             for path, text in zip(pdf["path"], pdf["value"], strict=True):
                 try:
                     out = pd.DataFrame(parse_map(text), columns=["epoch", "latitude", "longitude", "tec_value"]).assign(error=None)
-                except (ValueError, AttributeError) as e:
+                except ValueError as e:
                     out = pd.DataFrame({"epoch": [pd.NaT], "latitude": [None], "longitude": [None], "tec_value": [None], "error": [str(e)]})
-                yield out.assign(path=path)[["epoch", "latitude", "longitude", "tec_value", "path", "error"]]
+                yield out.assign(path=path, center=center or path.rsplit("/", 1)[-1][:4].lower())[["epoch", "center", "latitude", "longitude", "tec_value", "path", "error"]]
 
     files = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    out = files.mapInPandas(run, "epoch timestamp, latitude double, longitude double, tec_value double, path string, error string")
+    if name:
+        files = files.filter(F.regexp_extract("path", "([^/]+)$", 1).rlike(name))
+    out = files.mapInPandas(run, "epoch timestamp, center string, latitude double, longitude double, tec_value double, path string, error string")
     return out if years is None else out.filter(F.col("error").isNotNull() | F.year("epoch").between(*years))
 
 
-def payload_kind(content: Column) -> Column:
-    """html, lzw, gz, tiny (under 2000 bytes) or other."""
+def yearly_counts(maps: DataFrame) -> DataFrame:
+    """year, rows and rows with a value of a map series; epochs that are null count as year null."""
+    return maps.groupBy(F.year("epoch").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.count("tec_value").alias("n_values"))
+
+
+def newest(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The n rows that come last in order."""
+    return df.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def index_daily(df: DataFrame, start, end, names: dict[str, str] | None = None) -> DataFrame:
+    """Daily index series (time and renamed columns) from the day of start to the day after end; none is an error."""
+    names = names or {"f107_obs": "f107", "f107_81ctr_adj": "f107a", "Apavg": "ap_daily"}
+    day = F.date_trunc("day", "time")
+    out = df.select(day.alias("time"), *[F.col(c).cast("double").alias(n) for c, n in names.items() if c in df.columns])
+    last = F.date_trunc("day", F.lit(end).cast("timestamp") + F.expr("interval 1 day - interval 1 microsecond"))
+    out = nan_to_null(out.filter(F.col("time").between(F.date_trunc("day", F.lit(start).cast("timestamp")), last)))
+    if not out.limit(1).count():
+        raise ValueError(f"no index values between {start} and {end}")
+    return out
+
+
+def payload_kind(content: Column, content_type: Column | None = None) -> Column:
+    """html (by its first bytes or its content type), tiny (under 2000 bytes), lzw, gz, plain (a map's first line) or other."""
     head = F.lower(F.ltrim(F.decode(F.substring(content, 1, 64), "ISO-8859-1")))
+    html = head.startswith("<!") | head.startswith("<html")
+    if content_type is not None:
+        html = html | F.coalesce(F.lower(content_type).contains("text/html"), F.lit(False))
+    magic = F.hex(F.substring(content, 1, 2))
     return (
-        F.when(head.startswith("<!") | head.startswith("<html"), "html").when(F.hex(F.substring(content, 1, 2)) == "1F9D", "lzw")
-        .when(F.hex(F.substring(content, 1, 2)) == "1F8B", "gz").when(F.octet_length(content) < 2000, "tiny").otherwise("other")
+        F.when(html, "html").when(F.octet_length(content) < 2000, "tiny").when(magic == "1F9D", "lzw").when(magic == "1F8B", "gz")
+        .when(F.decode(F.substring(content, 1, 8), "ISO-8859-1") == "     1.0", "plain").otherwise("other")
     )
 
 
@@ -159,3 +208,12 @@ def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_run(df: DataFrame, path: str, tag: str) -> None:
+    """One run's rows under path/tag=...; a run written again replaces its own rows alone."""
+    df.drop("tag").write.mode("overwrite").parquet(f"{path}/tag={tag}")
+
+
+def run_tag(retrain: bool, period: str, horizon: int) -> str:
+    return f"dr{int(retrain)}_{period}_h{horizon}"

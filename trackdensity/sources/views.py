@@ -40,7 +40,9 @@ def map_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg((F.avg("o_totalprice") / 1000).alias("f107"))
+    """Mean of cents in whole numbers, so that it does not depend on the order of summation."""
+    tenths = F.expr("sum(cast(round(o_totalprice * 100) as bigint)) * 10 div count(1)")
+    return _read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg((tenths.cast("double") / F.lit(1e6)).alias("f107"))
 
 
 def index_3h(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +80,6 @@ MAP_SQL = """map_series as (select timestamp '2024-01-01 00:00:00' + to_hours(ca
 PAIRS_SQL = TRACK_SQL + ", p0 as (select *, rho_obs obs, 1e-12::double*exp(-(alt_km-450)/60) ref from track), density_pairs as (select *, ref*(1+0.001::double*(obs_id%200-100)) pred from p0)"
 SERIES_SQL = "s as (select *, l_quantity::double as value, row_number() over (order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 rn from lineitem)"
 GRID_SQL = "grid as (select a.i::int gi, b.j::int gj, -85.0::double + 5*a.i lat, -180.0::double + 5*b.j lon from range(35) a(i), range(72) b(j))"
-DAILY_SQL = "index_daily as (select cast(o_orderdate as date) as day, avg(o_totalprice)/1000 f107 from orders group by 1)"
+DAILY_SQL = "index_daily as (select cast(o_orderdate as date) as day, ((sum(round(o_totalprice * 100)::bigint) * 10) // count(*))::double / 1e6::double f107 from orders group by 1)"
 HOURLY_SQL = TRACK_SQL + ", index_hourly as (select date_trunc('hour', time) as time, avg(ap) ap from track where flag_dens=1 group by 1)"
 THREE_SQL = TRACK_SQL + ", index_3h as (select to_timestamp(floor(epoch(time)/10800)*10800)::timestamp as time, avg(ap) ap from track group by 1)"

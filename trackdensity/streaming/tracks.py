@@ -14,10 +14,13 @@ def hourly_mean(stream: DataFrame, late: str = "3 hours") -> DataFrame:
 
 
 def match_batches(stream: DataFrame, maps: DataFrame, sink: str, checkpoint: str, mesh: tuple, min_points: int = 64):
-    """Starts a query that appends each micro-batch's best matches to a Parquet folder."""
+    """Starts a query that writes each micro-batch's best matches to batch=N of a Parquet folder.
+
+    A batch that runs again after a failure replaces its own rows.
+    """
 
     def one(batch: DataFrame, epoch: int) -> None:
         found = nearest.best_match(nearest.nearest_on_mesh(batch, maps, *mesh, min_points=min_points))
-        found.write.mode("append").parquet(sink)
+        found.write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
