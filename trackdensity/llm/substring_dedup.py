@@ -230,15 +230,15 @@ def repeated_spans(text: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """From doc, sub, text: doc, sub, spans (array of lo, hi in bytes, overlapping) of documents with repeats."""
     again = text.select("text").mapInArrow(_anchor_rows(length, gram, True), "ah long").groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ah")
     found = text.select("doc", "sub", "text").mapInArrow(_anchor_rows(length, gram, False), f"ah long, s1 long, s2 long, {PLACE}").join(again, "ah")
-    found = written(found, "anchors")
+    found = written(found, "anchors", "zstd")
     place, seg = F.struct("doc", "sub", "lo", "hi"), ["ah", "s1", "s2"]
-    first = written(found.groupBy(*seg).agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")), "segments")
+    first = written(found.groupBy(*seg).agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")), "segments", "zstd")
     # each key is once on the right, so adaptive skew handling may split a segment of many copies
     copies = found.join(first.filter("n > 1").select(*seg, "f"), seg).filter(place > F.col("f")).select("doc", "sub", "lo", "hi")
     several = first.groupBy("ah").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     ask = first.join(several, "ah").select("f.doc", "f.sub", F.struct("ah", "m", "f.lo", "f.hi").alias("p")).groupBy("doc", "sub").agg(F.collect_list("p").alias("places"))
     ask = written(ask, "asked")
-    segs = written(text.join(ask.hint("merge"), ["doc", "sub"]).select("doc", "sub", "text", "places").mapInArrow(_slices, f"ah long, m long, {PLACE}, seg binary"), "bytes")
+    segs = written(text.join(ask.hint("merge"), ["doc", "sub"]).select("doc", "sub", "text", "places").mapInArrow(_slices, f"ah long, m long, {PLACE}, seg binary"), "bytes", "zstd")
     size = segs.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + 1), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-size // SHARD_BYTES))
     cold = segs.filter(f"m <= {hot}").withColumn("shard", F.pmod(F.xxhash64("ah"), F.lit(shards)))
