@@ -1,4 +1,4 @@
-"""Written intermediate tables in the folder that the cluster shares, and column names of our own."""
+"""Written intermediate tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.names import free  # noqa: F401
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (local sessions only), a new temporary folder."""
@@ -25,14 +27,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder, read again.
 
     Cuts the lineage in a way that survives lost executors, and gives the planner the
     table's true size, so that a later join broadcasts it only below the session's limit.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -42,17 +44,6 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free(df: DataFrame, *names: str) -> list[str]:
-    """The names, lengthened by underscores until df has no column of them (column names ignore case)."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n.lower() in taken:
-            n += "_"
-        taken.add(n.lower())
-        out.append(n)
-    return out
-
-
 def repeats(docs: DataFrame, id_col: str) -> bool:
     """Whether some id stands in several rows."""
     return docs.groupBy(F.col(id_col).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
