@@ -41,12 +41,18 @@ def row_lag(df: DataFrame, value: str, k: int, name: str, block: int | None = No
 
 
 def rolling_mean(df: DataFrame, value: Column, window: int, name: str) -> DataFrame:
-    """Mean over the trailing `window` rows (fewer at the start), by blocks with a halo."""
-    blk, v = free(df, "block", "v")
-    own = F.floor(F.col("rn") / window)
-    twice = df.withColumn(v, value).withColumn(blk, F.explode(F.array(own, own + 1)))
-    w = Window.partitionBy(blk).orderBy("rn").rowsBetween(-(window - 1), 0)
-    return twice.withColumn(name, F.avg(v).over(w)).filter(F.col(blk) == own).drop(blk, v)
+    """Mean over the trailing `window` rows (fewer at the start; nulls left out), by blocks with a halo.
+
+    Running sums of a block and its halo differ by the window's, so the work does not grow with the window.
+    """
+    blk, own, v, total, n = free(df, "block", "own", "v", "total", "n")
+    home = F.floor(F.col("rn") / window)
+    twice = df.withColumn(v, value).withColumn(blk, F.explode(F.array(home, home + 1))).withColumn(own, F.col(blk) == home)
+    order = Window.partitionBy(blk).orderBy("rn")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    sums = twice.withColumns({total: F.coalesce(F.sum(v).over(running), F.lit(0.0)), n: F.count(v).over(running)})
+    inside = lambda c: F.col(c) - F.lag(c, window, 0).over(order)
+    return sums.withColumn(name, F.try_divide(inside(total), inside(n))).filter(own).drop(blk, own, v, total, n)
 
 
 def fill(df: DataFrame, bucket: Column, order: list[str], columns: list[str], back: bool = True) -> DataFrame:

@@ -285,11 +285,11 @@ def collocate(spark, sf):
     return nearest.collocate(views.track(spark, sf), views.grid(spark), ["gi"], 5.0).select("obs_id", "ci", "cj", "gi_grid")
 
 
-@query(TM + """, q as (select obs_id, lat, lon, (lat+87.5)/25 y, (lon+180)/45 x from track), k as (select obs_id, (floor(y)+a)::int i, (floor(x)+b)::int j, (case when a=1 then y-floor(y) else 1-(y-floor(y)) end)*(case when b=1 then x-floor(x) else 1-(x-floor(x)) end) w from q, range(2) ta(a), range(2) tb(b)),
-e as (select * from map_series where epoch = timestamp '2024-01-05 00:00:00'), n as (select k.obs_id, k.w, e.tec_value v from k left join e on e.i=k.i and e.j=k.j where w>0) select obs_id, round(case when count(*)=count(v) then sum(w*v) end,6) as value from n group by 1""")
+@query(TM + """, q as (select obs_id, lat, lon, (lat+87.5)/25 y, (lon+180)/45 x from track), k as (select obs_id, a, b, (floor(y)+a)::int i, (floor(x)+b)::int j, (case when a=1 then y-floor(y) else 1-(y-floor(y)) end)*(case when b=1 then x-floor(x) else 1-(x-floor(x)) end) w from q, range(2) ta(a), range(2) tb(b)),
+e as (select * from map_series where epoch = timestamp '2024-01-05 00:00:00'), n as (select k.*, e.tec_value v from k left join e on e.i=k.i and e.j=k.j where w>0) select obs_id, round(case when count(*)=count(v) then coalesce(max(case when a=0 and b=0 then w*v end),0)+coalesce(max(case when a=0 and b=1 then w*v end),0)+coalesce(max(case when a=1 and b=0 then w*v end),0)+coalesce(max(case when a=1 and b=1 then w*v end),0) end,9) as value from n group by 1""")
 def map_interpolate(spark, sf):
     maps = views.map_series(spark, sf).filter("epoch = timestamp '2024-01-05 00:00:00'")
-    return nearest.interpolate(views.track(spark, sf).select("obs_id", "lat", "lon"), maps, -87.5, 25.0, -180.0, 45.0).select("obs_id", r6(c("value")).alias("value"))
+    return nearest.interpolate(views.track(spark, sf).select("obs_id", "lat", "lon"), maps, -87.5, 25.0, -180.0, 45.0).select("obs_id", F.round("value", 9).alias("value"))
 
 
 @query(T + "select obs_id, round(rho_obs*(exp(-(400-450)/60.0::double)/greatest(1e-12::double*exp(-(alt_km-450)/60),1e-30::double)*1e-12::double)*1e12,6) scaled_e12 from track")
