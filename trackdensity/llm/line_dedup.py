@@ -60,9 +60,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = repeats(docs, id_col)
     hit = written(covered_lines(docs, id_col, text_col, window), "covered")
     # rows go as one struct, so none of their columns meets one of ours
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(id_col, text_col).alias("doc"), _lines(text_col).alias("l"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(id_col, text_col).alias("doc"))
     # the same join at every size: the table of covered lines grows with the corpus
-    rows = rows.join(hit.hint("merge"), "doc", "left")
+    rows = rows.join(hit.hint("merge"), "doc", "left").withColumn("l", F.split(F.coalesce(F.col("row")[text_col], F.lit("")), "\n"))
     if again:  # the join has dealt and sorted the rows by doc already
         nth = F.row_number().over(Window.partitionBy("doc").orderBy("doc"))
         every = F.expr(f"sequence(0, size(l) - {window})")
