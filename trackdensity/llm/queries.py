@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, pieces, substring_dedup, token_output, toxicity
+from . import chat_format, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, near_dedup, pieces, secret_scan, substring_dedup, token_alignment, token_output, toxicity
 from .shared import table, written
 
 
@@ -76,7 +76,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_substring_dedup, op4_toxicity, op5_token_output, op6_chat_format, op7_line_dedup, op8_language_id, op8_page_language_id, op9_near_dedup, op10_decontaminate)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.align(table(spark, sf_dir, "documents"), a, b)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_substring_dedup, op4_toxicity, op5_token_output, op6_chat_format, op7_line_dedup, op8_language_id, op8_page_language_id, op9_near_dedup, op10_decontaminate, op11_token_alignment, op12_hard_negatives, op13_secret_scan)}
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -101,4 +118,12 @@ a as (select doc_id, list(n) cs from c group by doc_id)
 select d.doc_id, len(l)::bigint n_lines, coalesce(len(cs), 0)::bigint n_removed_lines,
   sha256(case when cs is null then coalesce(text, '') else array_to_string([l[k] for k in range(1, len(l) + 1) if not list_contains(cs, k)], chr(10)) end) kept_sha256
 from d left join a using (doc_id)""",
+    "op12_hard_negatives": """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end lab, [floor(256 * x::double) for x in embedding] v
+  from embeddings where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select a.vec_id aid, b.vec_id bid, a.lab = b.lab same, list_dot_product(a.v, b.v)::bigint s from r a, r b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select aid, bid, s from s where same qualify row_number() over (partition by aid order by s desc, bid) <= 5)
+select p.aid anchor_id, p.bid positive_id, (row_number() over w)::int "rank", n.bid negative_id, p.s positive_score, n.s negative_score
+from p join s n on n.aid = p.aid and not n.same and 80 * p.s <= 100 * n.s and 100 * n.s <= 100 * p.s
+window w as (partition by p.aid, p.bid order by n.s desc, n.bid) qualify row_number() over w <= 5""",
 }
