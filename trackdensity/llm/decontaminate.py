@@ -16,9 +16,10 @@ Items go to the tasks in slices of at most about BENCH_BYTES of text, two passes
 texts for each: one counts the items' words, one finds and aligns.
 
 Defined cases: null text is empty; words are lower-cased A-Z; items of fewer words than the
-n-gram seed with their whole sequence only; empty items and empty tables give no pairs; rows
-that repeat a doc_id or item_id are one document or item with the best score; repeated item
-texts are reported for each item_id.
+n-gram seed with their whole sequence only; empty items and empty tables give no pairs; in
+the report rows that repeat a doc_id or item_id, or have none, are one document or item with the
+best score; decontaminate() judges each row by itself, also those without or with repeated ids;
+repeated item texts are reported for each item_id.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import free, written
+from .shared import free, row_hash, written
 
 NGRAM, THRESHOLD = 3, 0.5
 BENCH_BYTES = 8 << 20
@@ -56,7 +57,7 @@ def least_matches(size: int, n: int, threshold: float) -> int:
 class Bench:
     """A slice of the items: their words, seeds by hash, and how many matches each needs."""
 
-    def __init__(self, ids: np.ndarray, text: pa.Array, n: int, threshold: float):
+    def __init__(self, ids: pa.Array, text: pa.Array, n: int, threshold: float):
         data, offs = K.text_bytes(text)
         self.ids, self.n, self.threshold = ids, n, threshold
         self.words, _, _, self.owner = K.words(K.LOWER[data], offs)
@@ -126,9 +127,9 @@ class Bench:
 def _texts(batches):
     for batch in batches:
         data, offs = K.text_bytes(batch.column(1))
-        ids = batch.column(0).cast(pa.int64())
+        known = batch.columns[0], batch.columns[2]
         for a, b in K.chunks(offs):
-            yield ids[a:b], b - a, K.words(K.LOWER[data[offs[a] : offs[b]]], offs[a : b + 1] - offs[a]), offs[a:b] - offs[a]
+            yield [x[a:b] for x in known], b - a, K.words(K.LOWER[data[offs[a] : offs[b]]], offs[a : b + 1] - offs[a]), offs[a:b] - offs[a]
 
 
 def _count(bench: Bench):
@@ -161,7 +162,7 @@ def _align(bench: Bench):
         for k, seeds in bench.seeds.items():
             bench.bits[k] = np.zeros(BITS + 1, bool)
             bench.bits[k][(seeds[0] & K.U(BITS)).astype(np.int64)] = True
-        for ids, n, (h, s, e, doc), base in _texts(batches):
+        for known, n, (h, s, e, doc), base in _texts(batches):
             first, end = np.searchsorted(doc, np.arange(n)), np.searchsorted(doc, np.arange(n), "right")
             best: dict = {}
             for d, item, lo, hi in zip(*(x.tolist() for x in bench.windows(h, doc, first, end)), strict=True):
@@ -174,36 +175,44 @@ def _align(bench: Bench):
             if best:
                 at, item = (np.array(x) for x in zip(*best, strict=True))
                 score, start, stop = (np.array(x) for x in zip(*best.values(), strict=True))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(bench.ids[item]), pa.array(score, pa.float64()), pa.array(-start), pa.array(stop)], names=["doc_id", "item_id", "score", "start_byte", "end_byte"])
+                yield pa.RecordBatch.from_arrays([*(x.take(pa.array(at)) for x in known), bench.ids.take(pa.array(item)), pa.array(score, pa.float64()), pa.array(-start), pa.array(stop)], names=["doc_id", "t", "item_id", "score", "start_byte", "end_byte"])
 
     return run
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score, start_byte, end_byte (best passage) of each contaminated pair."""
+def _pairs(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> DataFrame:
+    """doc_id, t (hash of the text), item_id, score, start_byte, end_byte of the best passage of each pair of a row and an item."""
     items = bench.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("item_text")).dropDuplicates()
     items = written(items, "items")
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_hash(F.col(text_col)).alias("t"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, -(-size // BENCH_BYTES))
     scored = None
     for k in range(slices):
         # at most about BENCH_BYTES of items
         part = items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(slices)) == k).orderBy("item_id", "item_text").toArrow().combine_chunks()
-        own = Bench(part["item_id"].to_numpy(), pa.array(part["item_text"].to_pylist(), pa.large_string()), ngram, threshold)
+        ids = pa.array(part["item_id"].to_pylist(), pa.int64())  # an item may have no id
+        own = Bench(ids, pa.array(part["item_text"].to_pylist(), pa.large_string()), ngram, threshold)
         count = np.zeros(len(own.vocab), np.int64)
         # at most one row for each word of the slice
         for r in text.mapInArrow(_count(own), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
             count[r["word"]] = r["n"]
         own.seed(count)
-        found = text.mapInArrow(_align(own), "doc_id long, item_id long, score double, start_byte long, end_byte long")
+        found = text.mapInArrow(_align(own), "doc_id long, t long, item_id long, score double, start_byte long, end_byte long")
         scored = found if scored is None else scored.union(found)
+    return scored
+
+
+def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, score, start_byte, end_byte (best passage) of each contaminated pair."""
+    scored = _pairs(docs, bench, id_col, text_col, ngram, threshold)
     best = F.max(F.struct(F.col("score"), (-F.col("start_byte")).alias("s"), "end_byte"))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.score", (-F.col("b.s")).alias("start_byte"), "b.end_byte")
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
-    """docs without the rows whose id is contaminated; columns unchanged."""
-    (bad,) = free(docs, "bad")
-    found = written(contaminated(docs, bench, id_col, text_col, **kwargs).select(F.col("doc_id").alias(bad)).distinct(), "leaks")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col(bad)), "left_anti")
+def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the contaminated rows, each known by its id and a hash of its text; columns unchanged."""
+    i, t = free(docs, "i", "t")
+    found = _pairs(docs, bench, id_col, text_col, ngram, threshold).select(F.col("doc_id").alias(i), F.col("t").alias(t))
+    bad = written(found.distinct(), "leaks").hint("merge")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(i)) & (row_hash(F.col(text_col)) == F.col(t)), "left_anti")

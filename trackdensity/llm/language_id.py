@@ -8,15 +8,16 @@ sums of the text posteriors over all documents; each document's own share is tak
 its host's counts before its prior is formed.
 
 The text models are trained on a bounded sample: about `per_lang` rows of each label, chosen
-by a hash of the text. Everything else covers all rows. The text's log likelihood is
+by a hash of id and text. Everything else covers all rows. The text's log likelihood is
 scaled to EVIDENCE trigrams, as trigrams of a text aren't independent.
 
 A document is rejected if it has no trigram of letters, if "und" is likeliest, or if the
 best language's posterior is below `least`.
 
 Defined cases: null text is empty and rejected; a null host, address or declaration gives
-no evidence; equal posteriors go to the first language by name; rows that repeat a doc_id
-are judged each for itself; an empty table gives an empty result, an untrained language none;
+no evidence; equal posteriors go to the first language by name; rows without
+or with repeated ids are judged each for itself; unclosed comments, hidden elements and quotes
+of a page reach to its end or to the next bracket, in linear time; an empty table gives an empty result, an untrained language none;
 other columns pass through untouched.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import free, written
+from .shared import free, row_hash, share, written
 
 TABLE = 1 << 16
 EVIDENCE = 100
@@ -39,8 +40,10 @@ PER_LANG = 2000
 KAPPA = 20.0
 LETTER = np.zeros(256, bool)
 LETTER[[*range(97, 123), *range(128, 256)]] = True
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(head|script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-TAG = re.compile(r"""<[/!?a-zA-Z][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>|<[/!?a-zA-Z][^>]*>""")
+HIDDEN = re.compile(r"<!--|<(head|script|style|template|noscript)\b", re.I)
+CLOSING = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("head", "script", "style", "template", "noscript")}
+TAG = re.compile(r"<[/!?a-zA-Z]")
+IN_TAG = re.compile(r"""[<>"']""")
 
 
 def _trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,18 +75,20 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "gram", "n"])
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray]:
-    """(languages by name, log probabilities [language, TABLE]) from about per_lang rows of each language."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, id_col: str | None = None) -> tuple[list[str], np.ndarray]:
+    """(languages by name, log probabilities [language, TABLE]) from about per_lang rows of each language.
+
+    Rows are drawn by a hash of id and text: with an id, copies of one text are drawn each by itself.
+    """
+    rows = labelled.select((F.col(id_col) if id_col else F.lit(0)).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], np.zeros((0, TABLE), np.float32)
-    part = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
     keep = F.lit(False)
     for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (part < int(1_000_000 * min(1.0, per_lang / n))))
+        keep = keep | ((F.col("lang") == lang) & share([F.col("id"), F.col("text")], per_lang, n))
     # at most TABLE rows for each language
-    found = rows.filter(keep).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.filter(keep).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts)
     table = np.full((len(langs), TABLE), 0.2)
     for k, lang in enumerate(langs):
@@ -116,16 +121,72 @@ def softmax(x: Column) -> Column:
 
 
 def declared_language(markup: Column) -> Column:
-    """Two-letter language of the html element's lang attribute; null where there is none."""
-    found = F.when(F.lower(markup).contains("<html"), F.regexp_extract(F.lower(markup), r"<html[^>]*\slang\s*=\s*[\"']?([a-z]{2})", 1))
+    """Two-letter language of the first html element's lang attribute; null where there is none."""
+    page = F.lower(markup)
+    element = F.substring_index(F.substring(page, F.locate("<html", page), F.length(page)), ">", 1)
+    found = F.when(page.contains("<html"), F.regexp_extract(element, r"^<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2})", 1))
     return F.when(found != "", found)
 
 
+def _without_hidden(page: str) -> str:
+    """The page with a space in place of each comment, head, script, style, template and noscript element."""
+    out, at, seek = [], 0, 0
+    while m := HIDDEN.search(page, seek):
+        if not m[1]:
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        else:
+            open_end = page.find(">", m.end())
+            if open_end < 0:  # no element can open from here on; comments still can
+                start = page.find("<!--", m.end())
+                if start < 0:
+                    break
+                seek = start
+                continue
+            closing = CLOSING[m[1].lower()].search(page, open_end + 1)
+            end = closing.end() if closing else len(page)
+        out += [page[at : m.start()], " "]
+        at = seek = end
+    out.append(page[at:])
+    return "".join(out)
+
+
+def _tag_end(page: str, start: int, failed: set[int]) -> int:
+    """End of the tag at `start` whose quoted values may hold brackets; -1 where quotes and brackets don't close.
+
+    failed: places outside quotes from which no tag ends. A scan stops at one of these, so all
+    scans of a page together read it a bounded number of times.
+    """
+    at, passed = start + 2, []
+    while True:
+        m = IN_TAG.search(page, at)
+        if m and m[0] == ">":
+            return m.end()
+        end = page.find(m[0], m.end()) if m and m[0] != "<" else -1
+        at = end + 1
+        if end < 0 or at in failed:
+            failed.update(passed)
+            return -1
+        passed.append(at)
+
+
+def visible(page: str) -> str:
+    """One page's text, in time that grows with its length."""
+    page = _without_hidden(page)
+    out, at, last, failed = [], 0, page.rfind(">"), set()
+    while (m := TAG.search(page, at)) and m.start() < last:
+        end = _tag_end(page, m.start(), failed)
+        out += [page[at : m.start()], " "]
+        at = end if end > 0 else page.find(">", m.start()) + 1
+    out.append(page[at:])
+    return html.unescape("".join(out))
+
+
 def visible_text(markup: Column) -> Column:
     """Text of a page without its head, scripts, styles, comments and tags, character references decoded."""
 
     def show(pages: pa.Array) -> pa.Array:
-        return pa.array((None if x is None else html.unescape(TAG.sub(" ", HIDDEN.sub(" ", x))) for x in (v.as_py() for v in pages)), pa.string())
+        return pa.array((None if x is None else visible(x) for x in (v.as_py() for v in pages)), pa.string())
 
     return F.arrow_udf(show, "string")(markup)
 
@@ -172,14 +233,10 @@ def identify(
     return out.select(*[F.col(f"_k_{n}").alias(n) for n in key], F.col("lang").alias("lang_id"), "posterior", ((F.col("lang") != "und") & (F.col("posterior") >= least)).alias("accepted"))
 
 
-def row_hash(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", host_col: str = "source", **kwargs) -> DataFrame:
     """Documents: trained on their own labels, the source as host, declarations within the text."""
     text = F.col(text_col)
-    return identify(docs, train(docs, text_col, lang_col), {"id": F.col(id_col), "t": row_hash(text)}, text, F.col(host_col), declared_language(text), **kwargs)
+    return identify(docs, train(docs, text_col, lang_col, id_col=id_col), {"id": F.col(id_col), "t": row_hash(text)}, text, F.col(host_col), declared_language(text), **kwargs)
 
 
 def identify_pages(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **kwargs) -> DataFrame:

@@ -27,7 +27,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rest = lambda c: F.crc32(c.cast("string").cast("binary")) % 3 == 1
+    rest = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 3 == 1
     model = toxicity.train(docs, labels.filter(~rest(F.col("doc_id"))))
     out = toxicity.score(docs, model)
     return out.select("doc_id", rest(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_sentences", "worst_start_byte", "worst_score")
@@ -64,7 +64,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = language_id.identify_pages(table(spark, sf_dir, "pages"), language_id.train(table(spark, sf_dir, "documents")))
+    out = language_id.identify_pages(table(spark, sf_dir, "pages"), language_id.train(table(spark, sf_dir, "documents"), id_col="doc_id"))
     return out.select(F.col("id").alias("page_id"), "lang_id", "posterior", F.col("accepted").alias("kept"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.names import free  # noqa: F401
@@ -49,5 +49,15 @@ def repeats(docs: DataFrame, id_col: str) -> bool:
     return docs.groupBy(F.col(id_col).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
 
 
+def row_hash(text: Column) -> Column:
+    """With its id, what a row is known by where ids are null or repeat."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def share(keys: list[Column], most: float, of: int) -> Column:
+    """Whether a row is in a sample of about `most` of `of` rows, by a 64-bit hash of its keys: fine enough for any size."""
+    return F.xxhash64(*keys) <= F.lit(int(-(2**63) + min(1.0, most / max(1, of)) * 2**64 * (1 - 2**-53)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

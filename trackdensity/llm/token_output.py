@@ -8,17 +8,19 @@
    whole documents of about RECORD ids. In each record Re-Pair repeatedly replaces frequent
    pairs by nonterminals (never across END), the most frequent first and all whose symbols
    don't meet in one round, until no pair occurs LEAST times or ids run out.
-3. A record holds doc_ids, each document's offset in the compressed sequence and in ids,
+3. A record holds its place in the shard, doc_ids, each document's offset in the compressed sequence and in ids,
    the rules, each rule's expansion length, and the sequence: any document decodes alone.
 
-Defined cases: null text is empty, its ids are END alone; rows that repeat a doc_id are
-documents one after the other (order of their ids' bytes); an empty table writes and reads
+Shards have about SHARD_IDS ids each, and more where there would be over MOST_SHARDS of them (their
+bounds and sizes are what the driver holds); memory is that of one record and one document.
+
+Defined cases: null text is empty, its ids are END alone; rows without a doc_id come first; rows
+that repeat a doc_id are documents one after the other (order of their ids' bytes); an empty table writes and reads
 an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -28,16 +30,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import shared_dir, written
+from .shared import new_path, written
 
 END = 2
 FIRST_RULE = 49_408  # ids below are the vocabulary's; those up to 65,535 are free for nonterminals
 RECORD = 1 << 20
 CHUNK_BYTES = 1 << 20
 LEAST = 24  # a rule takes 12 bytes and saves 2 at each place
-SHARD_ROWS, BLOCK = 4096, 1024
+SHARD_IDS, MOST_SHARDS, BLOCK = 1 << 22, 20_000, 1024
 UNITS_KEPT = 1_000_000
-RECORD_SCHEMA = "shard long, n_docs long, doc_ids binary, seq_offs binary, id_offs binary, rules binary, lengths binary, seq binary"
+RECORD_SCHEMA = "shard long, first long, n_docs long, n_null long, doc_ids binary, seq_offs binary, id_offs binary, rules binary, lengths binary, seq binary"
 
 LETTER, DIGIT = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[[*range(97, 123)]] = True
@@ -220,7 +222,7 @@ def expand(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
 
 
 def _pack(batches):
-    shard = TaskContext.get().partitionId()
+    shard, before = TaskContext.get().partitionId(), 0
 
     def record(ids: list[int], parts: list[bytes]):
         whole = np.frombuffer(b"".join(parts), np.uint16)
@@ -229,8 +231,9 @@ def _pack(batches):
         last = np.cumsum([int((np.frombuffer(p, np.uint16) == END).sum()) for p in parts]) - 1
         ends = np.flatnonzero(seq == END)[last] + 1
         id_offs = np.concatenate([[0], np.cumsum([len(p) // 2 for p in parts])])
-        fields = [np.array(ids, np.int64), np.concatenate([[0], ends]), id_offs, rules.ravel(), lengths(rules), seq]
-        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(ids)]), *[pa.array([x.tobytes()], pa.binary()) for x in fields]], names=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
+        none = sum(i is None for i in ids)  # rows without an id come first
+        fields = [np.array([0] * none + ids[none:], np.int64), np.concatenate([[0], ends]), id_offs, rules.ravel(), lengths(rules), seq]
+        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([before]), pa.array([len(ids)]), pa.array([none]), *[pa.array([x.tobytes()], pa.binary()) for x in fields]], names=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
 
     ids, parts, size = [], [], 0
     for batch in batches:
@@ -240,6 +243,7 @@ def _pack(batches):
             size += len(parts[-1]) // 2
             if size >= RECORD:
                 yield record(ids, parts)
+                before += size
                 ids, parts, size = [], [], 0
     if ids:
         yield record(ids, parts)
@@ -269,25 +273,29 @@ def _unpack(batches):
             wide = ids.astype("<u4")
             crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             n = rec["n_docs"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rec["shard"])), pa.array(np.frombuffer(rec["doc_ids"], np.int64)), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["shard", "doc_id", "n_tokens", "ids_crc32"])
+            ids = pa.array(np.frombuffer(rec["doc_ids"], np.int64), mask=np.arange(n) < rec["n_null"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rec["shard"])), ids, pa.array(rec["first"] + ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Writes the records of docs in ascending doc_id order; returns the folder."""
-    path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    """Writes the records of docs in ascending doc_id order; returns the folder.
+
+    Without a path that is one of the application's own tables, which shared.clear deletes.
+    """
+    path = path or new_path(docs.sparkSession, "tokens")
     coded = written(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_encode(tokenizer), "doc_id long, ids binary"), "ids")
-    shards = max(1, -(-coded.count() // SHARD_ROWS))
+    size = coded.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first()["n"] // 2
+    shards = min(MOST_SHARDS, max(1, -(-size // SHARD_IDS)))  # a shard is a task; it holds one record at a time
     coded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(_pack, RECORD_SCHEMA).write.parquet(path)
     return path
 
 
 def read_tokens(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files."""
-    rows = written(spark.read.schema(RECORD_SCHEMA).parquet(path).mapInArrow(_unpack, "shard long, doc_id long, n_tokens long, ids_crc32 long"), "unpacked")
+    rows = written(spark.read.schema(RECORD_SCHEMA).parquet(path).mapInArrow(_unpack, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long"), "unpacked")
     # offsets of shards in blocks of BLOCK: the only window over all has one row for each block
     sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("m")).withColumn("block", F.floor(F.col("shard") / BLOCK))
     blocks = sums.groupBy("block").agg(F.sum("m").alias("b")).select("block", (F.sum("b").over(Window.orderBy("block")) - F.col("b")).alias("ahead"))
     inside = F.sum("m").over(Window.partitionBy("block").orderBy("shard")) - F.col("m")
     before = sums.withColumn("inside", inside).join(blocks, "block").select("shard", (F.col("ahead") + F.col("inside")).alias("before"))
-    own = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(before, "shard").select("doc_id", (F.col("before") + own - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(before, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -12,8 +12,9 @@ noisy-or likelihood is then climbed on what the sample holds of those. Scoring c
 reports the sentence that offends most.
 
 Defined cases: null or empty text has one empty sentence and scores the bias; no labelled
-rows, or one label only, gives every document the smoothed share of label 1; labels that
-repeat a doc_id train once for each; an empty table gives an empty result; other columns are
+rows, or one label only, gives every document the smoothed share of label 1; a label that
+repeats counts once, one of each kind for a doc_id counts as both; a null doc_id has no label, and its
+row is scored like others; an empty table gives an empty result; other columns are
 never read.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .shared import share
 
 TABLE = 1 << 20
 MAX_ROWS = 8_000
@@ -123,16 +125,15 @@ def _climb(bags, chosen: np.ndarray, steps: int = 400, rate: float = 0.08, decay
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
     """(weight of each feature of the table, bias). labels: doc_id, toxic."""
-    labels = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and _id is not null")
+    labels = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and _id is not null").distinct()
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     weights = np.zeros(TABLE, np.float32)
     if len(counts) < 2:
-        share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-        return weights, float(np.log(share / (1 - share)))
-    part = F.pmod(F.xxhash64("_id"), F.lit(1_000_000))
+        toxic = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
+        return weights, float(np.log(toxic / (1 - toxic)))
     keep = F.lit(False)
     for y, n in counts.items():
-        keep = keep | ((F.col("toxic") == y) & (part < int(1_000_000 * min(1.0, max_rows / 2 / n))))
+        keep = keep | ((F.col("toxic") == y) & share([F.col("_id")], max_rows / 2, n))
     # about max_rows ids: a documented bound, so they may go to every task
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(labels.filter(keep)), "_id").select("toxic", "text")
     seen = rows.mapInArrow(_presence, "f long, toxic long, n long").groupBy("f").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum("n").alias("n"))
