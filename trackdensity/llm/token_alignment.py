@@ -29,7 +29,6 @@ import json
 import os
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +39,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .shared import written
 
-BLOCK_BYTES = 8 << 20
-UNITS_KEPT, UNIT_BYTES_KEPT = 400_000, 32 << 20
+BLOCK_BYTES = 4 << 20
+UNITS_KEPT, UNIT_BYTES_KEPT = 300_000, 32 << 20
 DICT_SPAN = 1 << 18  # ends of so many bytes are in the dictionaries at a time
 BLOCK_SCHEMA = (
     "block long, doc_ids array<long>, stats binary, groups_sha256 array<string>, doc_offs binary, doc_units binary, "
@@ -72,16 +71,14 @@ def slices(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, in
     return out
 
 
-def links(a_ends: list[int], b_ends: list[int], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
-    """Indices of all overlapping pairs within one group: both lists run on, the one that ends first moves."""
-    i, a1, j, b1 = group
-    out = []
-    while i < a1 and j < b1:
-        out.append((i, j))
-        x, y = a_ends[i], b_ends[j]
-        i += x <= y
-        j += y <= x
-    return out
+def links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all overlapping pairs of two lists of rising ends over the same bytes.
+
+    Between two neighbouring ends of either list lies one token of each, and two tokens that
+    overlap do so in one such stretch: a slice of n and m tokens has n + m - 1 links.
+    """
+    every = np.union1d(a_ends, b_ends)
+    return np.searchsorted(a_ends, every), np.searchsorted(b_ends, every)
 
 
 def byte_level_table(path: str) -> list[bytes]:
@@ -122,6 +119,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         self.a_bytes, self.b_bytes = byte_level_table(a_file), piece_table(self.b)
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.a_text, self.b_text = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(len(self.b_bytes))]
         self.stride = len(self.b_bytes)
         self.clear()
@@ -129,43 +127,67 @@ class Aligner:
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
         self.held = 0
-        self.groups: list[bytes] = []
-        self.wrong: dict[int, tuple[bytes, bytes]] = {}  # joined A and B bytes of units where either differs
-        self.sizes: list[tuple[int, int, int, int]] = []  # n_a, n_b, n_groups, n_links
-        self.pairs: list[np.ndarray] = []
+        self.groups: list[str] = []
+        self.wrong: list[int] = []  # units whose joined A or B bytes differ from theirs
+        self.sizes = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links
+        self.pairs: list[np.ndarray] = []  # the links of one batch of units after the other
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         return list(zip([x.ids for x in a], self.b.encode(texts, num_threads=1), strict=True))
 
-    def _add(self, raw: bytes, a: list[int], b: list[int]) -> None:
-        a_raw, b_raw = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        n = self.at[raw] = len(self.at)
-        self.held += len(raw)
-        if (joined := (b"".join(a_raw), b"".join(b_raw))) != (b" " + raw, b" " + raw):
-            self.wrong[n] = joined
-            a, b, a_raw, b_raw = [], [], [], []
-        a_ends, b_ends = list(accumulate(map(len, a_raw))), list(accumulate(map(len, b_raw)))
-        cut, found = slices(a_ends, b_ends), []
-        if len(a) == len(b) == len(cut):
-            found = list(zip(a, b, strict=True))
-        else:
-            for g in cut:
-                found += [(a[i], b[j]) for i, j in links(a_ends, b_ends, g)]
+    def _differ(self, units: list[bytes], ids: list[list[int]], table: list[bytes]) -> list[int]:
+        """Numbers of the units whose tokens' bytes, joined, aren't a space and the unit."""
+        if b"".join([table[i] for x in ids for i in x]) == b" " + b" ".join(units) and [sum(map(len, (table[i] for i in x))) for x in ids] == [1 + len(u) for u in units]:
+            return []
+        return [n for n, (u, x) in enumerate(zip(units, ids, strict=True)) if b"".join([table[i] for i in x]) != b" " + u]
+
+    def _add(self, units: list[bytes]) -> np.ndarray:
+        """Aligns new units, laid end to end; returns their sizes. Each unit's end is an end of both lists."""
+        first = len(self.at)
+        for u in units:
+            self.at[u] = len(self.at)
+            self.held += len(u)
+        coded = self.encode([u.decode("utf-8", "replace") for u in units])
+        a, b = [x for x, _ in coded], [y for _, y in coded]
+        for n in {*self._differ(units, a, self.a_bytes), *self._differ(units, b, self.b_bytes)}:
+            self.wrong.append(first + n)
+            a[n], b[n] = [], []
+        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
+        a, b = ([i for x in ids for i in x] for ids in (a, b))
+        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        cut = slices(a_ends.tolist(), b_ends.tolist())
         at, bt = self.a_text, self.b_text
-        self.groups.append(";".join([",".join([at[i] for i in a[i0:i1]]) + "|" + ",".join([bt[j] for j in b[j0:j1]]) for i0, i1, j0, j1 in cut]).encode())
-        self.sizes.append((len(a), len(b), len(cut), len(found)))
-        self.pairs.append(np.array([i * self.stride + j for i, j in found], np.int64))
+        text = [f"{at[a[i]]}|{bt[b[k]]}" if j - i == 1 == m - k else f"{','.join([at[x] for x in a[i:j]])}|{','.join([bt[x] for x in b[k:m]])}" for i, j, k, m in cut]
+        i, j = links(a_ends, b_ends)
+        self.pairs.append(a_ids[i] * self.stride + b_ids[j])
+        # of each unit the groups and links up to its last token
+        last = np.cumsum(n_a)
+        groups = np.searchsorted(np.array([x[1] for x in cut], np.int64), last, "right")
+        linked = np.searchsorted(i, last, "left")
+        start = 0
+        for end in groups.tolist():
+            self.groups.append(";".join(text[start:end]))
+            start = end
+        return np.column_stack([n_a, n_b, np.diff(groups, prepend=0), np.diff(linked, prepend=0)])
 
     def find(self, units: list[bytes]) -> np.ndarray:
         at = self.at
         new = list(dict.fromkeys(u for u in units if u not in at))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for raw, (a, b) in zip(part, self.encode([u.decode("utf-8", "replace") for u in part]), strict=True):
-                self._add(raw, a, b)
+        if new:
+            self.sizes = np.concatenate([self.sizes, *(self._add(new[k : k + 4096]) for k in range(0, len(new), 4096))])
         return np.array([at[u] for u in units], np.int64)
 
+    def links_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of each of these units, one after the other, and how many each has."""
+        if len(self.pairs) > 1:
+            self.pairs = [np.concatenate(self.pairs)]
+        size = self.sizes[units, 3]
+        first = np.cumsum(self.sizes[:, 3])[units] - size
+        _, where = K.ragged(first, size)
+        return np.concatenate([np.zeros(0, np.int64), *self.pairs])[where], size
+
 
 def unit_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """start and end (without the space before it) and text number of each unit.
@@ -209,9 +231,7 @@ def _blocks(a_file: str, b_file: str):
             per_doc, units = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
             which, local = np.unique(units, return_inverse=True)
             times = np.bincount(local, minlength=len(which))
-            pairs = [al.pairs[u] for u in which.tolist()]
-            length = np.array([len(p) for p in pairs], np.int64)
-            flat = np.concatenate([np.zeros(0, np.int64), *pairs])
+            flat, length = al.links_of(which)
             key, link = np.unique(flat, return_inverse=True)
             n = np.bincount(link, weights=np.repeat(times, length), minlength=len(key)).astype(np.int64)
             as_bytes = lambda x, kind: pa.array([np.ascontiguousarray(x, kind).tobytes()], pa.binary())
@@ -253,7 +273,7 @@ def _texts(al: Aligner, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray,
     n = len(offs) - 1
     per_doc = np.bincount(doc, minlength=n)
     ends = np.cumsum(per_doc)
-    odd = np.unique(doc[np.isin(units, np.fromiter(al.wrong, np.int64, len(al.wrong)))]) if al.wrong else []
+    odd = np.unique(doc[np.isin(units, al.wrong)]) if al.wrong else []
     if len(odd):  # the whole text decides: its joined bytes differ and it has no tokens, or it is one unit
         own = np.split(units, ends[:-1])
         for d in odd.tolist():
@@ -262,13 +282,12 @@ def _texts(al: Aligner, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray,
                 own[d] = own[d][:0]
         per_doc, units = np.array([len(x) for x in own]), np.concatenate(own)
         doc, ends = np.repeat(np.arange(n), per_doc), np.cumsum(per_doc)
-    sizes = np.array(al.sizes, np.int64).reshape(-1, 4)
     stats = np.zeros((n, 4), np.int64)
     for k in range(4):
-        stats[:, k] = np.bincount(doc, weights=sizes[units, k], minlength=n)
+        stats[:, k] = np.bincount(doc, weights=al.sizes[units, k], minlength=n)
     groups, listed, sha, at = al.groups, units.tolist(), [], 0
     for end in ends.tolist():
-        sha.append(hashlib.sha256(b";".join([groups[u] for u in listed[at:end]])).hexdigest() if end > at else "")
+        sha.append(hashlib.sha256(";".join([groups[u] for u in listed[at:end]]).encode()).hexdigest() if end > at else "")
         at = end
     return stats, sha, per_doc, units
 
