@@ -110,8 +110,10 @@ def daily_counts(spark, sf):
 
 @query(T + "select count(*) n, round(quantile_cont(alt_km,0.05),6) a05, round(quantile_cont(alt_km,0.95),6) a95, round(quantile_cont(lat,0.05),6) l05, round(quantile_cont(lat,0.95),6) l95, min(alt_km) lo, max(alt_km) hi from track")
 def split_summary(spark, sf):
-    q = lambda x, p: r6(F.percentile(x, F.lit(p)))
-    return views.track(spark, sf).agg(F.count(F.lit(1)).alias("n"), q("alt_km", 0.05).alias("a05"), q("alt_km", 0.95).alias("a95"), q("lat", 0.05).alias("l05"), q("lat", 0.95).alias("l95"), F.min("alt_km").alias("lo"), F.max("alt_km").alias("hi"))
+    t = views.track(spark, sf)
+    q = summaries.column_quantiles(t, {"a": c("alt_km"), "l": c("lat")}, {"05": 0.05, "95": 0.95})
+    one = t.agg(F.count(F.lit(1)).alias("n"), F.min("alt_km").alias("lo"), F.max("alt_km").alias("hi")).crossJoin(q)
+    return one.select("n", *[r6(c(f"{x}_{p}")).alias(x + p) for x in "al" for p in ("05", "95")], "lo", "hi")
 
 
 @query(P + """select count(*) "count", round(avg(pred-obs)*1e12,6) bias, round(avg(abs(pred-obs))*1e12,6) mae, round(sqrt(avg(pow(pred-obs,2)))*1e12,6) rmse, round(avg(case when obs>0 then abs(pred-obs)/obs end),6) mape,
@@ -128,7 +130,8 @@ def top5pct(spark, sf):
 
 @query(P + "select round(quantile_cont(abs(pred-obs),0.95)*1e12,6) p95, round(exp(quantile_cont(case when obs>0 and pred>0 then abs(ln(pred)-ln(obs)) end,0.95)),6) factor from density_pairs")
 def metrics_density_p95(spark, sf):
-    return views.density_pairs(spark, sf).agg(r6(F.percentile(F.abs(c("pred") - c("obs")), F.lit(0.95)) * 1e12).alias("p95"), r6(F.exp(F.percentile(F.abs(F.ln("pred") - F.ln("obs")), F.lit(0.95)))).alias("factor"))
+    q = summaries.column_quantiles(views.density_pairs(spark, sf), {"p": F.abs(c("pred") - c("obs")), "f": F.abs(F.ln("pred") - F.ln("obs"))}, {"95": 0.95})
+    return q.select(r6(c("p_95") * 1e12).alias("p95"), r6(F.exp("f_95")).alias("factor"))
 
 
 @query(P + "select (-90+(greatest(ceil((lat+90)/10),1)-0.5)*10)::double band, round(median(pred-obs)*1e12,6) median, count(*) n from density_pairs group by 1")
