@@ -283,10 +283,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
     Without a path that is one of the application's own tables, which shared.clear deletes.
     """
     path = path or new_path(docs.sparkSession, "tokens")
-    coded = written(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_encode(tokenizer), "doc_id long, ids binary"), "ids")
-    size = coded.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first()["n"] // 2
+    coded = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_encode(tokenizer), "doc_id long, ids binary")
+    coded = written(coded.withColumn("size", F.octet_length("ids")), "ids")  # the sum reads this column alone
+    size = coded.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"] // 2
     shards = min(MOST_SHARDS, max(1, -(-size // SHARD_IDS)))  # a shard is a task; it holds one record at a time
-    coded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(_pack, RECORD_SCHEMA).write.parquet(path)
+    coded.drop("size").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(_pack, RECORD_SCHEMA).write.parquet(path)
     return path
 
 
