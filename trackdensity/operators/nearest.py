@@ -23,10 +23,18 @@ def epoch_pairs(points: DataFrame, maps: DataFrame, min_points: int = 100, hours
 
 
 def nearest_on_mesh(points: DataFrame, maps: DataFrame, lat0: float, dlat: float, n_lat: int, lon0: float, dlon: float, n_lon: int, min_points: int = 100, hours: int = 3) -> DataFrame:
-    """Each point with the nearest cell of each epoch of a full regular mesh.
+    """Each point with the nearest cell of each epoch of a full regular mesh."""
+    met = mesh_candidates(points, maps, lat0, dlat, n_lat, lon0, dlon, n_lon, min_points, hours)
+    best = F.min(F.struct("dist", "latitude", "longitude", "tec_value")).alias("c")
+    return met.groupBy("obs_id", "time", "epoch").agg(best).select("obs_id", "time", "epoch", "c.dist", "c.latitude", "c.longitude", "c.tec_value")
+
+
+def mesh_candidates(points: DataFrame, maps: DataFrame, lat0: float, dlat: float, n_lat: int, lon0: float, dlon: float, n_lon: int, min_points: int = 100, hours: int = 3) -> DataFrame:
+    """Each point with the cells of a full mesh, four at most an epoch, among which is the nearest.
 
     The nearest column has the least longitude difference; within it the nearest row is the one
     nearest atan2(sin lat, cos lat cos dlon): at most four candidate cells, met by an equi-join.
+    Points may be a stream.
     """
     pairs = epoch_pairs(points, maps, min_points, hours)
     u = (F.col("lon") - lon0) / dlon
@@ -38,9 +46,7 @@ def nearest_on_mesh(points: DataFrame, maps: DataFrame, lat0: float, dlat: float
     clamp = lambda x: F.greatest(F.lit(0), F.least(F.lit(n_lat - 1), x))
     pairs = pairs.withColumn("i", F.explode(F.array_distinct(F.array(clamp(F.floor(v)), clamp(F.ceil(v)))).cast("array<int>")))
     met = pairs.join(maps.select("epoch", "i", "j", "latitude", "longitude", "tec_value"), ["epoch", "i", "j"])
-    met = met.withColumn("dist", C.chord(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude")))
-    best = F.min(F.struct("dist", "latitude", "longitude", "tec_value")).alias("c")
-    return met.groupBy("obs_id", "time", "epoch").agg(best).select("obs_id", "time", "epoch", "c.dist", "c.latitude", "c.longitude", "c.tec_value")
+    return met.withColumn("dist", C.chord(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude")))
 
 
 def nearest_brute(points: DataFrame, maps: DataFrame, min_points: int = 100, hours: int = 3) -> DataFrame:
