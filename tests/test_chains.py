@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackdensity.functions import columns as C
 from trackdensity.operators import chains
+from trackdensity.sources.run_store import RunStore
 
 FEATURES, DEPTH, BINS, MIN_ROWS, ROUNDS, PATIENCE = ["a", "b"], 2, 8, 4, 3, 1
 RATE = lambda k: 0.5 * 0.9**k
@@ -121,10 +122,20 @@ def test_all_chains_at_once_equal_one_fold_after_the_other(rows, fitted):
     assert mine.keys() == forecasts.keys() and len({f for f, _ in mine}) == 5
     assert all(abs(mine[k] - forecasts[k]) < 1e-9 for k in mine)
     for fold in (2, 4):  # a fold's snapshot, applied to rows it never saw
-        scored = {r.id: r.prediction for r in got.score(df, got.snapshot(fold)).collect()}
+        scored = {r.id: r.prediction for r in got.snapshot(fold).score(df).collect()}
         assert all(abs(scored[i] - p) < 1e-9 for i, p in models[fold].items())
 
 
+def test_stored_snapshot_scores_the_same(spark, fitted, tmp_path):
+    df, _, got = fitted
+    store = RunStore(spark, str(tmp_path), "dr1_all_h2")
+    run = store.begin()
+    got.snapshot(4).save(run, "snapshot")
+    run.commit()
+    pick = lambda m: sorted(tuple(r) for r in m.score(df, F.lit(1.5)).select("id", "prediction").collect())
+    assert pick(chains.Trees.load(store, "snapshot")) == pick(got.snapshot(4))
+
+
 def test_jobs_do_not_grow_with_the_folds(spark, rows, monkeypatch):
     def jobs(n_rows):
         df = spark.createDataFrame(rows[:n_rows], "id long, time timestamp, a double, b double, y double")

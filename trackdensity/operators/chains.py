@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.run_store import Run, RunStore
 from . import summaries
 from .boosting import Loss
 from .tables import saved
@@ -44,18 +45,62 @@ def bin_cuts(df: DataFrame, features: list[str], bins: int) -> dict[str, list[fl
 
 
 def binned(cuts: dict[str, list[float]]) -> Column:
-    """Array of each feature's bin: how many of its cuts lie below the value."""
-    number = lambda f, c: F.size(F.filter(F.array(*[F.lit(x) for x in c]).cast("array<double>"), lambda x: x < F.col(f))) if c else F.lit(0)
-    return F.array(*[number(f, c).cast("int") for f, c in cuts.items()])
+    """Array of each feature's bin: how many of its cuts lie below the value (none below null)."""
 
+    def number(f: str, found: list[float]) -> Column:
+        n = F.lit(0)
+        for x in found:
+            n = n + F.when(F.col(f) > x, 1).otherwise(0)
+        return n
 
-def leaf(nodes: Column, bins: Column, depth: int) -> Column:
-    """Value of the leaf that a row's bins lead to in a tree (nodes by number: the root 1, those below n are 2n and 2n + 1)."""
-    at = F.lit(1)
-    for _ in range(depth):
+    return F.array(*[number(f, c) for f, c in cuts.items()])
+
+
+def node_of(nodes: Column, bins: Column, depth: int) -> Column:
+    """The node, `depth` levels down at most, that a row's bins lead to (nodes by number: the root 1, those below n are 2n and 2n + 1)."""
+
+    def down(at: Column, _: Column) -> Column:
         n = F.element_at(nodes, at)
-        at = F.when(n["f"].isNull(), at).otherwise(2 * at + (F.element_at(bins, n["f"] + 1) > n["b"]).cast("int"))
-    return F.coalesce(F.element_at(nodes, at)["v"], F.lit(0.0))
+        return F.when(n["f"].isNull(), at).otherwise(2 * at + (F.element_at(bins, n["f"] + 1) > n["b"]).cast("int"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), down) if depth else F.lit(1)
+
+
+def leaf(nodes: Column, bins: Column, depth: int) -> Column:
+    """Value of the leaf that a row's bins lead to in a tree."""
+    return F.coalesce(F.element_at(nodes, node_of(nodes, bins, depth))["v"], F.lit(0.0))
+
+
+@dataclass
+class Trees:
+    """A model to keep: its trees (pos, round, rate, nodes), the cuts of its features, and how deep a tree is."""
+
+    trees: DataFrame
+    cuts: dict[str, list[float]]
+    depth: int
+
+    def score(self, df: DataFrame, start: Column | None = None, out: str = "prediction") -> DataFrame:
+        """df with the sum of the trees: they travel as one row and are folded in one expression, whatever their number."""
+        flat = self.trees.select(F.struct("pos", "round", "rate", F.map_entries("nodes").alias("nodes")).alias("t"))
+        one = flat.agg(F.transform(F.array_sort(F.collect_list("t")), self._flat).alias("_trees"))
+        total = F.aggregate("_trees", (F.lit(0.0) if start is None else start).cast("double"), lambda acc, t: acc + t["rate"] * leaf(t["nodes"], F.col("_bins"), self.depth))
+        return df.withColumn("_bins", binned(self.cuts)).crossJoin(F.broadcast(one)).withColumn(out, total).select(*df.columns, out)
+
+    def _flat(self, t: Column) -> Column:
+        """A tree's rate and its nodes as an array by number."""
+        by_number = F.map_from_entries(t["nodes"])
+        return F.struct(t["rate"].alias("rate"), F.transform(F.sequence(F.lit(1), F.lit(2 ** (self.depth + 1) - 1)), lambda i: F.element_at(by_number, i)).alias("nodes"))
+
+    def save(self, run: Run, name: str) -> None:
+        """As two tables of a run: NAME (trees) and NAME-cuts."""
+        run.save(name, self.trees.select("pos", "round", "rate", "nodes"))
+        cuts = [(k, self.depth, f, c) for k, (f, c) in enumerate(self.cuts.items())]
+        run.save(f"{name}-cuts", self.trees.sparkSession.createDataFrame(cuts, "k int, depth int, feature string, cuts array<double>").coalesce(1))
+
+    @classmethod
+    def load(cls, store: RunStore, name: str, version: int | None = None) -> Trees:
+        rows = sorted(store.read(f"{name}-cuts", version).collect())  # a row for each feature
+        return cls(store.read(name, version), {r["feature"]: list(r["cuts"]) for r in rows}, rows[0]["depth"])
 
 
 @dataclass
@@ -68,19 +113,12 @@ class Chains:
     depth: int
     forecasts: DataFrame
 
-    def snapshot(self, fold: int, name: str = "") -> DataFrame:
-        """The trees of a fold's model: those kept at its own and at all earlier positions of its chain."""
+    def snapshot(self, fold: int, name: str = "") -> Trees:
+        """A fold's model: the trees kept at its own and at all earlier positions of its chain (whose names begin with `name`)."""
         own = self.kept.filter((F.col("fold") == fold) & F.col("chain").startswith(name)).select("chain", F.col("pos").alias("last"))
         rounds = self.kept.select("chain", "pos", "rounds")
-        return self.trees.join(rounds, ["chain", "pos"]).join(own, "chain").filter((F.col("pos") <= F.col("last")) & (F.col("round") < F.col("rounds"))).select("pos", "round", "rate", "nodes")
-
-    def score(self, df: DataFrame, trees: DataFrame, start: Column | None = None, out: str = "prediction") -> DataFrame:
-        """df with the sum of a snapshot's trees: they travel as one row and are folded in one expression, whatever their number."""
-        flat = trees.select(F.struct("pos", "round", "rate", F.map_entries("nodes").alias("nodes")).alias("t"))
-        one = flat.agg(F.array_sort(F.collect_list("t")).alias("_trees"))
-        add = lambda acc, t: acc + t["rate"] * leaf(F.map_from_entries(t["nodes"]), F.col("_bins"), self.depth)
-        total = F.aggregate("_trees", (F.lit(0.0) if start is None else start).cast("double"), add)
-        return df.withColumn("_bins", binned(self.cuts)).crossJoin(F.broadcast(one)).withColumn(out, total).select(*df.columns, out)
+        trees = self.trees.join(rounds, ["chain", "pos"]).join(own, "chain").filter((F.col("pos") <= F.col("last")) & (F.col("round") < F.col("rounds")))
+        return Trees(trees.select("pos", "round", "rate", "nodes"), self.cuts, self.depth)
 
 
 def _best_splits(rows: DataFrame, trees: DataFrame, depth: int, min_rows: int, penalty: float) -> DataFrame:
@@ -89,10 +127,7 @@ def _best_splits(rows: DataFrame, trees: DataFrame, depth: int, min_rows: int, p
     rows: chain, bins, g, h of training rows; trees: chain, nodes of the levels above. Only sums of bins
     are shuffled: first by bin, then by chain, which serves both windows and the last aggregate.
     """
-    at = F.lit(1)
-    for _ in range(depth):
-        n = F.element_at("nodes", at)
-        at = F.when(n["f"].isNull(), at).otherwise(2 * at + (F.element_at("bins", n["f"] + 1) > n["b"]).cast("int"))
+    at = node_of(F.col("nodes"), F.col("bins"), depth)
     placed = rows.join(F.broadcast(trees), "chain").select("chain", at.alias("node"), "bins", "g", "h").filter(F.col("node") >= 2**depth)
     sums = placed.select("chain", "node", F.posexplode("bins").alias("f", "b"), "g", "h").groupBy("chain", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("chain", "node", "f")

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import chains, summaries
-from ..sources import files
-from .registry import FEATURES, _features, c, query, r6
+from ..functions import providers
+from ..operators import chains, cover, density, grids, nearest, summaries
+from ..operators.tables import shared_dir
+from ..sources import files, views
+from ..sources.run_store import RunStore
+from .registry import FEATURES, MATCH_SQL, T, _features, c, query, r6
 
 SPLIT = "2024-01-16"
 LOSS = lambda r: C.pseudo_huber(r, 1.0)
@@ -51,3 +54,86 @@ def experiment_retrained(spark, sf):
     runs = F.explode(F.array(F.struct(tag(False).alias("tag"), c("ref").alias("pred")), F.struct(tag(True).alias("tag"), C.target_density("log_residual", c("prediction"), c("ref")).alias("pred"))))
     m = summaries.forecast_metrics(got.forecasts.select("obs", runs.alias("r")).select("obs", "r.*"), c("obs"), c("pred"), ["tag"])
     return m.select("tag", "n", *[r6(c(x) * 1e12).alias(x) for x in ("rmse", "mae", "bias")], r6(c("mape_pct")).alias("mape_pct"))
+
+
+def _core_and_snapshot(spark, sf) -> RunStore:
+    """A core model of the days before the last eight, and the snapshot of a chain that goes on from it, both stored."""
+    rows = _features(spark, sf).select("obs_id", "time", "obs", "ref", "y", *FEATURES)
+    days = rows.select(F.to_date("time").alias("day")).distinct()
+    first = F.date_sub(F.lit(days.agg(F.max("day").alias("m")).first()["m"]), 7)
+    every = days.filter(c("day") < first)
+    plan = every.select(F.lit("core").alias("chain"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("fold"), F.lit("train").alias("role"), "day")
+    settings = {"depth": 3, "bins": 16, "min_rows": 20, "patience": 2}
+    rate = lambda k: 0.3 * 0.9**k
+    core = chains.fit(rows, plan, "y", FEATURES, LOSS, rate, 4, ["time", "obs_id"], **settings).snapshot(0)
+    later = chains.chain_plan(days.filter(c("day") >= first), 1)
+    later = later.filter(c("fold") == 0)
+    scored = core.score(rows, out="core")
+    own = chains.fit(scored, later, "y", FEATURES, LOSS, rate, 3, ["time", "obs_id"], start=c("core"), **settings).snapshot(0)
+    store = RunStore(spark, f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}", files.run_tag(True, "post", 1))
+    run = store.begin()
+    core.save(run, "core")
+    own.save(run, "snapshot")
+    run.commit()
+    return store
+
+
+@query()
+def grid_snapshot_compare(spark, sf):
+    """Two stored models side by side over the whole grid of 0.2 x 0.09 degrees at one instant: density of each and their difference, by cells of five degrees."""
+    store = _core_and_snapshot(spark, sf)
+    t = views.track(spark, sf)
+    instant = t.agg(F.date_trunc("hour", F.max("time")).alias("time"), F.avg("alt_km").alias("alt_km"), F.avg("ap").alias("ap"))
+    cells = grids.at_instant(grids.lat_lon(spark), instant).withColumn("ref", providers.exponential(c("time"), c("lat"), c("lon"), c("alt_km")))
+    core, own = chains.Trees.load(store, "core"), chains.Trees.load(store, "snapshot")
+    both = own.score(core.score(cells, out="core"), c("core"), "snapshot")
+    rho = lambda y: C.target_density("log_residual", c(y), c("ref")) * 1e12
+    out = both.select(F.floor((c("lat") + 90) / 5).alias("bi"), F.floor((c("lon") + 180) / 5).alias("bj"), rho("core").alias("a"), rho("snapshot").alias("b"))
+    return out.groupBy("bi", "bj").agg(F.count(F.lit(1)).alias("n"), *[r6(x).alias(n) for n, x in (("core", F.avg("a")), ("snapshot", F.avg("b")), ("diff", F.avg(c("b") - c("a"))), ("most", F.max(F.abs(c("b") - c("a")))))])
+
+
+@query("""select floor((-87.5::double + a.i*0.2::double + 90)/5)::bigint bi, count(*) n, round(avg(-180.0::double + b.j*0.09::double),6) lon, round(avg(sin(radians(-180.0::double + b.j*0.09::double))),6) lon_sin, max(x.n) track
+from range(888) a(i), range(4056) b(j), (select floor((cast((event_id*37)%1750 as double)/10.0 + 2.5)/5)::bigint k, count(*) n from events group by 1) x where x.k = floor((-87.5::double + a.i*0.2::double + 90)/5)::bigint group by 1""")
+def grid_full(spark, sf):
+    """The whole default grid (3,601,728 cells) by bands of five degrees that the track meets, with the track's rows."""
+    band = lambda lat: F.floor((lat + 90) / 5)
+    met = views.track(spark, sf).groupBy(band(c("lat")).alias("bi")).agg(F.count(F.lit(1)).alias("track"))
+    cells = grids.lat_lon(spark).groupBy(band(c("lat")).alias("bi")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("lon")).alias("lon"), r6(F.avg(F.sin(F.radians("lon")))).alias("lon_sin"))
+    return cells.join(met, "bi").select("bi", "n", "lon", "lon_sin", "track")
+
+
+IRREGULAR = MATCH_SQL.replace("join map_series m on", "join (select * from map_series where tec_value is not null) m on")
+
+
+@query(IRREGULAR + "select obs_id, epoch::timestamp epoch, dist, latitude::double latitude, longitude::double longitude, tec_value from best where b=1")
+def nearest_cell_irregular(spark, sf):
+    """The nearest cell that has a value: maps with holes, so no closed form."""
+    maps = views.map_series(spark, sf).filter("tec_value is not null")
+    found = nearest.best_match(cover.nearest_on_cover(views.track(spark, sf), maps, size=25.0, min_points=50))
+    return found.select("obs_id", c("epoch").cast("timestamp_ntz").alias("epoch"), "dist", "latitude", "longitude", "tec_value")
+
+
+PROFILE = providers.Profile((400.0, 450.0, 500.0), (0.0, 6.0, 14.0, 20.0), ((3e-12, 3.5e-12, 6e-12, 4e-12), (1e-12, 1.2e-12, 2.4e-12, 1.5e-12), (4e-13, 5e-13, 1.1e-12, 6e-13)))
+
+
+@query(T + """, n(a, h, d) as (values """ + ", ".join(f"({a}::double, {h}::double, ln({d}::double))" for a, r in zip(PROFILE.altitudes, PROFILE.densities, strict=True) for h, d in zip([*PROFILE.hours, 24.0], [*r, r[0]], strict=True)) + """),
+u as (select *, hour(time)+minute(time)/60.0::double+floor(second(time))/3600.0::double hh from track), v as (select *, case when (hh+lon/15)<0 then hh+lon/15+24 else (hh+lon/15)%24 end lst from u),
+cells as (select p.a a0, q.a a1, p.h h0, r.h h1, p.d d00, r.d d01, q.d d10, s.d d11 from n p join n q on q.h=p.h and q.a=(select min(a) from n where a>p.a) join n r on r.a=p.a and r.h=(select min(h) from n where h>p.h) join n s on s.a=q.a and s.h=r.h)
+select obs_id, round(exp((d00*(h1-lst)+d01*(lst-h0))/(h1-h0)*(a1-alt_km)/(a1-a0) + (d10*(h1-lst)+d11*(lst-h0))/(h1-h0)*(alt_km-a0)/(a1-a0))*1e12,6) ref_e12 from v join cells on alt_km>=a0 and alt_km<a1 and lst>=h0 and lst<h1""")
+def reference_profile(spark, sf):
+    """Reference density of a tabulated profile in altitude and local solar time."""
+    return views.track(spark, sf).select("obs_id", r6(PROFILE(c("time"), c("lat"), c("lon"), c("alt_km")) * 1e12).alias("ref_e12"))
+
+
+@query(T + """, x as (select time >= timestamp '2024-01-24' held, unnest([{'f': 'lat', 'v': lat}, {'f': 'alt_km', 'v': alt_km}, {'f': 'ap', 'v': ap::double}, {'f': 'rho', 'v': rho_obs*1e12}]) c from track), r as (select c.f feature, held, c.v v from x where c.v is not null),
+g as (select feature, min(v) lo, max(v) hi, (max(v)-min(v))/519 step from r group by 1 having max(v) > min(v)), p as (select feature, held, least(518, floor((v-lo)/step))::int i, (v-lo)/step u from r join g using (feature)),
+w0 as (select feature, held, i, 1-(u-i) w from p union all select feature, held, i+1, u-i from p), w as (select feature, held, i j, sum(w) w from w0 group by 1,2,3), t as (select feature, held, count(*) n from r group by 1,2)
+select feature, case when held then 'eval' else 'train' end side, k.node::int node, round(lo+k.node*step,6) x, round(sum(w.w*exp(-pow((k.node-w.j)/25.95::double,2)/2))/(n*step*25.95::double*sqrt(2*pi())),6) density
+from w join g using (feature) join t using (feature, held), (select unnest(range(520)) node) k where abs(k.node-w.j) <= 156 group by feature, held, k.node, lo, step, n""")
+def kde_features(spark, sf):
+    """Densities of several columns by split (before and from 24 January), each column's splits on one grid of 520 places."""
+    side = F.when(c("time") >= F.lit("2024-01-24").cast("timestamp"), "eval").otherwise("train")
+    rows = views.track(spark, sf).withColumn("side", side)
+    values = {"lat": c("lat"), "alt_km": c("alt_km"), "ap": c("ap"), "rho": c("rho_obs") * 1e12}
+    out = density.binned_kde(rows, values, 520, 0.05, ["side"])
+    return out.select("feature", "side", "node", r6(c("x")).alias("x"), r6(c("density")).alias("density"))
