@@ -56,3 +56,23 @@ def test_provider_forms_agree(spark):
     assert np.allclose(tuple(node), (2e-12, 6e-13, (3e-11 * 1e-11) ** 0.5, (2e-12 * 3e-12 * 5e-13 * 6e-13) ** 0.25))
     moved = df.select(providers.transferred(providers.exponential, F.lit(2.0), *place[:3], F.lit(400.0), F.lit(460.0)).alias("x")).first().x
     assert np.isclose(moved, 2 * np.exp(-1))
+
+
+def test_small_column_functions(spark):
+    from trackdensity.functions import columns as C
+    from trackdensity.operators import summaries
+
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 10), 170.0, 1.0), (dt.datetime(2024, 1, 1, 0, 20), -170.0, 3.0), (dt.datetime(2024, 1, 1, 1, 0), None, 5.0)], "time timestamp, lon double, rho_ref double")
+    means = {r.hour.hour: r for r in summaries.hourly_means(df, circular=("lon",)).collect()}
+    assert abs(abs(means[0].lon) - 180) < 1e-9 and means[0].rho_ref == 2.0 and means[1].lon is None
+    both = df.withColumn("Rho_Obs", F.lit(9.0))
+    assert df.select(C.observed_or_reference(df, "rho_obs", "rho_ref").alias("x")).first().x == 1.0
+    assert both.select(C.observed_or_reference(both, "rho_obs", "rho_ref").alias("x")).first().x == 9.0
+    try:
+        C.observed_or_reference(df, "a", "b")
+        raise AssertionError
+    except ValueError:
+        pass
+    at = lambda *a: df.limit(1).select(F.unix_micros(C.threshold(*a)).alias("t")).first().t
+    assert at("2024-01-15 12:00:00") == at("2024-01-15T12:00:00Z", "Asia/Tokyo") == at("2024-01-15 21:00:00", "Asia/Tokyo")
+    assert at("2024-07-01 02:30:15.25", "Europe/Berlin") == at("2024-07-01 00:30:15.25")

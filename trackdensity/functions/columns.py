@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -104,6 +106,28 @@ def altitude_scaled(rho: Column, source: Column, target: Column, least: float =
     return rho * (target / F.when(source.isNotNull(), F.greatest(source, F.lit(least))))
 
 
+def observed_or_reference(df: DataFrame, observed: str, reference: str) -> Column:
+    """The observed column if the table has one of that name, else the reference; neither is an error."""
+    known = {c.lower() for c in df.columns}
+    for name in (observed, reference):
+        if name.lower() in known:
+            return F.col(name)
+    raise ValueError(f"neither {observed} nor {reference} in {df.columns}")
+
+
+def threshold(value: str, zone: str | None = None) -> Column:
+    """A time to compare with: text with its own offset, or wall time in `zone` (the session's where none is given)."""
+    at = F.lit(value).cast("timestamp")
+    has_offset = re.search(r"(?:Z|[+-]\d{2}:?\d{2})$", value.strip()) is not None
+    return at if zone is None or has_offset else F.make_timestamp_ltz(*[f(F.lit(value).cast("timestamp_ntz")) for f in (F.year, F.month, F.day, F.hour, F.minute)], F.lit(value).cast("timestamp_ntz").substr(18, 9).cast("decimal(16,6)"), F.lit(zone))
+
+
+def circular_mean(degrees: Column) -> Column:
+    """Aggregate: mean direction in (-180, 180], which a plain mean of longitudes is not; null where there is none."""
+    a, b = F.avg(F.sin(F.radians(degrees))), F.avg(F.cos(F.radians(degrees)))
+    return F.when(a * a + b * b > 1e-18, F.degrees(F.atan2(a, b)))
+
+
 def number(x: Column) -> Column:
     """Trimmed text with a decimal point or comma; null where it is no number."""
     return F.trim(F.replace(x, F.lit(","), F.lit("."))).try_cast("double")

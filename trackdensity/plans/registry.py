@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import providers
 from ..operators import boosting, nearest, summaries, timeline
 from ..sources import files, views
 
@@ -43,10 +44,10 @@ def _matches(spark, sf):
 
 @query(MATCH_SQL + """, j as (select t.lat, t.rho_obs, 1e-12::double*exp(-(t.alt_km-450)/60) ref, b.tec_value from track t left join best b on t.obs_id=b.obs_id and b.b=1)
 select (-90+(greatest(ceil((lat+90)/10),1)-0.5)*10)::double band, count(*) n, count(tec_value) matched, round(sqrt(avg(pow(case when rho_obs>0 then ln(ref/rho_obs) end,2))),6) rmse_log, round(avg(ref-rho_obs)*1e12,6) bias_e12 from j group by 1""")
-def flagship_match_error(spark, sf):
+def flagship_match_error(spark, sf, provider=providers.exponential):
     t = views.track(spark, sf)
     best = nearest.best_match(_matches(spark, sf)).select("obs_id", "tec_value")
-    j = t.join(best, "obs_id", "left").withColumn("ref", C.reference_density(c("alt_km")))
+    j = t.join(best, "obs_id", "left").withColumn("ref", provider(c("time"), c("lat"), c("lon"), c("alt_km")))
     band = -90 + (F.greatest(F.ceil((c("lat") + 90) / 10), F.lit(1)) - 0.5) * 10
     return j.groupBy(band.cast("double").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count("tec_value").alias("matched"), r6(F.sqrt(F.avg(F.pow(C.log_ratio(c("ref"), c("rho_obs")), 2)))).alias("rmse_log"), r6(F.avg(c("ref") - c("rho_obs")) * 1e12).alias("bias_e12"))
 
@@ -296,9 +297,9 @@ def map_interpolate(spark, sf):
 
 
 @query(T + "select obs_id, round(rho_obs*(exp(-(400-450)/60.0::double)/greatest(1e-12::double*exp(-(alt_km-450)/60),1e-30::double)*1e-12::double)*1e12,6) scaled_e12 from track")
-def altitude_transfer(spark, sf):
-    src, tgt = C.reference_density(c("alt_km")), C.reference_density(F.lit(400.0))
-    return views.track(spark, sf).select("obs_id", r6(C.altitude_scaled(c("rho_obs"), src, tgt) * 1e12).alias("scaled_e12"))
+def altitude_transfer(spark, sf, provider=providers.exponential):
+    moved = providers.transferred(provider, c("rho_obs"), c("time"), c("lat"), c("lon"), c("alt_km"), F.lit(400.0))
+    return views.track(spark, sf).select("obs_id", r6(moved * 1e12).alias("scaled_e12"))
 
 
 @query(S + """, n as (select count(*) n, least(greatest((0.6*count(*))::bigint,1),count(*)-2) b1 from s), m as (select *, least(greatest(floor(0.8::double*n)::bigint, b1+1), n-1) b2 from n) select case when rn<b1 then 'train' when rn<b2 then 'next' else 'last' end role, count(*) n, min(rn) a, max(rn) b from s, m group by 1""")
@@ -349,11 +350,13 @@ def loss_gradients(spark, sf):
     return views.density_pairs(spark, sf).select("obs_id", r6(C.mse_extreme(r, 0.3, 1.0)[0]).alias("g1"), r6(g2).alias("g2"), r6(h2).alias("h2"), r6(C.pseudo_huber_extreme(r, 0.5, 0.3, 1.0)[1]).alias("h3"))
 
 
-@query(S + "select rn, round(5e-4::double*pow(0.8::double, rn//15)*1e6,6) a, round(5e-3::double*pow(0.8::double, rn//60)*1e6,6) b, round(case when rn<4 then 1e-7::double else 0.03::double*pow(0.9::double, rn//12) end*1e6,6) d from s where rn < 1360")
+@query(S + """, k as (select rn % 1360 rn, sum(value) total from s group by 1)
+select rn, total, round(5e-4::double*pow(0.8::double, rn//15)*1e6,6) a, round(5e-3::double*pow(0.8::double, rn//60)*1e6,6) b, round(case when rn<4 then 1e-7::double else 0.03::double*pow(0.9::double, rn//12) end*1e6,6) d from k""")
 def lr_schedules(spark, sf):
-    k = _series(spark, sf).filter("rn < 1360")
+    """The three schedules over the rounds that the series' rows are dealt to in turn, with each round's total."""
+    k = _series(spark, sf).groupBy(F.pmod("rn", F.lit(1360)).cast("long").alias("rn")).agg(F.sum("value").alias("total"))
     out = [C.learning_rate(c("rn"), 5e-4, 0.8, 15), C.learning_rate(c("rn"), 5e-3, 0.8, 60), C.learning_rate(c("rn"), 0.03, 0.9, 12, 4)]
-    return k.select(c("rn").cast("long").alias("rn"), *[r6(x * 1e6).alias(n) for x, n in zip(out, "abd", strict=True)])
+    return k.select("rn", "total", *[r6(x * 1e6).alias(n) for x, n in zip(out, "abd", strict=True)])
 
 
 FOLDS_SQL = T + ", d as (select time::date as day, row_number() over (order by time::date)-1 o from (select distinct time::date::timestamp as time from track)), n as (select count(*) n from d), f as (select unnest(generate_series(6, n-3)) s from n) "
@@ -433,5 +436,7 @@ def feature_importance(spark, sf):
 @query()
 def newton_boost_curve(spark, sf):
     f = _features(spark, sf)
-    _, curve = boosting.newton_boost(f.filter("not is_valid"), f.filter("is_valid"), "y", lambda r: C.pseudo_huber(r, 1.0), lambda k: 0.3, 1360)
-    return spark.createDataFrame(curve, "round int, train_rmse double, valid_rmse double")
+    rate = lambda k: 0.3 * 0.9 ** (k // 12)
+    _, curve = boosting.newton_boost(f.filter("not is_valid"), f.filter("is_valid"), "y", lambda r: C.pseudo_huber(r, 1.0), rate, 1360, min_rows=300)
+    rows = spark.createDataFrame(curve, "round int, train_rmse double, valid_rmse double")
+    return rows.withColumn("rate", C.learning_rate(c("round"), 0.3, 0.9, 12))
