@@ -66,6 +66,11 @@ def read_track_text(spark: SparkSession, path: str, layout: str = "12col", nomin
 
 def read_track_archives(spark: SparkSession, glob: str, years: tuple[int, int], layout: str = "12col") -> DataFrame:
     """Monthly zips (one file is one unit of work); unreadable files become rows with `error`."""
+    return archive_lines(spark.read.format("binaryFile").load(glob), years)
+
+
+def archive_lines(archives: DataFrame, years: tuple[int, int]) -> DataFrame:
+    """path, value (a line), error, mission, year, month of binary rows (path, content), which may be a stream."""
 
     def lines(batches):
         for pdf in batches:
@@ -81,7 +86,7 @@ def read_track_archives(spark: SparkSession, glob: str, years: tuple[int, int],
                     yield pd.DataFrame({"path": [path], "value": [""], "error": [f"{type(e).__name__}: {e}"]})
 
     part = lambda k: F.regexp_extract("path", r"([A-Z0-9]+)_([A-Z]+)_[A-Z]+_(\d{4})_(\d{2})_v02\.zip$", k)
-    files = spark.read.format("binaryFile").load(glob).select("path", "content").filter((part(2) == "DNS") & F.coalesce(part(3).try_cast("int").between(*years), F.lit(False)))
+    files = archives.select("path", "content").filter((part(2) == "DNS") & F.coalesce(part(3).try_cast("int").between(*years), F.lit(False)))
     found = files.mapInPandas(lines, "path string, value string, error string")
     return found.withColumns({"mission": part(1), "year": F.expr("try_cast(" + "regexp_extract(path, '_(\\\\d{4})_', 1) as int)"), "month": F.expr("try_cast(regexp_extract(path, '_(\\\\d{2})_v02', 1) as int)")})
 
@@ -150,17 +155,24 @@ def read_grid_maps(spark: SparkSession, glob: str, years: tuple[int, int] | None
 
     center: given, or the first four letters of the file's name. name: a pattern (such as MAP_NAME) of the names to read.
     """
+    texts = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return map_cells(texts, years, center, name)
+
+
+def map_cells(files: DataFrame, years: tuple[int, int] | None = None, center: str | None = None, name: str | None = None) -> DataFrame:
+    """The rows of read_grid_maps from path and value (a file's text, null where it cannot be had); may be a stream."""
 
     def run(batches):
         for pdf in batches:
             for path, text in zip(pdf["path"], pdf["value"], strict=True):
                 try:
+                    if text is None:
+                        raise ValueError("the file's compression is not read")
                     out = pd.DataFrame(parse_map(text), columns=["epoch", "latitude", "longitude", "tec_value"]).assign(error=None)
                 except ValueError as e:
                     out = pd.DataFrame({"epoch": [pd.NaT], "latitude": [None], "longitude": [None], "tec_value": [None], "error": [str(e)]})
                 yield out.assign(path=path, center=center or path.rsplit("/", 1)[-1][:4].lower())[["epoch", "center", "latitude", "longitude", "tec_value", "path", "error"]]
 
-    files = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("path"), "value")
     if name:
         files = files.filter(F.regexp_extract("path", "([^/]+)$", 1).rlike(name))
     out = files.mapInPandas(run, "epoch timestamp, center string, latitude double, longitude double, tec_value double, path string, error string")

@@ -1,9 +1,9 @@
 """Streaming nearest-cell match with memory: the fallback of the batch operator, kept as state by epoch.
 
 Candidates (a point, an epoch that it is near, a cell) come from points that stream in and maps that are
-tables. An epoch's state holds, for each point that may still change, its best candidate so far,
-and the value of the last near match in time order. Event-time timers on whole minutes go off once the
-watermark has passed them: no earlier point can come any more, so what is pending before that minute is
+tables. An epoch's state holds, for each point that may still change, its best candidates so far,
+and the value of the last near match in time order. Event-time timers at every half hour go off once the
+watermark has passed them: no earlier point can come any more, so what is pending before that time is
 put in time order, given the value of the last near match where it is far itself, and emitted. What is
 emitted leaves the state; an epoch whose window is over drops its last value too.
 """
@@ -21,57 +21,74 @@ from ..operators import nearest
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "obs_id long, time timestamp, epoch timestamp, dist double, latitude double, longitude double, tec_value double, fallback_used int"
-MINUTE = 60_000
+COLUMNS = ["us", "obs_id", "dist", "latitude", "longitude", "tec_value"]
+PENDING = "us long, obs_id long, dist double, latitude double, longitude double, tec_value double"
+STEP_US = 30 * 60_000_000  # timers are set at such steps of event time
 
 
 class Fallback(StatefulProcessor):
+    """pending: a row for each batch and point that may still change; last: the last near match that was emitted."""
+
     def __init__(self, max_dist: float, hours: int):
         self.max_dist, self.hours = max_dist, hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "us long, obs_id long", "dist double, latitude double, longitude double, tec_value double")
+        self.pending = handle.getListState("pending", PENDING)
         self.last = handle.getValueState("last", "known boolean, tec_value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        minutes = set()
+        best: dict[tuple, tuple] = {}
         for batch in rows:
-            for us, obs, *found in zip(batch["us"].tolist(), batch["obs_id"].tolist(), *(batch[c].tolist() for c in ("dist", "latitude", "longitude", "tec_value")), strict=True):
-                at, found = (us, obs), tuple(None if x != x else x for x in found)
-                old = self.pending.getValue(at)
-                if old is None or found[:3] < tuple(old)[:3]:
-                    self.pending.updateValue(at, found)
-                minutes.add(us // 60_000_000)
-        for m in minutes:
-            self.handle.registerTimer((m + 1) * MINUTE)
+            for at in zip(*(batch[c].tolist() for c in COLUMNS), strict=True):
+                _keep_best(best, at)
+        self.pending.appendList([(*k, *v) for k, v in best.items()])
+        for step in {us // STEP_US for us, _ in best}:
+            self.handle.registerTimer((step + 1) * STEP_US // 1000)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         end = expiredTimerInfo.getExpiryTimeInMs()
-        ready = sorted((tuple(k), tuple(v)) for k, v in self.pending.iterator() if k[0] < end * 1000)
+        best: dict[tuple, tuple] = {}
+        for row in self.pending.get():
+            _keep_best(best, tuple(row))
         held = self.last.get() if self.last.exists() else None
         known, value = (bool(held[0]), held[1]) if held else (False, None)
-        out = []
-        for (us, obs), (dist, lat, lon, x) in ready:
-            if dist < self.max_dist:
+        out, rest = [], []
+        for (us, obs), (dist, lat, lon, x) in sorted(best.items()):
+            if us >= end * 1000:
+                rest.append((us, obs, dist, lat, lon, x))
+            elif dist < self.max_dist:
                 known, value = True, x
                 out.append((obs, us, dist, lat, lon, x, 0))
             elif known:
                 out.append((obs, us, float("inf"), None, None, value, 1))
-            self.pending.removeKey((us, obs))
-        self.last.update((known, value))
-        epoch = key[0]
-        if pd.Timestamp(end, unit="ms") >= pd.Timestamp(epoch).tz_localize(None) + pd.Timedelta(hours=self.hours):
+        over = not rest and pd.Timestamp(end, unit="ms") >= pd.Timestamp(key[0]).tz_localize(None) + pd.Timedelta(hours=self.hours)
+        if rest:
+            self.pending.put(rest)
+        else:
+            self.pending.clear()
+        if over:
             self.last.clear()  # no point of this epoch is left
+        else:
+            self.last.update((known, value))
         if out:
             made = pd.DataFrame(out, columns=["obs_id", "us", "dist", "latitude", "longitude", "tec_value", "fallback_used"])
-            made["time"], made["epoch"] = pd.to_datetime(made.pop("us"), unit="us"), epoch
+            made["time"], made["epoch"] = pd.to_datetime(made.pop("us"), unit="us"), key[0]
             yield made[[x.split()[0] for x in OUT.split(", ")]].astype({"fallback_used": "int32", "latitude": "float64", "longitude": "float64", "tec_value": "float64"})
 
     def close(self) -> None:
         pass
 
 
+def _keep_best(best: dict[tuple, tuple], row: tuple) -> None:
+    """Of a point's candidates the nearest stays; equal distances go by latitude, then longitude."""
+    at, found = row[:2], tuple(None if x is None or x != x else x for x in row[2:])
+    old = best.get(at)
+    if old is None or found[:3] < old[:3]:
+        best[at] = found
+
+
 def candidates(stream: DataFrame, maps: DataFrame, lat0: float, dlat: float, n_lat: int, lon0: float, dlon: float, n_lon: int, min_points: int = 100, hours: int = 3) -> DataFrame:
     """obs_id, time, epoch, us (of the time), dist, latitude, longitude, tec_value: the cells of a full mesh among which is the nearest."""
     met = nearest.mesh_candidates(stream, maps, lat0, dlat, n_lat, lon0, dlon, n_lon, min_points, hours)
@@ -81,7 +98,7 @@ def candidates(stream: DataFrame, maps: DataFrame, lat0: float, dlat: float, n_l
 def with_fallback(stream: DataFrame, maps: DataFrame, mesh: tuple, max_dist: float, late: str = "1 hour", min_points: int = 100, hours: int = 3) -> DataFrame:
     """The rows of nearest.with_fallback as a stream (append mode); points later than `late` are dropped.
 
-    Rows come out when the watermark has passed their minute. Needs the RocksDB state store.
+    Rows come out when the watermark has passed their half hour. Needs the RocksDB state store.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     met = candidates(stream.withWatermark("time", late), maps, *mesh, min_points=min_points, hours=hours)
