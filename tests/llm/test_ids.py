@@ -120,3 +120,33 @@ def test_declared_language_of_a_long_page(spark):
     page = spark.range(1).select(F.concat(F.repeat(F.lit("<html "), 800_000), F.lit("lang=de>")).alias("h"), F.lit("<p><HTML\nclass='x' LANG = 'fr-CH'><html lang=de>").alias("g"))
     r = page.select(language_id.declared_language(F.col("h")).alias("h"), language_id.declared_language(F.col("g")).alias("g"), language_id.declared_language(F.lit("<htm lang=de>")).alias("n")).first()
     assert tuple(r) == ("de", "fr", None) and time.time() - start < 20
+
+
+def test_memtables_follow_the_rows_whatever_the_ids(spark, monkeypatch):
+    from trackdensity.llm import exact_dedup
+
+    def flushes(ids):
+        rows = spark.createDataFrame([(i, f"text {k % 40}") for k, i in enumerate(ids)], "doc_id long, text string")
+        done = []
+        flush = exact_dedup._flush
+        monkeypatch.setattr(exact_dedup, "_flush", lambda e: done.append(1) or flush(e))
+        out = exact_dedup.exact_dedup(rows, memtable_rows=50, fan=4).collect()
+        monkeypatch.setattr(exact_dedup, "_flush", flush)
+        assert all(r.group_size == sum(k % 40 == j % 40 for j in range(300)) for r, k in ((r, ids.index(r.doc_id)) for r in out))
+        return len(done)
+
+    rng = random.Random(1)
+    assert flushes(list(range(300))) == flushes([rng.getrandbits(63) - 2**62 for _ in range(300)]) <= 2
+
+
+def test_a_conversation_of_many_turns(spark):
+    from trackdensity.llm import chat_format
+
+    n = 100_000
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    turns = spark.range(n).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), chat_format.text_part(F.concat(F.lit("say < \\ "), F.col("id"))).alias("parts"))
+    start = time.time()
+    r = chat_format.read_chat(chat_format.format_chat(turns)).select(F.size("turns").alias("n"), "loss_text", F.element_at("turns", n).alias("last")).first()
+    took = time.time() - start
+    assert r.n == n and r.loss_text == "".join(f"say < \\ {i}" for i in range(1, n, 2)) and tuple(r.last) == ("assistant", f"say < \\ {n - 1}")
+    assert took < 60

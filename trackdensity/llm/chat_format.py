@@ -17,10 +17,11 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+TAIL = "\n</turn>\n"
 PATCH, AUDIO_TOKENS_S, PAGE_TOKENS = 14, 25, 256
 
 
@@ -67,38 +68,37 @@ def format_chat(turns: DataFrame) -> DataFrame:
     are in order of turns; their ordinals count from 1 within each turn.
     """
     role = F.coalesce(F.col("role"), F.lit(""))
-    rows = turns.select("conv_id", F.struct("turn", role.alias("role"), "parts").alias("t"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    convs = convs.withColumn("t", F.transform("t", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), visit(x["parts"]).alias("v"))))
-    convs = convs.withColumn("t", F.transform("t", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["v"]["text"].alias("body"), x["v"]["found"].alias("found"))))
-
-    def turn_text(x: Column) -> Column:
-        return F.concat(F.lit('<turn role="'), F.replace(escape(x["role"]), F.lit('"'), F.lit("\\q")), F.lit('">\n'), x["body"], F.lit("\n</turn>\n"))
-
-    texts = F.transform("t", turn_text)
-    convs = convs.withColumn("x", texts).withColumn("formatted", F.array_join("x", ""))
-
-    def span(acc: Column, i: Column) -> Column:
-        x, whole = F.element_at("t", i + 1), F.element_at("x", i + 1)
-        end = acc["at"] + F.length(whole) - F.length(F.lit("\n</turn>\n"))
-        one = F.struct((end - F.length(x["body"])).alias("start"), end.alias("end"))
-        return F.struct((acc["at"] + F.length(whole)).alias("at"), F.when(x["role"] == "assistant", F.concat(acc["s"], F.array(one))).otherwise(acc["s"]).alias("s"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("s"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), "parts").withColumn("v", visit(F.col("parts")))
+    header = F.concat(F.lit('<turn role="'), F.replace(escape(F.col("role")), F.lit('"'), F.lit("\\q")), F.lit('">\n'))
+    rows = rows.withColumn("x", F.concat(header, F.col("v.text"), F.lit(TAIL)))
+    # where each turn ends in the whole text: running lengths, so that spans cost one look each
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "parts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("to", F.sum(F.length("x")).over(order))
+    one = F.struct("to", "turn", "role", "x", F.length("v.text").alias("n"), F.col("v.found").alias("found"))
+    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
+    end = lambda x: x["to"] - len(TAIL)
+    spans = F.transform(F.filter("t", lambda x: x["role"] == "assistant"), lambda x: F.struct((end(x) - x["n"]).cast("int").alias("start"), end(x).cast("int").alias("end")))
     found = F.flatten(F.transform("t", lambda x: F.transform(x["found"], lambda a: F.struct(x["turn"].alias("turn"), a["ordinal"].alias("ordinal"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
-    return convs.select(
-        "conv_id", "formatted",
-        F.aggregate(F.sequence(F.lit(0), F.size("t") - 1), start, span)["s"].alias("loss_spans"),
-        found.alias("attachments"),
-    ).withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
+    out = convs.select("conv_id", F.array_join(F.transform("t", lambda x: x["x"]), "").alias("formatted"), spans.alias("loss_spans"), found.alias("attachments"))
+    return out.withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
     """Read back: conv_id, turns (array of role, text, unescaped), loss_text, formatted_chars.
 
-    Placeholders stay in the text as they stand.
+    Placeholders stay in the text as they stand. Turns and spans are met by their place in the
+    text (a span begins where a turn's text begins), so the work is in proportion to the text.
     """
-    pieces = F.filter(F.split("formatted", "\n</turn>\n"), lambda x: x != "")
-    turns = F.transform(pieces, lambda x: F.struct(unescape(F.regexp_extract(x, r'^<turn role="([^"]*)">\n', 1)).alias("role"), unescape(F.regexp_replace(x, r'^<turn role="[^"]*">\n', "")).alias("text")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
-    return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
+    pieces = F.filter(F.split("formatted", TAIL), lambda x: x != "")
+    turns = formatted.select(F.col("conv_id").alias("conv"), F.posexplode(pieces).alias("nth", "x"))
+    order = Window.partitionBy("conv").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    body = F.regexp_replace("x", r'^<turn role="[^"]*">\n', "")
+    turns = turns.withColumn("to", F.sum(F.length("x") + len(TAIL)).over(order)).withColumn("body", body).withColumn("start", (F.col("to") - len(TAIL) - F.length("body")).cast("int"))
+    masked = formatted.select(F.col("conv_id").alias("of"), F.explode("loss_spans").alias("s")).select("of", F.col("s.start").alias("at"), (F.col("s.end") - F.col("s.start")).alias("n"))
+    met = turns.join(masked, F.col("conv").eqNullSafe(F.col("of")) & (F.col("start") == F.col("at")), "left")
+    role = unescape(F.regexp_extract("x", r'^<turn role="([^"]*)">\n', 1))
+    said = F.when(F.col("n").isNotNull(), unescape(F.expr("substring(body, 1, n)")))
+    back = met.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("nth", role.alias("role"), unescape(F.col("body")).alias("text"), said.alias("loss")))).alias("t"), F.max("to").alias("formatted_chars"))
+    out = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    loss = F.array_join(F.filter(F.transform("t", lambda x: x["loss"]), lambda x: x.isNotNull()), "")
+    return back.select(F.col("conv").alias("conv_id"), out.alias("turns"), loss.alias("loss_text"), F.col("formatted_chars").cast("long").alias("formatted_chars"))

@@ -1,6 +1,7 @@
 """Exact dedup by a log-structured merge index of digests, in DataFrame operations only.
 
-1. *Memtables*: consecutive ranges of doc_id. Each is reduced to one entry for each
+1. *Memtables*: rows dealt by a hash of doc_id over as many memtables as hold MEMTABLE_ROWS rows
+   each, so their number follows the rows whatever the ids are. Each is reduced to one entry for each
    digest (smallest doc_id, number of rows): pre-aggregation, so a digest that a third of
    all rows share has at most one entry for each memtable.
 2. *Flush*: entries are written as runs sorted by digest, with Parquet Bloom filters on it.
@@ -54,9 +55,14 @@ def _flush(entries: DataFrame) -> DataFrame:
     return entries.sparkSession.read.schema(entries.schema).parquet(path)
 
 
-def flush_runs(rows: DataFrame, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
-    """Runs of the memtables of rows (doc_id, digest)."""
-    run = F.floor(F.col("doc_id") / memtable_rows).alias("run")
+def memtable(n: int) -> Column:
+    """Number of a row's memtable, of n."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n)))
+
+
+def flush_runs(rows: DataFrame, memtable_rows: int = MEMTABLE_ROWS, n: int | None = None) -> DataFrame:
+    """Runs of the memtables of rows (doc_id, digest); n: how many memtables, if known."""
+    run = memtable(-(-rows.count() // memtable_rows) if n is None else n).alias("run")
     return _flush(rows.groupBy(run, "digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")))
 
 
@@ -102,14 +108,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = [_id(id_col).alias("doc_id"), *([F.xxhash64(normalised(F.col(text_col))).alias("t")] if repeats(docs, id_col) else [])]
     rows = written(docs.select(*own, sha.alias("text_sha256"), digest.alias("digest")), "digests")
     key = [c for c in ("doc_id", "t") if c in rows.columns]
-    runs = flush_runs(rows, memtable_rows)
+    n = -(-rows.count() // memtable_rows)
+    runs = flush_runs(rows, memtable_rows, n)
     index = compact(runs, fan)
     several = index.filter("n > 1")
     rows = probe(rows, digest_filter(several))
     # through the runs: keyed by run too, so a hot digest is spread
     placed = runs.select("run", "digest").join(several, "digest")
-    run = F.floor(F.col("doc_id") / memtable_rows)
-    met = rows.filter("maybe").withColumn("run", run).join(placed, ["run", "digest"], "left").select(*rows.columns, "keep_id", "n")
+    met = rows.filter("maybe").withColumn("run", memtable(n)).join(placed, ["run", "digest"], "left").select(*rows.columns, "keep_id", "n")
     alone = rows.filter("not maybe").select(*rows.columns, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
     met = met.withColumns({"keep_id": F.coalesce("keep_id", "doc_id"), "n": F.coalesce("n", F.lit(1))})
     copies = written(met.filter("n > 1").select(*key, "digest", "keep_id", "n").distinct(), "hits")
