@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -13,13 +13,24 @@ SIX_HOURS = 21600
 
 def epoch_pairs(points: DataFrame, maps: DataFrame, min_points: int = 100, hours: int = 3) -> DataFrame:
     """(point, epoch) with epoch - hours <= time < epoch + hours: an equi-join on time buckets."""
-    size = 2 * hours * 3600
     full = maps.groupBy("epoch").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_points)
-    full = full.select("epoch", F.floor(F.unix_timestamp("epoch") / size).alias("b"))
-    t = F.unix_timestamp("time")
-    near = F.array_distinct(F.array(F.floor((t - hours * 3600) / size), F.floor((t + hours * 3600) / size)))
-    inside = F.expr(f"time >= epoch - interval {hours} hours and time < epoch + interval {hours} hours")
-    return points.withColumn("b", F.explode(near)).join(full, "b").filter(inside).drop("b")
+    full = full.select("epoch", epoch_bucket(hours).alias("b"))
+    return points.withColumn("b", F.explode(time_buckets(hours))).join(full, "b").filter(inside(hours)).drop("b")
+
+
+def epoch_bucket(hours: int) -> Column:
+    """Time bucket of an epoch, as wide as the span of points that it is near."""
+    return F.floor(F.unix_timestamp("epoch") / (2 * hours * 3600))
+
+
+def time_buckets(hours: int) -> Column:
+    """Buckets in which the epochs of a point may lie: two at most."""
+    t, size = F.unix_timestamp("time"), 2 * hours * 3600
+    return F.array_distinct(F.array(F.floor((t - hours * 3600) / size), F.floor((t + hours * 3600) / size)))
+
+
+def inside(hours: int) -> Column:
+    return F.expr(f"time >= epoch - interval {hours} hours and time < epoch + interval {hours} hours")
 
 
 def nearest_on_mesh(points: DataFrame, maps: DataFrame, lat0: float, dlat: float, n_lat: int, lon0: float, dlon: float, n_lon: int, min_points: int = 100, hours: int = 3) -> DataFrame:
@@ -36,17 +47,21 @@ def mesh_candidates(points: DataFrame, maps: DataFrame, lat0: float, dlat: float
     nearest atan2(sin lat, cos lat cos dlon): at most four candidate cells, met by an equi-join.
     Points may be a stream.
     """
-    pairs = epoch_pairs(points, maps, min_points, hours)
+    pairs = mesh_cells(epoch_pairs(points, maps, min_points, hours), lat0, dlat, n_lat, lon0, dlon, n_lon)
+    met = pairs.join(maps.select("epoch", "i", "j", "latitude", "longitude", "tec_value"), ["epoch", "i", "j"])
+    return met.withColumn("dist", C.chord(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude")))
+
+
+def mesh_cells(points: DataFrame, lat0: float, dlat: float, n_lat: int, lon0: float, dlon: float, n_lon: int) -> DataFrame:
+    """Each point with the numbers i, j of its candidate cells; they are the same for every map of the mesh."""
     u = (F.col("lon") - lon0) / dlon
     cols = F.array_distinct(F.array(F.pmod(F.floor(u), F.lit(n_lon)), F.pmod(F.ceil(u), F.lit(n_lon))))
-    pairs = pairs.withColumn("j", F.explode(cols.cast("array<int>")))
+    pairs = points.withColumn("j", F.explode(cols.cast("array<int>")))
     dl = F.radians(F.col("lon") - (lon0 + dlon * F.col("j")))
     star = F.degrees(F.atan2(F.sin(F.radians("lat")), F.cos(F.radians("lat")) * F.cos(dl)))
     v = (star - lat0) / dlat
     clamp = lambda x: F.greatest(F.lit(0), F.least(F.lit(n_lat - 1), x))
-    pairs = pairs.withColumn("i", F.explode(F.array_distinct(F.array(clamp(F.floor(v)), clamp(F.ceil(v)))).cast("array<int>")))
-    met = pairs.join(maps.select("epoch", "i", "j", "latitude", "longitude", "tec_value"), ["epoch", "i", "j"])
-    return met.withColumn("dist", C.chord(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude")))
+    return pairs.withColumn("i", F.explode(F.array_distinct(F.array(clamp(F.floor(v)), clamp(F.ceil(v)))).cast("array<int>")))
 
 
 def nearest_brute(points: DataFrame, maps: DataFrame, min_points: int = 100, hours: int = 3) -> DataFrame:

@@ -17,17 +17,25 @@ def replayed(table: DataFrame, closing: DataFrame, operator: Callable[[DataFrame
     The query runs until it has read all files, then starts again from its checkpoint with
     `closing` (rows of a far later time), which moves the watermark past every row of the table.
     """
-    spark = table.sparkSession
+    return replayed_together([table], [closing], operator, files)
+
+
+def replayed_together(tables: list[DataFrame], closings: list[DataFrame], operator: Callable[..., DataFrame], files: int = 4) -> DataFrame:
+    """The same for an operator over several streams, each with closing rows of its own."""
+    spark = tables[0].sparkSession
     base = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/replay-{uuid.uuid4().hex}"
-    table.repartition(files).write.parquet(f"{base}/in")
+    for k, table in enumerate(tables):
+        table.repartition(files).write.parquet(f"{base}/in{k}")
+
+    def streams(**options: int) -> list[DataFrame]:
+        return [spark.readStream.schema(t.schema).options(**options).parquet(f"{base}/in{k}") for k, t in enumerate(tables)]
 
     def run() -> None:
-        stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-        query = operator(stream).writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        query = operator(*streams(maxFilesPerTrigger=1)).writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         query.awaitTermination()
 
     run()
-    closing.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema]).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    for k, (table, closing) in enumerate(zip(tables, closings, strict=True)):
+        closing.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema]).coalesce(1).write.mode("append").parquet(f"{base}/in{k}")
     run()
-    schema = operator(spark.readStream.schema(table.schema).parquet(f"{base}/in")).schema
-    return spark.read.schema(schema).parquet(f"{base}/out")
+    return spark.read.schema(operator(*streams()).schema).parquet(f"{base}/out")
