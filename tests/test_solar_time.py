@@ -2,8 +2,7 @@ import datetime as dt
 
 import duckdb
 
-from trackdensity.plans import registry
-
+from trackdensity.plans import model_queries, registry
 
 # (second of the day, longitude in tenths from -180) whose hours + lon / 15 is -1.8e-15, and others nearby
 EDGE = [(43176, 1), (43152, 2), (43056, 6), (43032, 7), (43200, 0), (43175, 1), (43177, 1), (86399, 3599)]
@@ -27,3 +26,8 @@ def _both(spark, sf, name, query):
 def test_solar_time_a_hair_before_midnight(spark, tmp_path):
     got, want = _both(spark, _events(spark, tmp_path), "solar_time_features", registry.solar_time_features)
     assert got == want and sum(r[1] == 24.0 for r in got) == 4
+
+
+def test_profile_has_the_rows_of_its_sql(spark, tmp_path):
+    got, want = _both(spark, _events(spark, tmp_path), "reference_profile", model_queries.reference_profile)
+    assert got == want and len(got) == 4

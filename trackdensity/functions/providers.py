@@ -54,7 +54,7 @@ class Profile:
     def at(self, lst: Column, alt_km: Column) -> Column:
         hours, logs = [*self.hours, 24.0], [[*map(float, np.log(r)), float(np.log(r[0]))] for r in self.densities]
         lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-        place = lambda nodes, v: F.greatest(F.lit(1), F.least(F.lit(len(nodes) - 1), F.size(F.filter(lit(nodes), lambda x: x <= v))))
+        place = lambda nodes, v: F.greatest(F.lit(1), F.least(F.lit(len(nodes) - 1), sum((F.when(v >= x, 1).otherwise(0) for x in nodes), F.lit(0))))
         i, j = place(self.altitudes, alt_km), place(hours, lst)
         part = lambda nodes, n, v: (v - F.element_at(lit(nodes), n)) / (F.element_at(lit(nodes), n + 1) - F.element_at(lit(nodes), n))
         u, v = part(self.altitudes, i, alt_km), part(hours, j, lst)
