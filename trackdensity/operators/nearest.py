@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .names import free
+from .tables import saved
 
 SIX_HOURS = 21600
+NOWHERE = -(2**31)
+FOUND = ("dist", "latitude", "longitude", "tec_value")
 
 
 def epoch_pairs(points: DataFrame, maps: DataFrame, min_points: int = 100, hours: int = 3) -> DataFrame:
@@ -34,10 +39,94 @@ def inside(hours: int) -> Column:
 
 
 def nearest_on_mesh(points: DataFrame, maps: DataFrame, lat0: float, dlat: float, n_lat: int, lon0: float, dlon: float, n_lon: int, min_points: int = 100, hours: int = 3) -> DataFrame:
-    """Each point with the nearest cell of each epoch of a full regular mesh."""
-    met = mesh_candidates(points, maps, lat0, dlat, n_lat, lon0, dlon, n_lon, min_points, hours)
-    best = F.min(F.struct("dist", "latitude", "longitude", "tec_value")).alias("c")
-    return met.groupBy("obs_id", "time", "epoch").agg(best).select("obs_id", "time", "epoch", "c.dist", "c.latitude", "c.longitude", "c.tec_value")
+    """Each point with the nearest cell of each epoch of a full regular mesh.
+
+    One shuffle by epoch, in the order of time, which serves with_fallback too.
+    """
+    met = mesh_pairs(points.select("obs_id", "time", "lat", "lon"), mesh_maps(maps, lat0, dlat, n_lat, lon0, dlon, n_lon, min_points, hours)).select("obs_id", "time", "epoch", *FOUND)
+    first = F.row_number().over(Window.partitionBy("epoch", "time", "obs_id").orderBy(*FOUND))
+    return met.repartition("epoch").withColumn("_q", first).filter("_q = 1").drop("_q")
+
+
+def best_on_mesh(points: DataFrame, maps: DataFrame, lat0: float, dlat: float, n_lat: int, lon0: float, dlon: float, n_lon: int, min_points: int = 100, hours: int = 3) -> DataFrame:
+    """The rows of best_match(nearest_on_mesh(...)): the epochs of a point meet it as one list, so it is shuffled once for the cell and once for its id."""
+    ready = mesh_maps(maps, lat0, dlat, n_lat, lon0, dlon, n_lon, min_points, hours)
+    us = F.unix_micros("time")
+    met = _with_cells(points.select("obs_id", "time", "lat", "lon"), ready)
+    least = F.array_min(F.transform("_near", lambda x: F.struct(F.col("dist"), F.abs(us - F.unix_micros(x["epoch"])).alias("away"), x["epoch"].alias("epoch"), F.col("latitude"), F.col("longitude"), x["tec_value"].alias("tec_value"), F.col("time"))))
+    one = met.filter(F.size("_near") > 0).select("obs_id", least.alias("c"))
+    if ready.odd is not None:
+        rest = mesh_candidates(points, ready.odd, *ready.mesh, 0, hours)
+        one = one.unionByName(rest.select("obs_id", F.struct("dist", F.abs(us - F.unix_micros("epoch")).alias("away"), "epoch", "latitude", "longitude", "tec_value", "time").alias("c")))
+    return one.groupBy("obs_id").agg(F.min("c").alias("c")).select("obs_id", "c.dist", "c.epoch", "c.latitude", "c.longitude", "c.tec_value", "c.time")
+
+
+@dataclass
+class MeshMaps:
+    """Maps ready to be met: cells (by time bucket and place, the values of all epochs near that bucket's points), odd (the cells of maps with holes or other places than the mesh's; None without such)."""
+
+    cells: DataFrame
+    odd: DataFrame | None
+    mesh: tuple
+    hours: int
+
+
+def mesh_maps(maps: DataFrame, lat0: float, dlat: float, n_lat: int, lon0: float, dlon: float, n_lon: int, min_points: int = 100, hours: int = 3) -> MeshMaps:
+    """The maps of min_points cells or more, written once as a table by epoch."""
+    inside_mesh = F.filter("cells", lambda x: x["i"].between(0, n_lat - 1) & x["j"].between(0, n_lon - 1))
+    places = F.size(F.array_distinct(F.transform(inside_mesh, lambda x: x["i"] * n_lon + x["j"])))
+    at_home = F.forall(inside_mesh, lambda x: (x["latitude"] == lat0 + dlat * x["i"]) & (x["longitude"] == lon0 + dlon * x["j"]))
+    full = maps.groupBy("epoch").agg(F.collect_list(F.struct("i", "j", "latitude", "longitude", "tec_value")).alias("cells")).filter(F.size("cells") >= min_points)
+    full = saved(full.select("epoch", "cells", ((places == n_lat * n_lon) & F.coalesce(at_home, F.lit(False))).alias("regular")), "maps")
+    flat = lambda df: df.select("epoch", F.explode("cells").alias("x")).select("epoch", "x.*")
+    # the epochs near a point lie in the bucket of the time `hours` before it, or in the next one
+    b = epoch_bucket(hours)
+    rows = flat(full.filter("regular")).withColumn("b", F.explode(F.array(b - 1, b)))
+    cells = rows.groupBy("b", "i", "j").agg(F.collect_list(F.struct("epoch", "tec_value")).alias("epochs"))
+    odd = full.filter("not regular")
+    return MeshMaps(cells, flat(odd) if odd.limit(1).count() else None, (lat0, dlat, n_lat, lon0, dlon, n_lon), hours)
+
+
+def mesh_pairs(points: DataFrame, ready: MeshMaps) -> DataFrame:
+    """Each point (which may be a stream) with the nearest cell of each epoch near it: dist, epoch, latitude, longitude, tec_value. Maps that are odd give several candidates."""
+    met = _with_cells(points, ready).withColumn("_e", F.explode("_near")).select(*points.columns, "_e.epoch", "dist", "latitude", "longitude", F.col("_e.tec_value").cast("double").alias("tec_value"))
+    if ready.odd is None:
+        return met
+    rest = mesh_candidates(points, ready.odd, *ready.mesh, 0, ready.hours)
+    return met.unionByName(rest.select(*points.columns, "epoch", "dist", "latitude", "longitude", F.col("tec_value").cast("double").alias("tec_value")))
+
+
+def _with_cells(points: DataFrame, ready: MeshMaps) -> DataFrame:
+    """Each point with its cell and the list _near of the epochs near it: one lookup by time bucket and cell."""
+    b = F.floor((F.unix_timestamp("time") - ready.hours * 3600) / (2 * ready.hours * 3600))
+    met = mesh_cell(points, *ready.mesh).withColumn("b", b).join(ready.cells, ["b", "i", "j"])
+    span, us = ready.hours * 3_600_000_000, F.unix_micros("time")
+    near = F.filter("epochs", lambda x: (us >= F.unix_micros(x["epoch"]) - span) & (us < F.unix_micros(x["epoch"]) + span))
+    return met.withColumn("_near", near)
+
+
+def mesh_cell(points: DataFrame, lat0: float, dlat: float, n_lat: int, lon0: float, dlon: float, n_lon: int) -> DataFrame:
+    """Each point with dist, latitude, longitude, i, j of the nearest cell of the mesh (equal distances by latitude, then longitude); i, j are NOWHERE without a place."""
+    u = (F.col("lon") - lon0) / dlon
+    clamp = lambda x: F.greatest(F.lit(0), F.least(F.lit(n_lat - 1), x)).cast("int")
+    found = points.withColumns({"_j0": F.pmod(F.floor(u), F.lit(n_lon)).cast("int"), "_j1": F.pmod(F.ceil(u), F.lit(n_lon)).cast("int")})
+
+    def row(j: str) -> Column:
+        dl = F.radians(F.col("lon") - (lon0 + dlon * F.col(j)))
+        star = F.degrees(F.atan2(F.sin(F.radians("lat")), F.cos(F.radians("lat")) * F.cos(dl)))
+        return (star - lat0) / dlat
+
+    found = found.withColumns({"_v0": row("_j0"), "_v1": row("_j1")})
+    four = F.array(*[F.struct(clamp(side(F.col(f"_v{k}"))).alias("i"), F.col(f"_j{k}").alias("j")) for k in (0, 1) for side in (F.floor, F.ceil)])
+
+    def met(x: Column) -> Column:
+        lat, lon = lat0 + dlat * x["i"], lon0 + dlon * x["j"]
+        return F.struct(C.chord(F.col("lat"), F.col("lon"), lat, lon).alias("dist"), lat.alias("latitude"), lon.alias("longitude"), x["i"].alias("i"), x["j"].alias("j"))
+
+    # a filter on the place would go below a stream's watermark, which such rows move as well
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    cell = [F.coalesce(F.when(placed, F.col(f"_c.{x}")), F.lit(NOWHERE)).alias(x) for x in "ij"]
+    return found.withColumn("_c", F.array_min(F.transform(four, met))).select(*points.columns, "_c.dist", "_c.latitude", "_c.longitude", *cell)
 
 
 def mesh_candidates(points: DataFrame, maps: DataFrame, lat0: float, dlat: float, n_lat: int, lon0: float, dlon: float, n_lon: int, min_points: int = 100, hours: int = 3) -> DataFrame:
