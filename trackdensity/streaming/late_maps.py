@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..operators import nearest
 from .matching import STORE
 
@@ -27,11 +26,13 @@ def best_match(points: DataFrame, maps: DataFrame, mesh: tuple, late: str = "1 h
     than min_points cells match nothing and do not move the watermark.
     """
     points.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    spread = nearest.mesh_cells(points.select("obs_id", "time", "lat", "lon").withWatermark("time", late), *mesh).withColumn("b", F.explode(nearest.time_buckets(hours)))
+    place = nearest.mesh_cell(points.select("obs_id", "time", "lat", "lon").withWatermark("time", late), *mesh)
+    # a point waits in one row, at the bucket `hours` before it; a map cell in its epoch's bucket and the one before
+    spread = place.select("obs_id", "time", "dist", "latitude", "longitude", "i", "j", F.floor((F.unix_timestamp("time") - hours * 3600) / (2 * hours * 3600)).alias("b"))
     cells = maps.filter(F.col("cells") >= min_points).withWatermark("epoch", map_late)
-    cells = cells.select("epoch", nearest.epoch_bucket(hours).alias("mb"), F.col("i").alias("mi"), F.col("j").alias("mj"), "latitude", "longitude", F.col("tec_value").cast("double").alias("tec_value"))
+    near = nearest.epoch_bucket(hours)
+    cells = cells.select("epoch", F.explode(F.array(near - 1, near)).alias("mb"), F.col("i").alias("mi"), F.col("j").alias("mj"), F.col("tec_value").cast("double").alias("tec_value"))
     met = spread.join(cells, (F.col("b") == F.col("mb")) & (F.col("i") == F.col("mi")) & (F.col("j") == F.col("mj")) & nearest.inside(hours))
-    dist = C.chord(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
     away = F.abs(F.unix_micros("time") - F.unix_micros("epoch"))
-    best = F.min(F.struct(dist.alias("dist"), away.alias("away"), "epoch", "latitude", "longitude", "tec_value")).alias("c")
+    best = F.min(F.struct("dist", away.alias("away"), "epoch", "latitude", "longitude", "tec_value")).alias("c")
     return met.groupBy("obs_id", "time").agg(best).select("obs_id", "c.dist", "time", "c.epoch", "c.latitude", "c.longitude", "c.tec_value")
