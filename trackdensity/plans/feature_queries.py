@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import backtest, grids, nearest, summaries, timeline
 from ..sources import files, views
-from .registry import FOLDS_SQL, MESH, A3, D, G, H, M, P, S, T, _features, _model, _series, c, query, r6  # noqa: F401
+from .registry import FOLDS_SQL, MESH, A3, D, G, H, M, P, S, T, _model, _series, c, query, r6  # noqa: F401
 
 SLOT = "to_timestamp(floor(epoch(time)/10800)*10800)::timestamp"
 LST = """u as (select *, hour(time)+minute(time)/60.0::double+floor(second(time))/3600.0::double h from {0}), v as (select *, case when (h+lon/15)<0 then h+lon/15+24 else (h+lon/15)%24 end lst from u)"""
@@ -225,10 +225,9 @@ def experiment_summary(spark, sf):
 @query()
 def grid_predict(spark, sf):
     """The boosted model's density over the track's grid, by the features it was trained on."""
-    from ..operators import boosting
     from .registry import FEATURES
 
     ap = views.track(spark, sf).agg(F.avg("ap").alias("ap"))
     cells = _track_grid(spark, sf).crossJoin(F.broadcast(ap)).withColumn("ref", C.reference_density(c("alt_km")))
-    out = _model(spark, sf).transform(boosting.assemble(cells, FEATURES, FEATURES))
+    out = _model(spark, sf).score(cells.dropna(subset=FEATURES))
     return out.select("i", "j", "lat", "lon", "prediction", C.target_density("log_residual", c("prediction"), c("ref")).alias("rho_pred"))
