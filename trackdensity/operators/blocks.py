@@ -243,7 +243,7 @@ def boost(
     one = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("_label")).alias("m"), F.avg(F.when(~F.col("_valid"), F.col("_label"))).alias("a"), *[F.percentile_approx(f"f{i}", points, F.lit(10_000)).alias(f"f{i}") for i in range(len(features))]).first()
     cuts = [np.array(sorted(set(one[f"f{i}"] or []))) for i in range(len(features))]
     model = Ensemble(features, cuts, depth, float(one["a"] or 0.0) if mean_first else 0.0)
-    unit = PARTS / 2.0 ** np.ceil(np.log2(one["m"] or 1.0))
+    unit = float(PARTS / 2.0 ** np.ceil(np.log2(one["m"] or 1.0)))
     n_features, width = len(features), max(len(c) for c in cuts) + 1
     spark = df.sparkSession
     parts = max(2 * spark.sparkContext.defaultParallelism, one["n"] // DEALT + 1)
