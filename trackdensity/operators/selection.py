@@ -7,6 +7,8 @@ sketch points around the rank as the next bracket, and counts exactly what lies
 Rounds end when a bracket is one value, or holds `most` rows or fewer, which are then ranked in a
 window of their group and rank. A round reads the rows that are inside a bracket only, so all
 after the first are small; jobs depend on the logarithm of the rows, not on groups or ranks.
+Values meet their brackets where they lie: up to HELD brackets (one for each group and rank) are
+broadcast, so no task is sent all values of a group.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from .tables import saved
 MOST = 250_000  # rows of a bracket that one task may rank
 STEPS = 256  # sketch points of a bracket
 ACCURACY = 16 * STEPS  # a sketch point is off by a sixteenth of a step at most
+HELD = 100_000  # brackets that are broadcast; where there are more, values are shuffled by group
 
 
 def _same(by: list[str], left: str, right: str) -> Column:
@@ -28,9 +31,14 @@ def _same(by: list[str], left: str, right: str) -> Column:
     return on
 
 
-def _inside(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+def _held(brackets: DataFrame, n: int) -> DataFrame:
+    """The n rows of a table of brackets as the small side of a join. The planner doesn't know its size, as it is an aggregate."""
+    return F.broadcast(brackets) if n <= HELD else brackets
+
+
+def _inside(values: DataFrame, brackets: DataFrame, by: list[str], n: int) -> DataFrame:
     """by, _q, _v of each value in each bracket of its group. The bracket table has a row for each group and rank."""
-    spans = brackets.groupBy(*by).agg(F.collect_list(F.struct("_q", "_lo", "_hi")).alias("_b"))
+    spans = _held(brackets.groupBy(*by).agg(F.collect_list(F.struct("_q", "_lo", "_hi")).alias("_b")), n)
     met = values.alias("a").join(spans.alias("b"), _same(by, "a", "b")) if by else values.crossJoin(F.broadcast(spans))
     own = F.filter("_b", lambda x: (F.col("_v") >= x["_lo"]) & (F.col("_v") <= x["_hi"]))
     return met.select(*[F.col(f"a.{c}") for c in by], "_v", F.explode(F.transform(own, lambda x: x["_q"])).alias("_q"))
@@ -53,21 +61,21 @@ def ranked_values(df: DataFrame, value: Column, by: list[str], ranks: dict[str,
         settled = open_.filter(F.col("_lo") == F.col("_hi")).select(*by, "_q", "_k", F.col("_lo").alias("_v"))
         closed = settled if closed is None else closed.unionByName(settled)
         open_ = open_.filter(F.col("_lo") < F.col("_hi"))
-        largest = open_.agg(F.max("_n").alias("n")).first()["n"]
+        largest, n = open_.agg(F.max("_n"), F.count(F.lit(1))).first()
         if not largest:
             return closed
         # what is inside some bracket; a value in the brackets of several ranks is kept once for each
-        rows = _inside(rows.select(*by, "_v"), open_, by) if rows is values else rows.alias("a").join(open_.alias("b"), _same(by, "a", "b") & (F.col("a._q") == F.col("b._q")) & F.col("a._v").between(F.col("b._lo"), F.col("b._hi"))).select("a.*")
+        rows = _inside(rows.select(*by, "_v"), open_, by, n) if rows is values else rows.alias("a").join(_held(open_, n).alias("b"), _same(by, "a", "b") & (F.col("a._q") == F.col("b._q")) & F.col("a._v").between(F.col("b._lo"), F.col("b._hi"))).select("a.*")
         if largest <= most:
             order = Window.partitionBy(*by, "_q").orderBy("_v")
             at = rows.withColumn("_r", F.row_number().over(order) - 1).alias("a")
-            last = at.join(open_.alias("b"), _same(by, "a", "b") & (F.col("a._q") == F.col("b._q")) & (F.col("a._r") == F.col("b._k") - F.col("b._below")))
+            last = at.join(_held(open_, n).alias("b"), _same(by, "a", "b") & (F.col("a._q") == F.col("b._q")) & (F.col("a._r") == F.col("b._k") - F.col("b._below")))
             return closed.unionByName(last.select(*[F.col(f"a.{c}") for c in by], "a._q", "b._k", "a._v"))
         rows = saved(rows.select(*by, "_q", "_v"), "inside")
-        open_ = saved(_narrowed(rows, open_, by), "brackets")
+        open_ = saved(_narrowed(rows, open_, by, n), "brackets")
 
 
-def _narrowed(rows: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+def _narrowed(rows: DataFrame, brackets: DataFrame, by: list[str], n: int) -> DataFrame:
     """The brackets between the sketch points around each rank, with exact counts below and inside."""
     points = F.percentile_approx("_v", F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)]), F.lit(ACCURACY))
     sketch = rows.groupBy(*by, "_q").agg(points.alias("_p"))
@@ -76,7 +84,7 @@ def _narrowed(rows: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
     at = lambda i: F.element_at("_p", F.greatest(F.lit(1), F.least(F.lit(STEPS + 1), i)).cast("int"))
     # the rank lies between the points a step and an error away; the ends of the old bracket hold always
     near = sketch.alias("a").join(brackets.alias("b"), on).select(*[F.col(f"b.{c}") for c in by], "b._q", "_k", "_below", F.when(step < 2, F.col("_lo")).otherwise(at(step)).alias("_lo"), F.when(step > STEPS - 4, F.col("_hi")).otherwise(at(step + 4)).alias("_hi"))
-    near = near.alias("b")
+    near = _held(near, n).alias("b")
     under = F.sum((F.col("a._v") < F.col("b._lo")).cast("long"))
     inside = F.sum(F.col("a._v").between(F.col("b._lo"), F.col("b._hi")).cast("long"))
     edge = F.sum((F.col("a._v") == F.col("b._lo")).cast("long"))
@@ -119,7 +127,9 @@ def largest_mean(df: DataFrame, value: Column, by: list[str], share: float, most
     k = F.greatest(F.lit(1), F.ceil(F.round(F.col("_n") * F.lit(share), 9))).cast("long")
     cut = ranked_values(df, value, by, {"t": F.col("_n") - k}, most).select(*by, F.col("_v").alias("_t"), F.col("_k").alias("_rank"))
     values = df.select(*by, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    met = values.alias("a").join(cut.alias("b"), _same(by, "a", "b")) if by else values.crossJoin(F.broadcast(cut))
+    if by:
+        cut = saved(cut, "cuts")
+    met = values.alias("a").join(_held(cut, cut.count()).alias("b"), _same(by, "a", "b")) if by else values.crossJoin(F.broadcast(cut))
     above = F.col("_v") > F.col("_t")
     sums = met.groupBy(*[F.col(f"a.{c}") for c in by], "_t", "_rank").agg(F.sum(F.when(above, F.col("_v"))).alias("_s"), F.sum(above.cast("long")).alias("_a"), F.count(F.lit(1)).alias("_n"))
     taken = F.col("_n") - F.col("_rank")
