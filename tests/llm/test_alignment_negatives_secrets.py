@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -67,6 +68,12 @@ def test_alignment(spark, monkeypatch):
     assert token_alignment.align(docs.limit(0), A_FILE, B_FILE).count() == 0
 
 
+def test_alignment_holds_few_blocks_at_a_time(spark):
+    docs = spark.range(5).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), token_alignment.BLOCK_BYTES // 5 + 1).alias("text"))
+    files = token_alignment.aligned_blocks(docs, A_FILE, B_FILE).inputFiles()
+    assert sorted(pq.read_metadata(f.removeprefix("file://")).num_rows for f in files) == [1, 4]
+
+
 @functools.cache
 def aligner():
     return token_alignment.Aligner(A_FILE, B_FILE)

@@ -27,14 +27,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy", file_rows: int = 0) -> DataFrame:
     """df as a Parquet table in the shared folder, read again.
 
     Cuts the lineage in a way that survives lost executors, and gives the planner the
     table's true size, so that a later join broadcasts it only below the session's limit.
+    Writers and readers hold a whole row group, whose size Parquet does not look at before it
+    has 100 rows, and statistics until the file ends: tables of wide rows name file_rows, the
+    most rows of a file (0: no limit).
     """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, maxRecordsPerFile=file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

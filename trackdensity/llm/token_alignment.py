@@ -12,7 +12,8 @@ How it runs:
   a text are those of its units one after the other, and each distinct unit is aligned once
   for each worker. Units are told apart by their bytes.
 * A block of about BLOCK_BYTES of texts is one row of a written table: its documents, their
-  units, its distinct links and their counts. Links are summed over blocks, so a frequent pair
+  units, its distinct links and their counts. A file has FILE_BLOCKS of them, so a task
+  holds no more however long its input is. Links are summed over blocks, so a frequent pair
   is one row for each block before the shuffle, and one on the other side of the join back.
 * The counts go back to the blocks by a cogroup: a block's task holds that block alone.
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .shared import written
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, FILE_BLOCKS = 4 << 20, 4
 UNITS_KEPT, UNIT_BYTES_KEPT = 300_000, 32 << 20
 DICT_SPAN = 1 << 18  # ends of so many bytes are in the dictionaries at a time
 BLOCK_SCHEMA = (
@@ -319,7 +320,7 @@ def _totals(block: pa.Table, counts: pa.Table) -> pa.Table:
 def aligned_blocks(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written table of blocks: ids, group digests and sizes of documents, units, links and their counts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(_blocks(a_file, b_file), BLOCK_SCHEMA), "aligned", "zstd")
+    return written(rows.mapInArrow(_blocks(a_file, b_file), BLOCK_SCHEMA), "aligned", "zstd", FILE_BLOCKS)
 
 
 def pair_counts(blocks: DataFrame, stride: int) -> DataFrame:
