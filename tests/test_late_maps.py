@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,30 @@ def test_a_later_map_wins_until_the_watermark_and_state_is_let_go(landed):
         add("maps", cells(k, 0.0))
     again, later = run()
     assert again == found and later <= max(kept, 16)
+
+
+def test_state_is_packed_by_time_bucket(landed):
+    add, run, cells, point = landed
+    far = 2**60  # ids that floats don't hold
+    add("points", [point(far + k, 4) for k in range(500)] + [(-1, None, -45.0, -90.0), (None, *point(0, 4, 45.0, 90.0)[1:])])  # no time, no id
+    add("maps", cells(3, None))
+    add("maps", cells(30, float("nan")))
+    found, kept = run()
+    assert found == {} and kept <= 16  # not a row for each point
+    add("points", [point(600, 31)])
+    for k in (60, 90):
+        add("points", [point(600 + k, k, None, None)])
+        add("maps", cells(k, 0.0))
+    found, _ = run()
+    assert np.isnan(found.pop(600)[1]) and found == dict.fromkeys([None, *range(far, far + 500)], (3, None))
+
+
+def test_best_of_a_bucket_without_order():
+    hour = 3_600_000_000
+    points = [(7, 4 * hour, 0.5, 3, True), (7, 4 * hour, 0.5, 0, True), (7, 4 * hour, 0.5, 0, True), (0, 4 * hour, 0.1, 1, False), (8, 9 * hour, 0.1, 1, True), (9, 4 * hour, 0.1, 2, True)]
+    cells = [(5 * hour, 50.0, 0, True), (3 * hour, 30.0, 0, True), (3 * hour, 31.0, 3, True), (3 * hour, 30.0, 1, True), (3 * hour, 0.0, 1, False), (8 * hour, 80.0, 2, True)]
+    want = [(0, False, 4 * hour, 3 * hour, 0.1, 1, 0.0, False), (7, True, 4 * hour, 3 * hour, 0.5, 0, 30.0, True)]  # equally far: the earlier epoch; twice the same: the least
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        found = late_maps.best(rng.permutation(np.array(points, late_maps.POINT)), rng.permutation(np.array(cells, late_maps.CELL)), 4, 3 * hour)
+        assert list(found.itertuples(index=False, name=None)) == want
