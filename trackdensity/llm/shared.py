@@ -34,10 +34,11 @@ def written(df: DataFrame, name: str, codec: str = "snappy", file_rows: int = 0)
     table's true size, so that a later join broadcasts it only below the session's limit.
     Writers and readers hold a whole row group, whose size Parquet does not look at before it
     has 100 rows, and statistics until the file ends: tables of wide rows name file_rows, the
-    most rows of a file (0: no limit).
+    most rows of a file (0: as the session has it).
     """
     path = new_path(df.sparkSession, name)
-    df.write.options(compression=codec, maxRecordsPerFile=file_rows).parquet(path)
+    limit = {"maxRecordsPerFile": file_rows} if file_rows else {}
+    df.write.options(compression=codec, **limit).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
